@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, simhash
+from . import common, decontaminate, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,3 +22,35 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    ids = F.coalesce(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), F.array().cast("array<string>"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE_SQL["op4_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rn, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bl AS (SELECT item_id, w, least(len(w), 10) AS l FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, l, array_to_string(list_slice(w, s, s + l - 1), ' ') AS span
+       FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM bl)),
+dw AS (SELECT rn, l, s, array_to_string(list_slice(w, s, s + l - 1), ' ') AS span
+       FROM (SELECT rn, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM bl) WHERE len(w) >= l)),
+m AS (SELECT rn, s, l, item_id FROM dw JOIN iw USING (l, span)),
+h AS (SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest(range(s, s + l)) AS p FROM m) GROUP BY rn),
+i AS (SELECT rn, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rn, item_id::VARCHAR AS id FROM m) GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rn) LEFT JOIN i USING (rn)
+"""

@@ -1,0 +1,29 @@
+"""Runs a query and its SQL in DuckDB over the same tables and compares the rows."""
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def rows(found):
+    def plain(x):
+        return round(x, 9) if isinstance(x, float) else x
+
+    return sorted((tuple(plain(r[c]) for c in sorted(found.columns)) for r in found.collect()), key=str)
+
+
+def duck(sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = con.execute(sql)
+    names = [c[0] for c in got.description]
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return [names[i] for i in order], sorted((tuple(round(r[i], 9) if isinstance(r[i], float) else r[i] for i in order) for r in got.fetchall()), key=str)
+
+
+def same(spark, query, sql, sf_dir):
+    found = query(spark, sf_dir)
+    names, want = duck(sql, sf_dir)
+    assert sorted(found.columns) == names
+    assert rows(found) == want
