@@ -26,9 +26,9 @@ from . import common
 
 WORDS, BITS = 3, 3
 #: Fingerprints of a group that one task compares; larger groups are split by further bits.
-GROUP_ROWS = 1024
-#: Node pairs that are looked at together are kept to about so many.
-PAIRS_AT_ONCE = 4_000_000
+GROUP_ROWS = 512
+#: Groups are compared together as long as they have at most about so many pairs.
+PAIRS_AT_ONCE = 400_000
 MASK64 = (1 << 64) - 1
 
 
@@ -83,6 +83,9 @@ def _signed(x: int) -> int:
 def _dealt(rows: DataFrame, masks: list[int], bits: int) -> DataFrame:
     """rows (mask, fp) with each row once for each block of the bits that its mask leaves."""
     below = [(_signed(m), [_signed(m | b) for b in _blocks(m, bits + 1) if b]) for m in masks]
+    if len(below) == 1:
+        out = rows.select(F.explode(F.array(*[F.lit(m).cast("long") for m in below[0][1]])).alias("mask"), "fp")
+        return out.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("at"), "fp")
     more = rows.sparkSession.createDataFrame(below, "mask long, below array<long>")
     out = rows.join(more, "mask").select(F.explode("below").alias("mask"), "fp")
     return out.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("at"), "fp")
@@ -159,12 +162,13 @@ def trie_pairs(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int) -> tu
     raw = fps.view(np.uint64)
     key = np.lexsort((raw, np.repeat(np.arange(len(lo)), hi - lo)))  # unsigned order inside each interval
     raw = raw[key]
-    al, ah, bl, bh, d = lo.copy(), hi.copy(), lo.copy(), hi.copy(), np.zeros(len(lo), np.int64)
+    al, ah = lo.astype(np.int32), hi.astype(np.int32)
+    bl, bh, d = al, ah, np.zeros(len(lo), np.int8)
     got_i, got_j = [], []
     for bit in range(63, -1, -1):
         if not len(al):
             break
-        ones = np.concatenate(([0], np.cumsum((raw >> np.uint64(bit) & np.uint64(1)).astype(np.int64))))
+        ones = np.concatenate(([0], np.cumsum((raw >> np.uint64(bit) & np.uint64(1)).astype(np.int32), dtype=np.int32))).astype(np.int32)
         am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
         same = al == bl
         # zero-zero, one-one, zero-one, and one-zero of pairs of different nodes
