@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, decontaminate, packing, secret_scan, simhash
+from . import audio, common, decontaminate, language_id, packing, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(common.table(spark, sf_dir, "documents"))
