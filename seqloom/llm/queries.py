@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, decontaminate, language_id, packing, secret_scan, simhash
+from . import audio, common, decontaminate, language_id, packing, secret_scan, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,3 +74,24 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _fits(rule: str) -> str:
+    host, path = rule.split("/", 1)
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+
+
+_RULES = sorted(url_filter.RULES, key=lambda r: (-len(r[0]), r[0]))
+ORACLE_SQL["op1_urls"] = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{common.UPPER}', '{common.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+j AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r, _ in _RULES)} END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in _RULES)}
+  WHEN {" OR ".join(_fits(b) for b in url_filter.BLOCKED)} THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
