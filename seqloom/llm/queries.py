@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, decontaminate, language_id, packing, secret_scan, simhash, url_filter
+from . import audio, common, decontaminate, language_id, license_scan, packing, secret_scan, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,3 +95,16 @@ SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'"
   WHEN {" OR ".join(_fits(b) for b in url_filter.BLOCKED)} THEN 'block' ELSE 'allow' END AS verdict
 FROM j
 """
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/doc_id div 4096/doc_id div 64/doc_id.
+
+    A document that ends with a license statement stands for a license file of its directory.
+    """
+    docs = common.table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.expr("doc_id div 4096").cast("string"), F.expr("doc_id div 64").cast("string"), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", path.alias("path"), "text")
+    found = license_scan.detected(files).withColumn("is_license_file", F.col("own_passage").isNotNull() & F.endswith(F.rtrim("text"), F.rtrim("own_passage")))
+    return license_scan.inherited(found.drop("text")).select("doc_id", "path", "license", "basis", "score", "license_dir")
