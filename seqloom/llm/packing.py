@@ -35,20 +35,72 @@ from . import common
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Words whose ids a worker keeps; when there are more, it begins anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
+#: What may follow the letters of a word and is a match of the tokenizer of its own.
+MARKS = '.,!?;:"()[]-'
 
 
-def tokenizer(path: str):
-    """(tokenizer, ids of words so far) of this process."""
-    kept = sys.modules.setdefault("_seqloom_tokenizers", types.ModuleType("_seqloom_tokenizers")).__dict__
-    if path not in kept:
+class Words:
+    """The ids of words, which the tokenizer finds out once for each word."""
+
+    def __init__(self, path: str):
         import os
 
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        kept[path] = Tokenizer.from_file(public_tokenizers.path(path)), {}
+        self.tok, self.known = Tokenizer.from_file(public_tokenizers.path(path)), {}
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words to those known.
+
+        A word of letters alone is one match of the tokenizer, and its last token is the only
+        one that ends a word; so many of them are encoded as one text and told apart by that.
+        Marks behind the letters are a match too. All other words are encoded one by one.
+        """
+        known, plain, ended, other = self.known, {}, [], []
+        for w in words:
+            text = w.decode()
+            core = text if text.isalpha() else text.rstrip(MARKS)
+            if not core.isalpha():
+                other.append(w)
+            elif core is text:
+                plain[w] = text
+            else:
+                c, m = core.encode(), text[len(core) :].encode()
+                ended.append((w, c, m))
+                if c not in known:
+                    plain[c] = core
+                if m not in known:
+                    other.append(m)
+        keys = list(plain)
+        for at in range(0, len(keys), 4000):
+            part = keys[at : at + 4000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([plain[w] for w in part])], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):  # some letter is none for the tokenizer
+                other += part
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops.tolist(), strict=True):
+                known[w] = raw[start:stop]
+                start = stop
+        other = list(dict.fromkeys(other))
+        for w, e in zip(other, self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, c, m in ended:
+            known[w] = known[c] + known[m]
+
+
+def words_of(path: str) -> Words:
+    """This process's words."""
+    kept = sys.modules.setdefault("_seqloom_tokenizers", types.ModuleType("_seqloom_tokenizers")).__dict__
+    if path not in kept:
+        kept[path] = Words(path)
     return kept[path]
 
 
@@ -59,21 +111,16 @@ def token_ids(texts: list[str | None], path: str = TOKENIZER) -> Iterator[np.nda
     ids of a text are those of its words, and a word that came before need not be done again.
     It also lower-cases, so A-Z are lower-cased first, but for texts that may hold special tokens.
     """
-    tok, known = tokenizer(path)
+    own = words_of(path)
     split = []
     for text in texts:
         raw = (text or "").encode()
         split.append((raw if b"<|" in raw else raw.lower()).split())
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > KEPT_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    if len(own.known) > KEPT_WORDS:
+        own.known.clear()
+    own.learn(list(set().union(*split).difference(own.known)))
     for words in split:
-        yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        yield np.frombuffer(b"".join([own.known[w] for w in words]), "<u4")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = TOKENIZER, keep_ids: bool = True) -> DataFrame:
