@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, decontaminate, language_id, license_scan, packing, secret_scan, simhash, url_filter
+from . import audio, common, decontaminate, language_id, license_scan, packing, secret_scan, simhash, surrogates, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select("doc_id", path.alias("path"), "text")
     found = license_scan.detected(files).withColumn("is_license_file", F.col("own_passage").isNotNull() & F.endswith(F.rtrim("text"), F.rtrim("own_passage")))
     return license_scan.inherited(found.drop("text")).select("doc_id", "path", "license", "basis", "score", "license_dir")
+
+
+@query
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(common.table(spark, sf_dir, "documents"), "op5").select("doc_id", "text", "n_replaced")
