@@ -1,0 +1,57 @@
+from collections import defaultdict
+
+from test_decontaminate import brute, brute_words
+from test_packing import packed_well
+from test_simhash import brute_components, brute_fp
+
+import corpus_pipeline as cp
+from seqloom.llm import language_id, secret_scan
+
+D = "/root/testdata/sf0.01"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def held(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_stages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    model = language_id.train(docs)
+    rows = held(docs)
+    want = {i for i, r in rows.items() if (p := model.predict(r["text"]))[0] != "und" and p[1] >= cp.MIN_LANGUAGE_SCORE}
+    assert len(want) > 0.99 * len(rows)
+    prints = [(i, brute_fp(rows[i]["text"])) for i in want]
+    want = set(brute_components(prints).values())
+    windows = {tuple(b[s : s + 10]) for _, t in items for b in [brute_words(t)] for s in range(len(b) - 9)}
+    assert all(len(brute_words(t)) >= 10 for _, t in items)
+    dirty = set()
+    for i in want:
+        w = brute_words(rows[i]["text"])
+        if any(tuple(w[p : p + 10]) in windows for p in range(len(w) - 9)):
+            dirty.add(i)
+    some = sorted(dirty)[:2]
+    assert all(brute(rows[i]["text"], items)[1] for i in some)
+    want -= dirty
+    texts = [(i, secret_scan.redacted_text(rows[i]["text"])) for i in sorted(want)]
+    assert any("[SECRET]" in t for _, t in texts)
+    n, least = packed_well(cp.run(spark, D).collect(), texts)
+    assert n <= least + 1
+    df = docs
+    for _, stage in cp.STAGES[:-1]:
+        df = stage(spark, df, D)
+        assert df.columns == COLUMNS
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in df.collect()) == sorted((i, t, len(t)) for i, t in texts)
+
+
+def test_odd_tables(spark, docs):
+    rows = [(1, None), (2, ""), (3, "123"), (4, "a few words of a text"), (4, "a few words of a text"), (None, "other words for null ids here")]
+    for table in (docs(rows), docs([])):
+        df = table
+        for _, stage in cp.STAGES:
+            df = stage(spark, df, D)
+        found = defaultdict(int)
+        for r in df.collect():
+            found[r["doc_id"]] += 1
+        assert dict(found) in ({4: 1, None: 1}, {})
