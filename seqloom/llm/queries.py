@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, decontaminate, language_id, license_scan, packing, secret_scan, simhash, surrogates, url_filter
+from . import audio, common, decontaminate, language_id, license_scan, packing, quotes, secret_scan, simhash, surrogates, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(common.table(spark, sf_dir, "documents"), "op5").select("doc_id", "text", "n_replaced")
+
+
+@query
+def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(common.table(spark, sf_dir, "conversations"))
