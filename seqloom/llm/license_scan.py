@@ -2,10 +2,10 @@
 
 Files are cut into passages (lines, and sentences in them). A passage's terms are weighted by
 their frequency in it and by their inverse document frequency over the templates; its best
-template is that of the highest cosine, if that is at least `threshold`. A passage can reach
-the threshold only if it has a term outside a set of common ones whose share of every template
-is below it, so that only such passages are compared: by the Cauchy-Schwarz inequality none
-is missed.
+template is that of the highest cosine, if that is at least `threshold`. For each template
+some of its longest and less common terms are anchors, so many that the share of its other terms in its norm is
+below the threshold. By the Cauchy-Schwarz inequality a passage without an anchor can't reach
+the threshold, so that only texts and passages with one are compared, and none is missed.
 
 A file without a license of its own inherits that of its nearest ancestor directory with a
 license file. Directories are joined, not files, by the paths of their ancestors, and the few
@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.6
+THRESHOLD = 0.75
 PASSAGE = r"[\r\n]+|(?<=[.;!?])\s+"
 WORD = r"[^a-z0-9+]+"
 
@@ -52,6 +52,10 @@ TEMPLATES = (
 )
 
 
+#: Terms that nearly any text has; anchors are taken from the others first.
+EVERYDAY = frozenset("a all an and any are as by for from in is it its may not of on or that the this to with you".split())
+
+
 def terms(text: str) -> list[str]:
     return [w for w in re.split(WORD, text.lower()) if w]
 
@@ -70,11 +74,16 @@ class Weights:
             v = {w: n * self.idf[w] for w, n in bag.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append({w: x / norm for w, x in v.items()})
-        common: set[str] = set()
-        for w in sorted(df, key=lambda w: (-df[w], w)):  # the most common terms, as many as stay below the threshold
-            if all(math.sqrt(sum(x * x for t, x in v.items() if t in common or t == w)) < threshold for v in self.vectors):
-                common.add(w)
-        self.anchors = sorted(set(df) - common)
+        needed: set[str] = set()
+        for v in self.vectors:  # the longest terms, until the others can't reach the threshold
+            left = sum(x * x for t, x in v.items() if t not in needed)
+            for t in sorted(v, key=lambda t: (t in EVERYDAY, -len(t), t)):
+                if left < threshold * threshold - 1e-9:
+                    break
+                if t not in needed:
+                    needed.add(t)
+                    left -= v[t] ** 2
+        self.anchors = sorted(needed)
 
 
 def _map(values: dict[str, float]) -> Column:
@@ -106,7 +115,8 @@ def detected(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     anchor = r"(?i)(?<![a-z0-9+])(?:" + "|".join(map(re.escape, w.anchors)) + r")(?![a-z0-9+])"
     kind = "array<struct<score:double,order:int,license:string,passage:string>>"
     passages = F.filter(F.split("text", PASSAGE), lambda p: p.rlike(anchor))
-    best = F.when(F.col("text").rlike(anchor), F.array_max(F.transform(passages, lambda p: _scored(p, w)))).otherwise(F.array_max(F.array().cast(kind)))
+    anchored = F.arrays_overlap(F.split(F.lower("text"), WORD), F.array(*[F.lit(a) for a in w.anchors]))
+    best = F.when(anchored, F.array_max(F.transform(passages, lambda p: _scored(p, w)))).otherwise(F.array_max(F.array().cast(kind)))
     out = files.withColumn("_best", best)
     hit = F.col("_best.score") >= threshold
     own = {"own_license": F.when(hit, F.col("_best.license")), "own_score": F.when(hit, F.col("_best.score")), "own_passage": F.when(hit, F.col("_best.passage"))}
