@@ -25,6 +25,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 THRESHOLD = 0.75
 PASSAGE = r"[\r\n]+|(?<=[.;!?])\s+"
 WORD = r"[^a-z0-9+]+"
@@ -140,8 +142,9 @@ def inherited(files: DataFrame) -> DataFrame:
     """files of detected(), with a boolean is_license_file, with license, basis, score and license_dir.
 
     basis: own, inherited or none. license_dir: the directory that a license is inherited from.
+    The files are used again and again, so they are written to shared storage first.
     """
-    rows = files.withColumn("_dir", directory(F.col("path")))
+    rows = common.staged(files, "licensed").withColumn("_dir", directory(F.col("path")))
     given = rows.filter("is_license_file AND own_license IS NOT NULL AND _dir IS NOT NULL").groupBy(F.col("_dir").alias("_from"))
     given = given.agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("license"))).alias("_x"))
     given = given.select("_from", F.col("_x.license").alias("_license"), (-F.col("_x.s")).alias("_score"))
