@@ -1 +1 @@
-
+"""Scalar functions as columns, and edit distances."""

@@ -1 +1 @@
-
+"""Operators over DataFrames of sequences, words, edges, clusters and terms."""

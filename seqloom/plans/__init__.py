@@ -1 +1 @@
-
+"""Parameters and whole clusterings."""

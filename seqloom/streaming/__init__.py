@@ -1 +1,5 @@
+"""Room for streaming operators.
 
+All operators of this engine read their input to its end before they give results: ids follow a
+global order, and a cover depends on all edges. So there are no streaming ones.
+"""

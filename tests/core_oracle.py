@@ -1,0 +1,23 @@
+"""Rows of a query and of its SQL in DuckDB, both with columns by name and rows sorted."""
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(x):
+    return round(x, 9) if isinstance(x, float) else x
+
+
+def rows(found):
+    return sorted((tuple(plain(r[c]) for c in sorted(found.columns)) for r in found.collect()), key=str)
+
+
+def duck(sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = con.execute(sql)
+    names = [c[0] for c in got.description]
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return [names[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in got.fetchall()), key=str)
