@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BUCKETS, NGRAMS, SAMPLE_ROWS, UNKNOWN = 1 << 15, 3, 4000, "und"
 _LETTER = re.compile("[A-Za-z]")
 #: Odd multipliers that mix the characters of an n-gram.
@@ -133,7 +135,7 @@ def frequencies(rows: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(buckets + 1, np.int64)
-        for batch in batches:
+        for batch in common.sliced(batches):
             for text in batch.column(0):
                 text = text.as_py()
                 if has_letter(text):
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in common.sliced(batches):
             got = [m.predict(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -207,7 +209,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in common.sliced(batches):
             got = [m.predict(x.as_py()) for x in batch.column("text")]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in got], pa.bool_()))
 

@@ -35,7 +35,7 @@ from . import common
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Words whose ids a worker keeps; when there are more, it begins anew.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 #: What may follow the letters of a word and is a match of the tokenizer of its own.
 MARKS = '.,!?;:"()[]-'
 
@@ -131,26 +131,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                rows, kept = [], []
-                for doc, ids in zip(batch.column(0), token_ids(batch.column(1).to_pylist(), path), strict=True):
-                    ids = np.append(ids, np.array([end_id], "<u4"))
-                    for n, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        rows.append((doc.as_py(), n, start, len(own), zlib.crc32(own), part, seen[len(own)]))
-                        seen[len(own)] += 1
-                        if keep_ids:
-                            kept.append(own.astype(np.int32))
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-                if keep_ids:
-                    arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
-                if rows:
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+        for batch in common.sliced(batches):
+            rows, kept = [], []
+            for doc, ids in zip(batch.column(0), token_ids(batch.column(1).to_pylist(), path), strict=True):
+                ids = np.append(ids, np.array([end_id], "<u4"))
+                for n, start in enumerate(range(0, len(ids), capacity)):
+                    own = ids[start : start + capacity]
+                    rows.append((doc.as_py(), n, start, len(own), zlib.crc32(own), part, seen[len(own)]))
+                    seen[len(own)] += 1
+                    if keep_ids:
+                        kept.append(own.astype(np.int32))
+            cols = list(zip(*rows, strict=True))
+            arrays = [pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+            if keep_ids:
+                arrays.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            if rows:
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

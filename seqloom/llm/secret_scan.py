@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 45.0
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,7 +159,7 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows = []
             for text in batch.column(1):
                 base, found = spans(text.as_py() or "", min_bits)
@@ -189,7 +191,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", min_bits: float = MIN_BITS)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             old = batch.column("text").to_pylist()
             new = [redacted_text(x, mark, min_bits) for x in old]
             i = batch.schema.get_field_index("text")
