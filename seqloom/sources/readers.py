@@ -98,7 +98,7 @@ def fastq(spark: SparkSession, *paths: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, value): lines in their order in each file, which is read whole."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
 
 

@@ -1,0 +1,217 @@
+import random
+from collections import Counter
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from seqloom.functions import distance as D
+from seqloom.operators import cover, search, sequences, words
+from seqloom.plans import cluster as plans
+from seqloom.plans.params import Params
+
+EDGE = "src long, dst long, sim int"
+
+
+def greedy_cover(sets):
+    left, chosen = {d for s in sets.values() for d in s}, []
+    while left:
+        best = min(sets, key=lambda s: (-len(sets[s] & left), s))
+        chosen.append((best, len(sets[best] & left)))
+        left -= sets[best]
+    return sorted(chosen)
+
+
+def test_cover_is_the_greedy_one(spark):
+    rng = random.Random(4)
+    for n in (1, 6, 14):
+        sets = {i: {i, *(rng.randrange(n) for _ in range(rng.randint(0, 4)))} for i in range(n)}
+        edges = spark.createDataFrame([(s, d, 100) for s, m in sets.items() for d in m], EDGE)
+        assert sorted((r["src"], r["size"]) for r in cover.set_cover(edges).collect()) == greedy_cover(sets)
+    assert cover.set_cover(spark.createDataFrame([], EDGE)).count() == 0
+
+
+def test_representative_in_another_cluster(spark):
+    rows = [(i, i, 100) for i in (1, 2, 4, 5, 6)] + [(1, 2, 100), (1, 4, 90), (1, 5, 90), (2, 1, 100), (2, 6, 90)]
+    edges = spark.createDataFrame(rows, EDGE)
+    assert {r["src"] for r in cover.set_cover(edges).collect()} == {1, 2}
+    got = {r["member"]: r["centroid"] for r in cover.clusters(edges).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 1, 6: 2}
+
+
+def test_assignment_ties_and_zero(spark):
+    edges = spark.createDataFrame([(3, 9, 80), (1, 9, 80), (2, 9, 70), (1, 8, 0)], EDGE)
+    far = spark.createDataFrame([(0, 9, 80), (0, 7, 2)], EDGE)
+    chosen = spark.createDataFrame([(0,), (1,), (2,), (3,)], "src long")
+    got = {r["member"]: (r["centroid"], r["sim"]) for r in cover.assigned(edges, chosen, far).collect()}
+    assert got == {9: (1, 80), 7: (0, 2)}
+
+
+def brute_closure(edges, depth):
+    out = {}
+    for s in {a for a, _ in edges}:
+        seen = {b for a, b in edges if a == s}
+        front = set(seen)
+        for i in range(depth):
+            front = {b for a, b in edges if a in front} - seen
+            out.update({(s, b): depth + 1 - i for b in front})
+            seen |= front
+    return out
+
+
+def test_closure(spark):
+    path = spark.createDataFrame([(1, 2, 90), (2, 3, 90), (3, 4, 90)], EDGE)
+    assert sorted(tuple(r) for r in cover.closure(path, 1).collect()) == [(1, 3, 2), (2, 4, 2)]
+    rng = random.Random(6)
+    pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(20)} | {(i, i) for i in range(12)}
+    df = spark.createDataFrame([(a, b, 90) for a, b in pairs], EDGE)
+    for depth in (0, 1, 3):
+        assert {(r["src"], r["dst"]): r["sim"] for r in cover.closure(df, depth).collect()} == brute_closure(pairs, depth)
+
+
+def test_cover_against_first_come(spark):
+    seqs = spark.createDataFrame([(0, "a", "ABXXEFGHIJ", ""), (1, "b", "ABXXEFXXI", ""), (2, "c", "BCDEFXXIJ", "")], "seq_id long, name string, seq string, comment string")
+    p = Params(sim_perc=65, sim_base=0, len_perc_src=0, len_perc_snk=0, seed_length=1, seed_high_len_perc=0, seed_mincnt=99, sign_length=1, alphasize_seed=0, alphasize_sign=0, alphasize_sim=0).derived()
+    edges = search.exhaustive(seqs.withColumn("seqlen", F.length("seq")), p)
+    assert {(r["src"], r["dst"]): r["sim"] for r in edges.collect() if r["src"] != r["dst"]} == {(1, 0): 70, (0, 1): 77, (1, 2): 66, (2, 1): 66}
+    assert {r["centroid"] for r in plans.cluster(seqs, p).collect()} == {1}
+
+
+def family(rng, n, size, edits):
+    out = []
+    for f in range(n):
+        base = [rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(120)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randint(0, edits)):
+                own[rng.randrange(len(own))] = rng.choice("ACDEFGHIKLMNPQRSTVWY")
+            out.append((f"F{f}@{len(out)}", "c", "".join(own)))
+    return out
+
+
+def brute_edges(rows, p, kept):
+    """All pairs that pass lengths, cutoff and distance; kept(a, b) says whether a pair may be found."""
+    out = {}
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if i == j:
+                out[i, j] = 100
+                continue
+            x, y = a[2], b[2]
+            if len(x) * p.len_perc_src > 100 * len(y) or len(y) * p.len_perc_snk > 100 * len(x) or not kept(x, y):
+                continue
+            import math
+
+            most = len(y) - math.ceil((1 - 1e-9) * math.sqrt(p.sim_base**2 + (len(y) * (p.sim_perc - p.sim_diff) / 100) ** 2))
+            d = D.distance(y, x, most=most)[0] if most >= 0 else -1
+            if d >= 0 and (len(y) - d) * 100 // len(y) >= p.sim_perc:
+                out[i, j] = (len(y) - d) * 100 // len(y)
+    return out
+
+
+def test_exhaustive_equals_all_pairs(spark):
+    rows = family(random.Random(1), 6, 5, 25)
+    seqs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq_id long, name string, comment string, seq string").withColumn("seqlen", F.length("seq"))
+    p = Params(sim_perc=70, seed_length=4, seed_high_len_perc=0, seed_mincnt=1000, alphasize_seed=0, alphasize_sign=0, alphasize_sim=0).derived()
+    share = lambda x, y: bool({x[i : i + 4] for i in range(len(x) - 3)} & {y[i : i + 4] for i in range(len(y) - 3)})
+    want = brute_edges(rows, p, share)
+    assert {(r["src"], r["dst"]): r["sim"] for r in search.exhaustive(seqs, p).collect()} == want
+    # with no limit on tries, coverage or postings the pruned search finds the same
+    free = replace(p, cov_src_max=10**6, attempt_base=1e6, idxentry_itmax=10**6)
+    assert {(r["src"], r["dst"]): r["sim"] for r in search.batched(seqs, free, first_batch=7).collect()} == want
+
+
+def test_whole_clusterings(spark):
+    rows = family(random.Random(2), 5, 4, 6)
+    rows += [("dup@1", "", rows[0][2]), ("dup@2", "", rows[0][2])]
+    seqs = spark.createDataFrame(rows, "name string, comment string, seq string").repartition(3)
+    for mode in ("exhaustive", "batched"):
+        got = plans.cluster(seqs, Params(sim_perc=60, seed_length=5, seed_high_len_perc=0), mode)
+        named, p = plans.prepared(seqs, Params(sim_perc=60, seed_length=5, seed_high_len_perc=0))
+        full = plans.named(got, named).collect()
+        assert sorted(r["member"] for r in full) == sorted(r[0] for r in rows)
+        first = {r["member"]: r["centroid"] for r in full}
+        assert first["dup@1"] == first["dup@2"]
+        assert len(set(first.values())) == 5
+    assert plans.greedy(seqs, Params(sim_perc=60, seed_length=5, seed_high_len_perc=0)).select("centroid").distinct().count() >= 5
+    table = plans.sweep(seqs, [50, 90], Params(seed_length=5, seed_high_len_perc=0)).collect()
+    assert [r["cutoff"] for r in table] == [50, 90] and table[0]["clusters"] <= table[1]["clusters"]
+
+
+def test_derived_plan(spark):
+    rows = family(random.Random(3), 4, 3, 3)
+    _, p = plans.prepared(spark.createDataFrame(rows, "name string, comment string, seq string"))
+    assert p.seqtype == 1 and p.sim_perc == 50 and 3 <= p.seed_length <= 30 and p.seed_high_len_perc is not None
+    dna = spark.createDataFrame([("x", "", "ACGT" * 20), ("y", "", "ACGT" * 19 + "AAAA"), ("z", "", "TTGCA" * 15)], "name string, comment string, seq string")
+    found, p = plans.prepared(dna)
+    assert p.seqtype == 3 and p.sim_diff == 20
+    assert plans.cluster(dna).count() == 3
+
+
+def test_z_values(spark):
+    rows = family(random.Random(5), 2, 3, 4)
+    seqs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq_id long, name string, comment string, seq string").withColumn("seqlen", F.length("seq"))
+    p = Params(sim_perc=60, seed_length=4, seed_high_len_perc=0, zval_as_sim=True, alphasize_sim=0).derived()
+    got = {(r["src"], r["dst"]): r["sim"] for r in search.exhaustive(seqs, p).collect() if r["src"] != r["dst"]}
+    for (a, b), sim in got.items():
+        x, y = rows[a][2], rows[b][2]
+        q = sum((n / len(x)) ** 2 for n in Counter(x).values())
+        d = D.distance(y, x)[0]
+        z = ((len(y) - d) - len(y) * q) / (len(y) * q * (1 - q)) ** 0.5
+        assert sim == min(200, 100 + int(z // 1)) and sim > 100
+    strict = search.exhaustive(seqs, replace(p, sim_zval=10**6)).filter("src != dst")
+    assert got and strict.count() == 0
+
+
+def naive_stop(hits, rate):
+    import math
+
+    m, run = math.ceil(rate * len(hits)), 0
+    for i, h in enumerate(hits):
+        run = 0 if h else run + 1
+        if run >= m:
+            return i + 1
+    return len(hits)
+
+
+def test_early_stop(spark):
+    rng = random.Random(9)
+    traces = [[rng.random() < 0.3 for _ in range(rng.randint(1, 90))] for _ in range(40)]
+    for t in traces:
+        assert search.kept_of_trace(t, 0.05, 0.05, 0.05) == naive_stop(t, 0.05)
+    rows = [(i, r, h) for i, t in enumerate(traces) for r, h in enumerate(t, 1)]
+    df = spark.createDataFrame(rows, "src int, rank int, hit boolean")
+    got = Counter(r["src"] for r in search.stopped(df).collect())
+    assert dict(got) == {i: naive_stop(t, 0.05) for i, t in enumerate(traces)}
+
+
+def test_next_batch():
+    assert search.next_batch(256, 1, 0) == 512 and search.next_batch(256, 1, 63) == 256 + 16
+    assert search.next_batch(256, 1, 127) == 256 - 32 and search.next_batch(256, 1, 10**9) == 128
+
+
+def test_samples_and_order(spark):
+    seqs = spark.range(1000).select(F.col("id").alias("seq_id"), F.concat(F.lit("n"), "id").alias("name"))
+    half = sequences.half_sample(seqs, F.col("name"), 3)
+    assert 400 < half.count() < 600 and half.count() == sequences.half_sample(seqs.repartition(9), F.col("name"), 3).count()
+    shuffled = sequences.numbered(seqs.drop("seq_id"), sequences.order_key("shuffle", F.col("name"), F.col("name")))
+    assert sorted(r["seq_id"] for r in shuffled.collect()) == list(range(1000))
+    assert sequences.order_key("none", F.col("name"), F.col("name")) == []
+    kinds = {"ACGT": 3, "ACGU": 2, "MKVL": 1}
+    for letters, kind in kinds.items():
+        df = spark.range(300).select(F.col("id").alias("seq_id"), F.lit(letters * 5).alias("seq"))
+        assert sequences.detected_type(df).first()["seqtype"] == kind
+
+
+def test_words_of_short_and_empty(spark):
+    seqs = spark.createDataFrame([(0, "AB"), (1, ""), (2, "ABCABC"), (3, None)], "seq_id long, seq string")
+    assert words.windows(seqs, 3).count() == 4
+    assert {r["seq_id"] for r in words.sampled(seqs, 3, 2).collect()} == {2}
+    assert {(r["seq_id"], r["cnt"]) for r in words.counts(seqs, 3).collect()} == {(2, 2), (2, 1)}
+    assert words.windows(seqs.limit(0), 3).count() == 0
+
+
+def test_bad_records_are_errors(spark):
+    import pytest
+
+    with pytest.raises(Exception, match="without name or sequence"):
+        sequences.loaded(spark.createDataFrame([("a", "")], "name string, seq string")).collect()
