@@ -41,7 +41,9 @@ def windows(rows: DataFrame, keys: list[str], length: int, gram: int) -> DataFra
     at = lambda i: F.get("h", F.col("s") + i)
     grams = [F.xxhash64(*[at(i + j) for j in range(k)]) for i in range(length - k + 1)]
     starts = F.when(F.col("n") >= length, F.sequence(F.lit(0), F.col("n") - length)).otherwise(F.array().cast("array<int>"))
-    return rows.select(*keys, "w", "h", F.explode(starts).alias("s")).select(*keys, "w", "s", (F.least(*grams) if len(grams) > 1 else grams[0]).alias("fp"))
+    # never null, and said not to be: the join would else test it first and compute it twice
+    least = F.coalesce(F.least(*grams) if len(grams) > 1 else grams[0], F.lit(0).cast("long"))
+    return rows.select(*keys, "w", "h", F.explode(starts).alias("s")).select(*keys, "w", "s", least.alias("fp"))
 
 
 def _span(length: int) -> Column:
