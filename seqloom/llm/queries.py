@@ -99,15 +99,39 @@ FROM j
 
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/doc_id div 4096/doc_id div 64/doc_id.
+    """Documents as files: source/doc_id div 256/doc_id div 16/doc_id.
 
-    A document that ends with a license statement stands for a license file of its directory.
+    A document that ends with a license statement stands for a license file, one directory up.
     """
-    docs = common.table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", F.expr("doc_id div 4096").cast("string"), F.expr("doc_id div 64").cast("string"), F.col("doc_id").cast("string"))
-    files = docs.select("doc_id", path.alias("path"), "text")
-    found = license_scan.detected(files).withColumn("is_license_file", F.col("own_passage").isNotNull() & F.endswith(F.rtrim("text"), F.rtrim("own_passage")))
-    return license_scan.inherited(found.drop("text")).select("doc_id", "path", "license", "basis", "score", "license_dir")
+    found = license_scan.detected(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    given = F.col("own_passage").isNotNull() & F.endswith(F.rtrim("text"), F.rtrim("own_passage"))
+    found = found.withColumn("is_license_file", given).drop("text")
+    level = lambda n: F.expr(f"doc_id div {n}").cast("string")
+    path = F.concat_ws("/", "source", level(256), F.when(~F.col("is_license_file"), level(16)), F.col("doc_id").cast("string"))
+    return license_scan.inherited(found.withColumn("path", path)).select("doc_id", "path", "license", "basis", "score", "license_dir")
+
+
+_SPLIT = "[^a-z0-9+]+"
+ORACLE_SQL["op2_licenses"] = f"""
+WITH tpl(i, name, text) AS (VALUES {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(license_scan.TEMPLATES))}),
+tw AS (SELECT i, name, w, count(*) AS tf FROM (SELECT i, name, unnest(string_split_regex(lower(text), '{_SPLIT}')) AS w FROM tpl) WHERE w <> '' GROUP BY ALL),
+idf AS (SELECT w, ln((1 + {len(license_scan.TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tw GROUP BY w),
+tv AS (SELECT i, name, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i)) AS x FROM tw JOIN idf USING (w)),
+p AS (SELECT DISTINCT doc_id, passage FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+')) AS passage FROM documents)),
+pw AS (SELECT doc_id, passage, w, count(*) AS tf FROM (SELECT doc_id, passage, unnest(string_split_regex(lower(passage), '{_SPLIT}')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
+pn AS (SELECT doc_id, passage, sqrt(sum(pow(tf * coalesce(idf, ln(1 + {len(license_scan.TEMPLATES)}) + 1), 2))) AS norm FROM pw LEFT JOIN idf USING (w) GROUP BY ALL),
+sc AS (SELECT doc_id, passage, name, round(max(d) / any_value(norm), 6) AS score FROM
+  (SELECT doc_id, passage, i, name, sum(tf * idf * x) AS d FROM pw JOIN idf USING (w) JOIN tv USING (w) GROUP BY ALL) JOIN pn USING (doc_id, passage) GROUP BY doc_id, passage, name),
+own AS (SELECT doc_id, passage, name, score FROM sc WHERE score >= {license_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, passage DESC) = 1),
+f AS (SELECT d.doc_id, o.name, o.score, coalesce(ends_with(rtrim(d.text), rtrim(o.passage)), false) AS lic, source || '/' || (doc_id // 256) AS up, '/' || (doc_id // 16) AS low FROM documents d LEFT JOIN own o USING (doc_id)),
+g AS (SELECT *, up || CASE WHEN lic THEN '' ELSE low END AS dir FROM f),
+lf AS (SELECT dir, name, score FROM g WHERE lic QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || doc_id) = 1),
+n AS (SELECT g.*, coalesce(a.dir, b.dir) AS from_dir, coalesce(a.name, b.name) AS from_name, coalesce(a.score, b.score) AS from_score FROM g LEFT JOIN lf a ON a.dir = g.dir LEFT JOIN lf b ON b.dir = g.up)
+SELECT doc_id, dir || '/' || doc_id AS path, coalesce(name, from_name) AS license,
+  CASE WHEN name IS NOT NULL THEN 'own' WHEN from_name IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+  CASE WHEN name IS NOT NULL THEN score ELSE from_score END AS score, CASE WHEN name IS NULL THEN from_dir END AS license_dir
+FROM n
+"""
 
 
 @query

@@ -2,8 +2,10 @@ import math
 import re
 from collections import Counter
 
+from oracle import same
+
 from seqloom.llm import license_scan as ls
-from seqloom.llm.queries import QUERIES
+from seqloom.llm.queries import ORACLE_SQL, QUERIES
 
 
 def brute_best(text, threshold=ls.THRESHOLD):
@@ -87,9 +89,14 @@ def test_query_equals_brute_force(spark):
     for r in docs:
         best = brute_best(r["text"])
         i = r["doc_id"]
-        files[f"{r['source']}/{i // 4096}/{i // 64}/{i}"] = (best, bool(best) and r["text"].rstrip(" ").endswith(best[2].rstrip(" ")))
+        lic = bool(best) and r["text"].rstrip(" ").endswith(best[2].rstrip(" "))
+        files[f"{r['source']}/{i // 256}/{i}" if lic else f"{r['source']}/{i // 256}/{i // 16}/{i}"] = (best, lic)
     want = brute_inherit(files)
     got = {r["path"]: (r["license"], r["basis"], r["score"], r["license_dir"]) for r in QUERIES["op2_licenses"](spark, d).collect()}
     near = lambda v: (v[0], v[1], v[2] and round(v[2], 4), v[3])
     assert {k: near(v) for k, v in got.items()} == {k: near(v) for k, v in want.items()}
     assert sum(v[1] == "own" for v in got.values()) > 10 and sum(v[1] == "inherited" for v in got.values()) > 5
+
+
+def test_query_equals_sql(spark):
+    same(spark, QUERIES["op2_licenses"], ORACLE_SQL["op2_licenses"], "/root/testdata/sf0.01")
