@@ -26,10 +26,16 @@ def _at(i: int) -> Column:
     return F.get("_c", F.col("pos") + i)
 
 
+def _hash(k: int) -> Column:
+    """The hash of the window at pos. It is never null, and is said not to be: a join would
+    else test it first, which doubles the code of a stage beyond what is compiled."""
+    return F.coalesce(C.poly_hash(_at, k), F.lit(-1).cast("long"))
+
+
 def windows(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
     """(seq_id, pos, hash) of every window of k letters."""
     rows = _coded(seqs, alphabet)
-    return rows.select("seq_id", "_c", F.explode(_starts(F.col("_n"), k)).alias("pos")).select("seq_id", "pos", C.poly_hash(_at, k).alias("hash"))
+    return rows.select("seq_id", "_c", F.explode(_starts(F.col("_n"), k)).alias("pos")).select("seq_id", "pos", _hash(k).alias("hash"))
 
 
 def window_texts(seqs: DataFrame, k: int) -> DataFrame:
@@ -49,10 +55,9 @@ def sampled(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet:
     starts = F.when(count >= 1, F.sequence(F.lit(0), count - 1, gap)).otherwise(F.array().cast("array<int>"))
     out = rows.select("seq_id", "_c", "_n", F.explode(starts).alias("pos"))
     longer = (F.col("pos") > 0) & (F.floor(F.col("pos") * 100 / (F.col("_n") - (k - 1))) >= 100 - high_perc) & (F.col("pos") + k + 1 <= F.col("_n"))
-    base = C.poly_hash(_at, k)
-    more = (base * C.BASE + _at(k)) % C.MODULUS
-    length = F.when(longer, k + 1).otherwise(k)
-    return out.select("seq_id", "pos", length.alias("len"), F.when(longer, more).otherwise(base).alias("hash"))
+    out = out.select("seq_id", "pos", longer.alias("_more"), F.coalesce(_at(k), F.lit(0).cast("long")).alias("_next"), _hash(k).alias("_base"))
+    more = (F.col("_base") * C.BASE + F.col("_next")) % C.MODULUS
+    return out.select("seq_id", "pos", F.when(F.col("_more"), k + 1).otherwise(k).alias("len"), F.when(F.col("_more"), more).otherwise(F.col("_base")).alias("hash"))
 
 
 def index(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet: int = 0, n_buckets: int | None = None) -> DataFrame:

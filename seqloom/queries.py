@@ -38,8 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few for them; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("comment"), F.col("text").alias("seq"), F.length("text").alias("seqlen"))
 
 
