@@ -71,12 +71,16 @@ def index(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet: in
 
 
 def probes(seqs: DataFrame, k: int, longer: bool = False, alphabet: int = 0, n_buckets: int | None = None) -> DataFrame:
-    """(bucket, seq_id), distinct: every word of k letters, and of k + 1 if longer."""
+    """(bucket, seq_id): every word of k letters, and of k + 1 if longer.
+
+    A word that a sequence repeats stands there again: what is found is made distinct, and the
+    words, of which there are as many as letters, needn't be shuffled for it.
+    """
     found = windows(seqs, k, alphabet)
     if longer:
         found = found.unionByName(windows(seqs, k + 1, alphabet))
     bucket = F.col("hash") % n_buckets if n_buckets else F.col("hash")
-    return found.select(bucket.alias("bucket"), "seq_id").distinct()
+    return found.select(bucket.alias("bucket"), "seq_id")
 
 
 def counts(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
