@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import duckdb
+from oracle import same
+
 from seqloom.llm import quotes
-from seqloom.llm.queries import QUERIES
+from seqloom.llm.queries import ORACLE_SQL, QUERIES
 
 
 def norm(x):
@@ -105,6 +108,15 @@ def test_random_conversations(spark):
             rows.append((c, t, "user", quoted + text))
             said.append(quoted + text if rng.random() < 0.5 else text)
     check(spark, rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = con.execute(f"SELECT {', '.join(NAMES)} FROM ({ORACLE_SQL['op9_quotes']})").fetchall()
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_query_equals_sql(spark):
+    same(spark, QUERIES["op9_quotes"], ORACLE_SQL["op9_quotes"], "/root/testdata/sf0.01")
 
 
 def test_query_equals_brute_force(spark):
