@@ -99,7 +99,9 @@ def links(nodes: DataFrame, bits: int = BITS, group_rows: int = GROUP_ROWS) -> D
     rows, masks = nodes.select(F.lit(0).cast("long").alias("mask"), "fp"), [0]
     found: DataFrame | None = None
     while masks:
-        dealt = _dealt(rows, masks, bits).distinct()  # two groups' blocks can add up to the same bits
+        dealt = _dealt(rows, masks, bits)
+        if len(masks) > 1:  # two groups' blocks can add up to the same bits
+            dealt = dealt.distinct()
         sizes = dealt.groupBy("mask", "at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = common.staged(dealt.join(sizes, ["mask", "at"]), "simhash-groups")
         part = _joined(sized.filter(F.col("n") <= group_rows), bits)
@@ -254,9 +256,9 @@ def survivors(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFram
     # a kept doc_id can stand in several rows: one row of them is kept for each component
     kept = kept.groupBy("component_id", "root").agg(F.min("text_hash").alias("text_hash")).select(F.col("component_id").alias("doc_id"), "text_hash")
     kept = kept.distinct()
-    held = docs.withColumn("_hash", F.xxhash64("text"))
-    on = held["doc_id"].eqNullSafe(kept["doc_id"]) & (held["_hash"] == kept["text_hash"])
-    out = held.join(kept, on, "left_semi").drop("_hash")
+    held = docs.withColumn("__sl_hash", F.xxhash64("text"))
+    on = held["doc_id"].eqNullSafe(kept["doc_id"]) & (held["__sl_hash"] == kept["text_hash"])
+    out = held.join(kept, on, "left_semi").drop("__sl_hash")
     counts = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = counts.join(kept, counts["doc_id"].eqNullSafe(kept["doc_id"]) & (counts["text_hash"] == kept["text_hash"]), "left_semi")
     if again.isEmpty():
