@@ -107,15 +107,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         _merged(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("len")).alias("e"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
     )
-    hits = hits.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    hits = hits.withColumnsRenamed({"doc_id": "__sl_doc", "text_hash": "__sl_hash"})
     all_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    on = all_docs["doc_id"].eqNullSafe(hits["_doc"]) & (all_docs["text_hash"] == hits["_hash"])
+    on = all_docs["doc_id"].eqNullSafe(hits["__sl_doc"]) & (all_docs["text_hash"] == hits["__sl_hash"])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return all_docs.join(hits, on, "left").select("doc_id", "text_hash", "n_words", "spans", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), "item_ids")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs without those that share a window with an item."""
-    hits = matches(docs, items, window, gram).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    held = docs.withColumn("_text", F.xxhash64("text"))
-    return held.join(hits, held["doc_id"].eqNullSafe(hits["_doc"]) & (held["_text"] == hits["_hash"]), "left_anti").drop("_text")
+    hits = matches(docs, items, window, gram).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "__sl_doc", "text_hash": "__sl_hash"})
+    held = docs.withColumn("__sl_text", F.xxhash64("text"))
+    return held.join(hits, held["doc_id"].eqNullSafe(hits["__sl_doc"]) & (held["__sl_text"] == hits["__sl_hash"]), "left_anti").drop("__sl_text")

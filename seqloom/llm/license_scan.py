@@ -119,10 +119,10 @@ def detected(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     passages = F.filter(F.split("text", PASSAGE), lambda p: p.rlike(anchor))
     anchored = F.arrays_overlap(F.split(F.lower("text"), WORD), F.array(*[F.lit(a) for a in w.anchors]))
     best = F.when(anchored, F.array_max(F.transform(passages, lambda p: _scored(p, w)))).otherwise(F.array_max(F.array().cast(kind)))
-    out = files.withColumn("_best", best)
-    hit = F.col("_best.score") >= threshold
-    own = {"own_license": F.when(hit, F.col("_best.license")), "own_score": F.when(hit, F.col("_best.score")), "own_passage": F.when(hit, F.col("_best.passage"))}
-    return out.withColumns(own).drop("_best")
+    out = files.withColumn("__sl_best", best)
+    hit = F.col("__sl_best.score") >= threshold
+    own = {"own_license": F.when(hit, F.col("__sl_best.license")), "own_score": F.when(hit, F.col("__sl_best.score")), "own_passage": F.when(hit, F.col("__sl_best.passage"))}
+    return out.withColumns(own).drop("__sl_best")
 
 
 def directory(path: Column) -> Column:
@@ -144,21 +144,21 @@ def inherited(files: DataFrame) -> DataFrame:
     basis: own, inherited or none. license_dir: the directory that a license is inherited from.
     The files are used again and again, so they are written to shared storage first.
     """
-    rows = common.staged(files, "licensed").withColumn("_dir", directory(F.col("path")))
-    given = rows.filter("is_license_file AND own_license IS NOT NULL AND _dir IS NOT NULL").groupBy(F.col("_dir").alias("_from"))
-    given = given.agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("license"))).alias("_x"))
-    given = given.select("_from", F.col("_x.license").alias("_license"), (-F.col("_x.s")).alias("_score"))
-    folders = rows.select("_dir").filter("_dir IS NOT NULL").distinct().select("_dir", F.explode(ancestors(F.col("_dir"))).alias("_a"))
-    nearest = folders.join(given, F.col("_a.name") == F.col("_from")).groupBy("_dir")
-    nearest = nearest.agg(F.max(F.struct(F.col("_a.depth").alias("depth"), "_from", "_license", "_score")).alias("_n"))
-    out = rows.join(nearest, "_dir", "left")
+    rows = common.staged(files, "licensed").withColumn("__sl_dir", directory(F.col("path")))
+    given = rows.filter("is_license_file AND own_license IS NOT NULL AND __sl_dir IS NOT NULL").groupBy(F.col("__sl_dir").alias("__sl_from"))
+    given = given.agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("license"))).alias("__sl_x"))
+    given = given.select("__sl_from", F.col("__sl_x.license").alias("__sl_license"), (-F.col("__sl_x.s")).alias("__sl_score"))
+    folders = rows.select("__sl_dir").filter("__sl_dir IS NOT NULL").distinct().select("__sl_dir", F.explode(ancestors(F.col("__sl_dir"))).alias("__sl_a"))
+    nearest = folders.join(given, F.col("__sl_a.name") == F.col("__sl_from")).groupBy("__sl_dir")
+    nearest = nearest.agg(F.max(F.struct(F.col("__sl_a.depth").alias("depth"), "__sl_from", "__sl_license", "__sl_score")).alias("__sl_n"))
+    out = rows.join(nearest, "__sl_dir", "left")
     own = F.col("own_license").isNotNull()
     return out.withColumns({
-        "license": F.coalesce("own_license", "_n._license"),
-        "basis": F.when(own, "own").when(F.col("_n").isNotNull(), "inherited").otherwise("none"),
-        "score": F.when(own, F.col("own_score")).otherwise(F.col("_n._score")),
-        "license_dir": F.when(~own, F.col("_n._from")),
-    }).drop("_dir", "_n")
+        "license": F.coalesce("own_license", "__sl_n.__sl_license"),
+        "basis": F.when(own, "own").when(F.col("__sl_n").isNotNull(), "inherited").otherwise("none"),
+        "score": F.when(own, F.col("own_score")).otherwise(F.col("__sl_n.__sl_score")),
+        "license_dir": F.when(~own, F.col("__sl_n.__sl_from")),
+    }).drop("__sl_dir", "__sl_n")
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

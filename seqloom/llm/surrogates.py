@@ -208,13 +208,13 @@ def replacements(docs: DataFrame, key: str) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with its entities replaced, n_chars (where it is there) of the new text, and n_replaced."""
-    found = replacements(docs, key).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash", "filled": "_filled"})
+    found = replacements(docs, key).withColumnsRenamed({"doc_id": "__sl_doc", "text_hash": "__sl_hash", "filled": "__sl_filled"})
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
     clean = docs.filter(~has).withColumn("n_replaced", F.lit(0).cast("long"))
-    held = docs.filter(has).withColumn("_text", F.xxhash64("text"))
-    held = held.join(found, held["doc_id"].eqNullSafe(found["_doc"]) & (held["_text"] == found["_hash"])).withColumns({"_m": mentions(F.col("text")), "_gaps": F.split("text", PATTERN)})
-    whole = F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.element_at("_filled", F.get("_m", i)), F.lit(""))))
-    held = held.withColumns({"text": F.array_join(whole, ""), "n_replaced": F.size("_m").cast("long")})
+    held = docs.filter(has).withColumn("__sl_text", F.xxhash64("text"))
+    held = held.join(found, held["doc_id"].eqNullSafe(found["__sl_doc"]) & (held["__sl_text"] == found["__sl_hash"])).withColumns({"__sl_m": mentions(F.col("text")), "__sl_gaps": F.split("text", PATTERN)})
+    whole = F.transform("__sl_gaps", lambda g, i: F.concat(g, F.coalesce(F.element_at("__sl_filled", F.get("__sl_m", i)), F.lit(""))))
+    held = held.withColumns({"text": F.array_join(whole, ""), "n_replaced": F.size("__sl_m").cast("long")})
     if "n_chars" in docs.columns:
         held = held.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(held.select(*clean.columns))
