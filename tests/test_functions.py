@@ -54,7 +54,7 @@ def test_parameters():
         p = Params(seqtype=kind).derived()
         got = (p.sim_perc, p.sim_base, p.len_perc_src, p.len_perc_snk, p.sign_length, p.sim_diff, p.cov_src_max, round(p.seed_evalue, 9), p.seed_mincnt, p.idxentry_itmax)
         assert got == values
-    p = Params.from_options({"--sim-perc": "70", "--procseqs-order": "length", "--zval-as-sim": 1}).derived()
+    p = Params.from_options({"--sim-perc": "70", "--input-order": "length", "--zval-as-sim": 1}).derived()
     assert p.sim_perc == 70 and p.order == "length" and p.zval_as_sim and p.cov_src_max == 4
     assert Params(seed_mincnt=3).derived().seed_mincnt == 3
     assert 3 <= Params().derived().with_statistics(10**9, 9.0).seed_length <= 30
