@@ -147,3 +147,28 @@ def categories(members: DataFrame, annotations: DataFrame, closure: DataFrame, p
     close = F.coalesce((F.col("mica") == F.col("top")) | F.coalesce("child", F.lit(False)), F.lit(False))
     got = rows.groupBy("centroid").agg(F.countDistinct("terms").alias("_s"), F.countDistinct(F.coalesce("mica", F.lit(""))).alias("_m"), F.min(close).alias("_c"))
     return got.select("centroid", F.when(F.col("_s") == 1, 1).when(F.col("_m") == 1, 2).when(F.col("_c"), 3).otherwise(4).alias("category"))
+
+
+def pair_details(clusters: DataFrame, annotations: DataFrame, closure: DataFrame, ic: DataFrame) -> DataFrame:
+    """(centroid, a, b, sim22, terms_a, terms_b) of all pairs of different annotated members of each cluster."""
+    from .metrics import member_pairs
+
+    known = clusters.join(annotations.select(F.col("acc").alias("member")).distinct(), "member", "left_semi")
+    pairs = member_pairs(known)
+    sets = annotations.groupBy("acc").agg(F.array_join(F.sort_array(F.collect_set("term")), ",").alias("terms"))
+    a, b = (sets.select(F.col("acc").alias(x), F.col("terms").alias(f"terms_{x}")) for x in "ab")
+    return pairs.join(best_match_average(pairs, annotations, closure, ic), ["a", "b"]).join(a, "a").join(b, "b").select("centroid", "a", "b", "sim22", "terms_a", "terms_b")
+
+
+def specificity_loss(members: DataFrame, annotations: DataFrame, closure: DataFrame) -> DataFrame:
+    """(n, mean_loss): how much more specific members' common ancestors are than their clusters', on average."""
+    value = specificity(closure).select("term", F.col("specificity").alias("ic"))
+    return information_loss(members, annotations, closure, value).agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("mean_loss"))
+
+
+def report(values: DataFrame, value: str) -> DataFrame:
+    """(n, mean, p25, p10) of a list of similarities, by the percentiles of sorted positions."""
+    from .metrics import floor_percentile, mean_with_epsilon
+
+    two = floor_percentile(values, value, [25, 10]).groupBy().agg(F.max(F.when(F.col("percent") == 25, F.col("value"))).alias("p25"), F.max(F.when(F.col("percent") == 10, F.col("value"))).alias("p10"))
+    return values.agg(F.count(value).alias("n"), mean_with_epsilon(F.col(value)).alias("mean")).crossJoin(F.broadcast(two))  # one row each

@@ -116,3 +116,16 @@ def test_clusters_of_annotated(spark, onto):
     assert O.annotated_pairs(pairs, notes).count() == 1
     with_evidence = spark.createDataFrame([("a", "IDA"), ("b", "IEA"), ("c", "TAS")], "acc string, evidence string")
     assert O.experimental(with_evidence).count() == 1 and O.experimental(with_evidence, O.CHALLENGE).count() == 2
+
+
+def test_details_and_reports(spark, onto):
+    parents, notes, closed, ic = onto
+    members = spark.createDataFrame([(1, "p1"), (1, "p3"), (1, "q"), (3, "p4"), (3, "p2")], "centroid int, member string")
+    got = {(r["centroid"], r["a"], r["b"]): r for r in O.pair_details(members, notes, closed, ic).collect()}
+    assert set(got) == {(1, "p1", "p3"), (1, "p3", "p1"), (3, "p4", "p2"), (3, "p2", "p4")}
+    assert got[1, "p1", "p3"]["terms_a"] == "d,f" and got[1, "p1", "p3"]["sim22"] == pytest.approx(1)
+    spec = {r["term"]: r["specificity"] for r in O.specificity(closed).collect()}
+    loss = O.specificity_loss(spark.createDataFrame([(3, "p4"), (3, "p2")], "centroid int, member string"), notes, closed).first()
+    assert loss["n"] == 2 and loss["mean_loss"] == pytest.approx((spec["e"] - spec["c"]) / 2)
+    r = O.report(spark.createDataFrame([(0.1 * i,) for i in range(1, 9)], "s double"), "s").first()
+    assert (r["n"], r["p25"], r["p10"]) == (8, pytest.approx(0.2), pytest.approx(0.1)) and r["mean"] == pytest.approx(0.45)
