@@ -35,7 +35,7 @@ from . import common
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Words whose ids a worker keeps; when there are more, it begins anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: What may follow the letters of a word and is a match of the tokenizer of its own.
 MARKS = '.,!?;:"()[]-'
 
