@@ -241,8 +241,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, group
     smallest doc_id that links reach, root the least fingerprint (as a signed long).
     """
     prints = common.staged(fingerprints(docs, words), "simhash-fingerprints")
+    return grouped(prints, links(prints.select("fp").distinct(), bits, group_rows))
+
+
+def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """prints (doc_id, text_hash, fp) with the root and component_id that edges (u, v) between fps give."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(prints.select("fp").distinct(), bits, group_rows)).withColumnRenamed("u", "fp")
+    roots = components(edges).withColumnRenamed("u", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_doc")
     named = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     lookup = placed.select("fp", "root").join(named, "root")
@@ -251,7 +256,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, group
 
 def survivors(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """docs with one document of each near-duplicate group: that of the smallest doc_id."""
-    found = common.staged(near_duplicates(docs, words, bits), "simhash-components")
+    return one_each(docs, near_duplicates(docs, words, bits))
+
+
+def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the document of the smallest doc_id of each component of found."""
+    found = common.staged(found, "simhash-components")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a kept doc_id can stand in several rows: one row of them is kept for each component
     kept = kept.groupBy("component_id", "root").agg(F.min("text_hash").alias("text_hash")).select(F.col("component_id").alias("doc_id"), "text_hash")
