@@ -4,7 +4,10 @@ The patterns give the base spans. The method adds a span for a value that stands
 credential would (after a keyword, a bearer header, or in a URL's user part) and that is hard
 to guess: a dynamic program finds the cheapest way to cut the value into words of a list,
 dates, repeats, keyboard walks and sequences, and brute-force stretches; the cost of a cut is
-the sum of the log2 guesses of its parts. Values of at least `min_bits` are secrets. Base spans
+the sum of the log2 guesses of its parts. A brute-force character costs the union of the classes
+that the cut's brute-force characters use, so 8 mixed ones of upper and lower case, digits or
+symbols are 45 bits or more, while one case and digits (41 bits) cost less than a word of nine
+letters that is not in the list (42 bits). Values of at least `min_bits` are secrets. Base spans
 always stay; an added span that lies inside a base one is left out.
 
 Nulls: a null text is empty. Every row gives one row; the result depends on its text alone.
@@ -60,6 +63,11 @@ def _neighbours() -> dict[str, set[str]]:
 NEAR = _neighbours()
 
 
+def _straight(keys: str) -> bool:
+    at = [(y, row.index(c)) for c in keys for y, row in enumerate(ROWS) if c in row]
+    return len({(v - y, u - x) for (y, x), (v, u) in zip(at, at[1:], strict=False)}) == 1
+
+
 def _alphabet(c: str) -> int:
     return 10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33 if c < "\x80" else 200
 
@@ -85,7 +93,7 @@ def _runs(value: str) -> Iterator[tuple[int, int, float]]:
             way = ord(low[end]) - ord(low[end - 1])
             turns += last is not None and way != last
             last, end = way, end + 1
-        if end - at >= 3:
+        if end - at > 3 or end - at == 3 and _straight(low[at:end]):  # three random keys often touch
             yield at, end, math.log2(47 * (end - at)) + turns * 1.5
         at = max(end - 1, at + 1)
     at = 0
@@ -98,8 +106,46 @@ def _runs(value: str) -> Iterator[tuple[int, int, float]]:
         at = max(end - 1, at + 1)
 
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation of value takes."""
+def _class(c: str) -> str:
+    return "digit" if "0" <= c <= "9" else "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "symbol" if c < "\x80" else "other"
+
+
+def _one_case(part: str) -> bool:
+    return part in (part.lower(), part.upper()) or part[1:] == part[1:].lower()
+
+
+SIZES = {"digit": 10, "lower": 26, "upper": 26, "symbol": 33, "other": 200}
+#: So many digits behind words of one case are a word's ending, not random characters.
+ENDING = 4
+
+
+def strength_bits(value: str) -> float:
+    """guess_bits with brute-force characters charged by the union of their classes, the cheapest of all unions."""
+    classes = [_class(c) for c in value]
+    present, n, best = sorted(set(classes)), len(value), math.inf
+    ending = n - min(ENDING, n - len(value.rstrip("0123456789")))
+    for mask in range(1 << len(present)):
+        used = {c for i, c in enumerate(present) if mask >> i & 1}
+        bits = math.log2(sum(SIZES[c] for c in used)) if used else math.inf
+        prices = [bits if c in used else math.inf for c in classes]
+        if used == {"lower"}:
+            for i, c in enumerate(classes):
+                if i >= ending:
+                    prices[i] = math.log2(10)
+                elif c == "upper" and classes[i + 1 : i + 3] == ["lower"] * 2 and (not i or classes[i - 1] != "upper"):
+                    prices[i] = bits + 1  # a word's capital
+        best = min(best, guess_bits(value, prices))
+    return best
+
+
+def guess_bits(value: str, prices: list[float] | None = None) -> float:
+    """log2 of the guesses that the cheapest segmentation of value takes.
+
+    prices: the bits of each character in brute force; those of its own class if not given. With
+    prices, a part in mixed case costs a bit for each letter.
+    """
+    cased = prices is not None
+    prices = [math.log2(_alphabet(c)) for c in value] if prices is None else prices
     n, plain = len(value), value.lower().translate(LEET) if value.isascii() else value
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     if len(plain) == n:
@@ -115,9 +161,10 @@ def guess_bits(value: str) -> float:
         ends[b].append((a, bits))
     best = [0.0] * (n + 1)
     for b in range(1, n + 1):
-        best[b] = best[b - 1] + math.log2(_alphabet(value[b - 1]))
+        best[b] = best[b - 1] + prices[b - 1]
         for a, bits in ends[b]:
-            best[b] = min(best[b], best[a] + bits + 1)  # one bit for where a part ends
+            mixed = sum(map(str.isalpha, value[a:b])) if cased and not _one_case(value[a:b]) else 0
+            best[b] = min(best[b], best[a] + bits + mixed + 1)  # one bit for where a part ends
     return best[n]
 
 
@@ -145,7 +192,7 @@ def spans(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, str, i
         for a, b in seen:
             while b > a and text[b - 1] in ".,;:!?)]}":
                 b -= 1
-            if b - a >= 6 and not any(s <= a and b <= e for s, _, e in base) and guess_bits(text[a:b]) >= min_bits:
+            if b - a >= 6 and not any(s <= a and b <= e for s, _, e in base) and strength_bits(text[a:b]) >= min_bits:
                 added.add((a, "guess", b))
     return base, sorted([*base, *added], key=key)
 
