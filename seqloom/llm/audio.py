@@ -208,3 +208,24 @@ def decode(media: DataFrame, rate: int = RATE_OUT, keep_pcm: bool = True) -> Dat
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def stored(media: DataFrame, rate: int = RATE_OUT) -> DataFrame:
+    """decode's columns without pcm: the PCM is written to shared storage, and feature is that of the PCM read back."""
+    held = common.staged(decode(media, rate), "audio-pcm", codec="zstd")
+    i = held.columns.index("feature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, FILES):
+                batch = whole.slice(at, FILES)
+                found = []
+                for named, m in zip(batch.column("feature").to_pylist(), batch.column("pcm").to_pylist(), strict=True):
+                    if m is None:
+                        found.append(None)
+                        continue
+                    samples = feature(PCM, np.frombuffer(unwav(m)[3], "<i2"))
+                    found.append(named.split(";", 1)[0] + ";" + samples.split(";", 1)[1])
+                yield batch.set_column(i, batch.schema.field(i), pa.array(found, pa.string())).drop_columns(["pcm"])
+
+    return held.mapInArrow(run, held.drop("pcm").schema)

@@ -63,7 +63,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.decode(audio.encode(common.table(spark, sf_dir, "documents")), keep_pcm=False)
+    return audio.stored(audio.encode(common.table(spark, sf_dir, "documents")))
 
 
 @query
