@@ -7,6 +7,10 @@ then filled with it. Surrogates are drawn from a keyed SHA-256. Two entities who
 are equal, or a surrogate that is some entity's true value, would confuse them, so that these
 draw again until none is left.
 
+Names are found behind a title, of up to four parts. The parts of a document's titled names are
+replaced in all of that document, with or without a title; names that have a title nowhere in
+their document are not found.
+
 What is joined and checked is the table of distinct entities, not of mentions. Documents
 without entities go through a scan alone; only the others are joined to their replacements.
 
@@ -29,7 +33,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = (
     r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
-    _TITLE + _NAME + r"(?: " + _NAME + r")?",
+    _TITLE + _NAME + r"(?: " + _NAME + r"){0,3}",
     r"(?<![0-9.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
@@ -206,6 +210,35 @@ def replacements(docs: DataFrame, key: str) -> DataFrame:
     return found.agg(F.map_from_entries(F.collect_list(F.struct("value", "filled"))).alias("filled"))
 
 
+#: A text is cut into words, as names are written, and what is between them.
+_TOKENS = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|['’-](?=[\p{L}\p{N}]))*|[^\p{L}\p{N}]+"
+
+
+def _bare_names(filled: Column) -> Column:
+    """A map from each part, in lower case, of the titled names of a document to its surrogate, in lower case."""
+    names = lambda x: F.split(F.lower(F.regexp_replace(x, r"^\p{L}+\.?[  ]", "")), " ")
+    people = F.filter(F.map_entries(filled), lambda e: kind_of(e["key"]) == "person")
+    pairs = lambda e: F.zip_with(names(e["key"]), names(e["value"]), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    parts = F.array_sort(F.array_distinct(F.flatten(F.transform(people, pairs))))
+    # a part with two surrogates, as of a man and a woman, has the first of them here
+    parts = F.filter(parts, lambda x, i: (i == 0) | (F.get(parts, i - 1)["k"] != x["k"]))
+    return F.map_from_entries(parts)
+
+
+def _bare(gap: Column, names: Column) -> Column:
+    """The tokens of a gap between mentions as (old, new) structs, new where names have it."""
+
+    def one(token: Column) -> Column:
+        stem = F.when(F.element_at(names, F.lower(token)).isNull(), F.regexp_replace(token, "['’][sS]$", "")).otherwise(token)
+        made = F.element_at(names, F.lower(stem))
+        first = F.concat(F.upper(F.substring(made, 1, 1)), made.substr(F.lit(2), F.length(made)))
+        cased = F.when((stem == F.upper(stem)) & (F.length(stem) > 1), F.upper(made)).otherwise(first)
+        new = F.when(token.rlike(r"^\p{Lu}"), F.concat(cased, token.substr(F.length(stem) + 1, F.length(token))))
+        return F.struct(token.alias("old"), new.alias("new"))
+
+    return F.transform(F.regexp_extract_all(gap, F.lit(_TOKENS), F.lit(0)), one)
+
+
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with its entities replaced, n_chars (where it is there) of the new text, and n_replaced."""
     found = replacements(docs, key).withColumnsRenamed({"doc_id": "__sl_doc", "text_hash": "__sl_hash", "filled": "__sl_filled"})
@@ -213,8 +246,15 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     clean = docs.filter(~has).withColumn("n_replaced", F.lit(0).cast("long"))
     held = docs.filter(has).withColumn("__sl_text", F.xxhash64("text"))
     held = held.join(found, held["doc_id"].eqNullSafe(found["__sl_doc"]) & (held["__sl_text"] == found["__sl_hash"])).withColumns({"__sl_m": mentions(F.col("text")), "__sl_gaps": F.split("text", PATTERN)})
+    held = held.withColumn("__sl_names", _bare_names(F.col("__sl_filled")))
+    cut = F.transform("__sl_gaps", lambda g: _bare(g, F.col("__sl_names")))
+    held = held.withColumn("__sl_cut", F.when(F.size("__sl_names") > 0, cut))
+    gaps = F.transform("__sl_cut", lambda c: F.array_join(F.transform(c, lambda t: F.coalesce(t["new"], t["old"])), ""))
+    held = held.withColumn("__sl_gaps", F.coalesce(gaps, F.col("__sl_gaps")))
+    bare = F.coalesce(F.size(F.filter(F.flatten("__sl_cut"), lambda t: t["new"].isNotNull())), F.lit(0))
+    bare = F.when(F.col("__sl_cut").isNull(), 0).otherwise(bare)
     whole = F.transform("__sl_gaps", lambda g, i: F.concat(g, F.coalesce(F.element_at("__sl_filled", F.get("__sl_m", i)), F.lit(""))))
-    held = held.withColumns({"text": F.array_join(whole, ""), "n_replaced": F.size("__sl_m").cast("long")})
+    held = held.withColumns({"text": F.array_join(whole, ""), "n_replaced": (F.size("__sl_m") + bare).cast("long")})
     if "n_chars" in docs.columns:
         held = held.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(held.select(*clean.columns))
