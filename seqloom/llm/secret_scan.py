@@ -2,15 +2,21 @@
 
 The patterns give the base spans. The method adds a span for a value that stands where a
 credential would (after a keyword, a bearer header, or in a URL's user part) and that is hard
-to guess: a dynamic program finds the cheapest way to cut the value into words of a list,
+to guess: a dynamic program finds the cheapest way to cut the value into words of a ranked list,
 dates, repeats, keyboard walks and sequences, and brute-force stretches; the cost of a cut is
-the sum of the log2 guesses of its parts. A brute-force character costs the union of the classes
-that the cut's brute-force characters use, so 8 mixed ones of upper and lower case, digits or
-symbols are 45 bits or more, while one case and digits (41 bits) cost less than a word of nine
-letters that is not in the list (42 bits). Values of at least `min_bits` are secrets. Base spans
-always stay; an added span that lies inside a base one is left out.
-
-Nulls: a null text is empty. Every row gives one row; the result depends on its text alone.
+the sum of the log2 guesses of its parts. Every part of a repeat, walk or sequence is one too. A
+brute-force character costs the union of the classes that the cut's brute-force characters use,
+so 8 mixed ones of upper and lower case, digits or symbols are 45 bits or more, while one case
+and digits (41 bits) cost less than a word of nine letters that is not in the list (42 bits).
+Values of at least `min_bits` are secrets. Base spans always stay; an added span that lies
+inside another one is left out.
+
+The program takes time in proportion to a value's length (the best start of a run's part is
+kept in sliding windows), and ends as soon as no cut under `min_bits` is left.
+
+Nulls: a null text is empty. Every row gives one row, repeated rows too; the result depends on
+its text alone. An empty table gives an empty one. Texts of any length are read whole, in time in
+proportion to it. Other columns are kept by redact() and left out by scan(), whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +24,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +40,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run that is long enough is matched from its first digit
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?[ \t]*(?:=>|:=|[:=]|\bis\b)[ \t]*["']?([^\s"'<>]{6,})"""
-    r"""|\bbearer[ \t]+([^\s"'<>]{6,})|[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?[ \t]*(?:=>|:=|[:=]|\bis\b)[ \t]*["']?([^\s"'<>]{6,}+)"""
+    r"""|\bbearer[ \t]+([^\s"'<>]{6,}+)""",
     re.I | re.A,
 )
+#: A scheme's letters before "://", and a user with a password behind it.
+SCHEME, USER = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z"), re.compile(r"[^\s/:@]++:([^\s/@]{6,}+)@")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "://")
 #: Bytes of lower-case hexadecimal digits become "h", all others a blank.
 HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -47,11 +58,32 @@ COMMON = (
     "public access token key pass love angel happy lucky magic star tiger lion eagle falcon ranger soccer hockey killer cookie "
     "coffee cheese banana pepper ginger freedom matrix example sample demo temp null none true false abc xyz foo bar"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: The vocabulary whose words, the most frequent first, follow those, and the letters of the shortest.
+VOCABULARY, SHORTEST = "word_bpe_49k.json", 5
 LEET = str.maketrans("@4301$57!", "aaeoissti")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)")
+DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)", re.A)
+#: The lengths that a date can have.
+DATES = (4, 6, 8, 10)
+
+
+@cache
+def ranks() -> dict[str, int]:
+    """The rank of each word: the list above, then the whole words of the vocabulary in its order, which is by frequency."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (t.removesuffix("</w>") for t in sorted(vocabulary, key=vocabulary.get) if t.endswith("</w>"))
+    words = (w for w in words if len(w) >= SHORTEST and w.isascii() and w.isalpha())
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
+@cache
+def longest() -> int:
+    return max(map(len, ranks()))
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -72,37 +104,73 @@ def _alphabet(c: str) -> int:
     return 10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33 if c < "\x80" else 200
 
 
-def _runs(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, bits) of maximal repeats, walks and sequences; the parts of a run are runs too."""
+class _Run:
+    """A maximal repeat, walk or sequence, and the cheapest of its parts that ends at each place.
+
+    A part costs what its start says, what its end says, and log2 of its units, rounded up. Parts
+    of 2 ** (k - 1) to 2 ** k units start in a window that moves along with the end.
+    """
+
+    def __init__(self, start: int, end: int, unit: int, least: int, opens, closes=lambda b: 0.0):
+        self.start, self.end, self.unit, self.least, self.opens, self.closes = start, end, unit, least, opens, closes
+        classes = range(max(0, (end - start - 1) // unit).bit_length() + 1)
+        self.windows = [[k, start, deque(), deque()] for k in classes]
+
+    def cheapest(self, b: int, best: list[float], letters: list[int], floor: int) -> float:
+        """The cheapest of best[a] and the part from a to b. Parts from before floor are in mixed case."""
+        low = math.inf
+        for window in self.windows:
+            k, _, pure, mixed = window
+            first, last = max(self.start, b - (self.unit << k)), b - max(self.least, (self.unit << k - 1) + 1 if k else 1)
+            while window[1] <= last:
+                a = window[1]
+                price = best[a] + self.opens(a)
+                for queue, own in ((pure, price), (mixed, price - letters[a])):
+                    while queue and queue[-1][1] >= own:
+                        queue.pop()
+                    queue.append((a, own))
+                window[1] += 1
+            for queue, own, more in ((pure, max(first, floor), 0), (mixed, first, letters[b])):
+                while queue and queue[0][0] < own:
+                    queue.popleft()
+                if queue:
+                    low = min(low, queue[0][1] + k + more)
+        return low + self.closes(b)
+
+
+def _runs(value: str) -> Iterator[_Run]:
+    """The maximal repeats, keyboard walks and sequences of an ASCII value."""
     n, low = len(value), value.lower()
+    own = [math.log2(_alphabet(c)) for c in value]
     for period in range(1, 5):  # the same 1 to 4 characters again and again
         at = 0
-        while at + 2 * period <= n:
+        while at + period < n:
             end = at + period
             while end < n and low[end] == low[end - period]:
                 end += 1
             if end - at >= max(3, 2 * period):
-                yield at, end, sum(math.log2(_alphabet(c)) for c in value[at : at + period]) + math.log2((end - at) / period)
-                at = end - period + 1
-            else:
-                at += 1
+                yield _Run(at, end, period, max(3, 2 * period), lambda a, p=period: sum(own[a : a + p]))
+            at = end - period + 1
+    turns, way = [0] * (n + 1), None  # turns of direction up to each character
+    for i in range(1, n):
+        now = ord(low[i]) - ord(low[i - 1])
+        turns[i] = turns[i - 1] + (way is not None and now != way)
+        way = now
     at = 0
     while at < n - 2:  # keys that touch, at a cost for each turn
-        end, turns, last = at + 1, 1, None
+        end = at + 1
         while end < n and low[end] in NEAR.get(low[end - 1], ()):
-            way = ord(low[end]) - ord(low[end - 1])
-            turns += last is not None and way != last
-            last, end = way, end + 1
-        if end - at > 3 or end - at == 3 and _straight(low[at:end]):  # three random keys often touch
-            yield at, end, math.log2(47 * (end - at)) + turns * 1.5
-        at = max(end - 1, at + 1)
+            end += 1
+        if end - at > 3:
+            yield _Run(at, end, 1, 4, lambda a: math.log2(47) + 1.5 - 1.5 * turns[min(a + 1, n)], lambda b: 1.5 * turns[b - 1])
+        at = max(end, at + 1)
     at = 0
     while at < n - 2:  # abc, 987
         step, end = ord(low[at + 1]) - ord(low[at]), at + 1
         while end < n and ord(low[end]) - ord(low[end - 1]) == step:
             end += 1
         if abs(step) == 1 and end - at >= 3:
-            yield at, end, math.log2(_alphabet(value[at]) * (end - at)) + 1
+            yield _Run(at, end, 1, 3, lambda a: own[a] + 1)
         at = max(end - 1, at + 1)
 
 
@@ -119,7 +187,7 @@ SIZES = {"digit": 10, "lower": 26, "upper": 26, "symbol": 33, "other": 200}
 ENDING = 4
 
 
-def strength_bits(value: str) -> float:
+def strength_bits(value: str, limit: float = math.inf) -> float:
     """guess_bits with brute-force characters charged by the union of their classes, the cheapest of all unions."""
     classes = [_class(c) for c in value]
     present, n, best = sorted(set(classes)), len(value), math.inf
@@ -134,38 +202,62 @@ def strength_bits(value: str) -> float:
                     prices[i] = math.log2(10)
                 elif c == "upper" and classes[i + 1 : i + 3] == ["lower"] * 2 and (not i or classes[i - 1] != "upper"):
                     prices[i] = bits + 1  # a word's capital
-        best = min(best, guess_bits(value, prices))
+        best = min(best, guess_bits(value, prices, min(limit, best)))
     return best
 
 
-def guess_bits(value: str, prices: list[float] | None = None) -> float:
-    """log2 of the guesses that the cheapest segmentation of value takes.
+def guess_bits(value: str, prices: list[float] | None = None, limit: float = math.inf) -> float:
+    """log2 of the guesses that the cheapest segmentation of value takes; infinite if that is limit or more.
 
     prices: the bits of each character in brute force; those of its own class if not given. With
     prices, a part in mixed case costs a bit for each letter.
     """
     cased = prices is not None
     prices = [math.log2(_alphabet(c)) for c in value] if prices is None else prices
-    n, plain = len(value), value.lower().translate(LEET) if value.isascii() else value
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    if len(plain) == n:
-        for a in range(n):
-            for b in range(a + 3, min(n, a + LONGEST) + 1):
-                if rank := RANK.get(plain[a:b]):
-                    changed = sum(x != y for x, y in zip(value[a:b], plain[a:b], strict=True))
-                    ends[b].append((a, math.log2(rank + 1) + changed))
-    for a in range(n):
-        if m := DATE.match(value, a):
-            ends[m.end()].append((a, math.log2(365 * 120) if len(m[0]) > 4 else math.log2(120)))
-    for a, b, bits in _runs(value) if value.isascii() else ():
-        ends[b].append((a, bits))
-    best = [0.0] * (n + 1)
+    n, low, rank = len(value), value.lower(), ranks()
+    plain = low.translate(LEET)
+    fits = len(low) == n
+    letters = [0]
+    for c in value:
+        letters.append(letters[-1] + (cased and c.isalpha()))
+    runs = sorted(_runs(value), key=lambda r: r.start) if value.isascii() else []
+    reach, active, coming = max(longest(), max(DATES)), [], 0
+    far = [0] * (n + 1)  # where runs end that a place is in
+    for r in runs:
+        far[r.start] = max(far[r.start], r.end)
+    far = list(accumulate(far, max))
+    best, upper, lower, horizon = [0.0], -1, -1, max(reach, far[0])
     for b in range(1, n + 1):
-        best[b] = best[b - 1] + prices[b - 1]
-        for a, bits in ends[b]:
-            mixed = sum(map(str.isalpha, value[a:b])) if cased and not _one_case(value[a:b]) else 0
-            best[b] = min(best[b], best[a] + bits + mixed + 1)  # one bit for where a part ends
-    return best[n]
+        while coming < len(runs) and runs[coming].start < b:
+            active.append(runs[coming])
+            coming += 1
+        active = [r for r in active if r.end >= b]
+        c = value[b - 1]
+        upper, lower = b - 1 if c.isupper() else upper, b - 1 if c.islower() else lower
+        floor = min(upper, lower + 1) if cased else -1  # a part from there on is in one case, or has a capital first
+        least = best[b - 1] + prices[b - 1]
+        for a in range(max(0, b - reach), b - 2):
+            if best[a] >= least:
+                continue
+            bits = math.inf
+            if fits and (found := min((r for r in (rank.get(low[a:b]), rank.get(plain[a:b])) if r), default=0)):
+                word = plain[a:b] if rank.get(plain[a:b]) == found else low[a:b]
+                bits = math.log2(found + 1) + sum(x != y for x, y in zip(value[a:b], word, strict=True))
+            if b - a in DATES and DATE.fullmatch(value, a, b):
+                bits = min(bits, math.log2(365 * 120) if b - a > 4 else math.log2(120))
+            if b - a == 3 and value.isascii() and low[b - 1] in NEAR.get(low[b - 2], ()) and low[b - 2] in NEAR.get(low[a], ()) and _straight(low[a:b]):
+                turn = ord(low[b - 1]) - ord(low[b - 2]) != ord(low[b - 2]) - ord(low[a])
+                bits = min(bits, math.log2(47 * 3) + 1.5 * (1 + turn))  # other three keys touch by chance too often
+            if bits < math.inf:
+                least = min(least, best[a] + bits + (letters[b] - letters[a] if a < floor else 0) + 1)  # one bit for where a part ends
+        for run in active:
+            least = min(least, run.cheapest(b, best, letters, floor) + 1)
+        best.append(least)
+        if least < limit:
+            horizon = max(horizon, b + reach, far[b])
+        elif b >= horizon:
+            return math.inf
+    return best[n] if best[n] < limit else math.inf
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -181,6 +273,15 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def _urls(text: str) -> Iterator[re.Match[str]]:
+    """Matches of USER behind each scheme's "://"."""
+    at = text.find("://")
+    while at >= 0:
+        if SCHEME.search(text, max(0, at - 40), at) and (m := USER.match(text, at + 3)):
+            yield m
+        at = text.find("://", at + 3)
+
+
 def spans(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Base spans and all spans as (start, kind, end), by start and then by kind as KINDS lists them."""
     key = lambda x: (x[0], KINDS.index(x[1]), x[2])
@@ -189,12 +290,20 @@ def spans(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, str, i
     if any(k in low for k in HINTS):
         seen = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) < 8]
         seen += [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
+        seen += [m.span(1) for m in _urls(text)]
         for a, b in seen:
             while b > a and text[b - 1] in ".,;:!?)]}":
                 b -= 1
-            if b - a >= 6 and not any(s <= a and b <= e for s, _, e in base) and strength_bits(text[a:b]) >= min_bits:
+            if b - a >= 6:
                 added.add((a, "guess", b))
-    return base, sorted([*base, *added], key=key)
+    covered, kept = 0, []
+    for x in sorted([*base, *added], key=lambda x: (x[0], -x[2], KINDS.index(x[1]))):
+        if x[1] == "guess" and (x[2] <= covered or strength_bits(text[x[0] : x[2]], min_bits) < min_bits):
+            continue
+        covered = max(covered, x[2])
+        if x[1] == "guess":
+            kept.append(x)
+    return base, sorted([*base, *kept], key=key)
 
 
 def joined(found: list[tuple[int, str, int]]) -> str:

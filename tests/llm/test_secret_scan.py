@@ -1,6 +1,9 @@
 import hashlib
 import math
+import random
 import re
+import time
+from functools import cache
 
 from seqloom.llm import secret_scan as s
 from seqloom.llm.queries import QUERIES
@@ -20,27 +23,99 @@ def brute_base(text):
     return [x[2] for x in sorted(found)]
 
 
-def brute_bits(value):
-    """The cheapest cut by trying all of them, over the same priced parts."""
-    n = len(value)
-    parts = {}
-    plain = value.lower().translate(s.LEET)
+def brute_parts(value, cased):
+    """(a, b, bits) of all parts but single characters, each stretch of the value looked at on its own."""
+    n, low, ranks = len(value), value.lower(), s.ranks()
+    plain = low.translate(s.LEET)
+    near = lambda x, y: y in s.NEAR.get(x, ())
+    units = lambda k: math.ceil(math.log2(k))
+    own = [math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value]
     for a in range(n):
-        parts[a, a + 1] = math.log2(s._alphabet(value[a]))
-        for b in range(a + 1, n + 1):
-            if plain[a:b] in s.RANK:
-                parts[a, b] = min(parts.get((a, b), 1e9), 1 + math.log2(s.RANK[plain[a:b]] + 1) + sum(x != y for x, y in zip(value[a:b], plain[a:b], strict=True)))
-        if m := s.DATE.match(value, a):
-            parts[m.span()] = min(parts.get(m.span(), 1e9), 1 + math.log2(365 * 120 if len(m[0]) > 4 else 120))
-    for a, b, bits in s._runs(value):
-        parts[a, b] = min(parts.get((a, b), 1e9), 1 + bits)
+        for b in range(a + 3, n + 1):
+            part, l, size = value[a:b], low[a:b], b - a
+            one_case = part.isupper() or part == l or part[1:] == l[1:]
+            mixed = 1 + (sum(c.isalpha() for c in part) if cased and not one_case else 0)
+            words = sorted((ranks[w], k, sum(x != y for x, y in zip(part, w, strict=True))) for k, w in enumerate((plain[a:b], l)) if w in ranks)
+            if words:
+                yield a, b, math.log2(words[0][0] + 1) + words[0][2] + mixed
+            digits = re.sub(r"[-/._]", "", part)
+            if digits.isdigit() and size in (4, 6, 8, 10):
+                seps = re.sub(r"\d", "", part)
+                year = lambda x: x[:2] in ("19", "20")
+                month, day = lambda x: 1 <= int(x) <= 12, lambda x: 1 <= int(x) <= 31
+                forms = []
+                if size == 4 and not seps:
+                    forms.append((year(part), 120))
+                if len(digits) == 8:
+                    shape = re.sub(r"\d", "0", part)
+                    if not seps or len(set(seps)) == 1 and len(seps) == 2 and shape == f"0000{seps[0]}00{seps[0]}00":
+                        forms.append((year(digits) and month(digits[4:6]) and day(digits[6:]), 365 * 120))
+                    if not seps or len(set(seps)) == 1 and len(seps) == 2 and shape == f"00{seps[0]}00{seps[0]}0000":
+                        forms.append((day(digits[:2]) and month(digits[2:4]) and year(digits[4:]), 365 * 120))
+                if len(digits) == 6:
+                    shape = re.sub(r"\d", "0", part)
+                    if not seps or len(set(seps)) == 1 and len(seps) == 2 and shape == f"00{seps[0]}00{seps[0]}00":
+                        forms.append((day(digits[:2]) and month(digits[2:4]), 365 * 120))
+                for ok, many in forms:
+                    if ok:
+                        yield a, b, math.log2(many) + mixed
+            for p in range(1, 5):
+                if size >= max(3, 2 * p) and all(l[i] == l[i - p] for i in range(p, size)):
+                    yield a, b, sum(own[a : a + p]) + units(size / p) + mixed
+            if all(near(x, y) for x, y in zip(l, l[1:], strict=False)):
+                ways = [ord(y) - ord(x) for x, y in zip(l, l[1:], strict=False)]
+                turns = 1 + sum(x != y for x, y in zip(ways, ways[1:], strict=False))
+                if size > 3:
+                    yield a, b, math.log2(47) + units(size) + 1.5 * turns + mixed
+                elif s._straight(l):
+                    yield a, b, math.log2(47 * 3) + 1.5 * turns + mixed
+            steps = {ord(y) - ord(x) for x, y in zip(l, l[1:], strict=False)}
+            if len(steps) == 1 and abs(next(iter(steps))) == 1:
+                yield a, b, own[a] + units(size) + 1 + mixed
+
+
+def brute_bits(value, prices=None):
+    """The cheapest cut by trying all of them."""
+    cased = prices is not None
+    prices = prices or [math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value]
+    parts = {}
+    for a, b, bits in [*((i, i + 1, p) for i, p in enumerate(prices)), *brute_parts(value, cased)]:
+        parts.setdefault(a, []).append((b, bits))
 
+    @cache
     def go(a):
-        return 0 if a == n else min(c + go(y) for (x, y), c in parts.items() if x == a)
+        return 0 if a == len(value) else min(bits + go(b) for b, bits in parts[a])
 
     return go(0)
 
 
+def test_parts_of_runs_are_parts():
+    for v in ["abcdefghello", "abcdefghello#hijklmnopassword", "aaaaaaab1990xyz", "19901991", "qwertyuiopassword", "ABCabcABCabc", "aaaaAAAA9876543", "xxxx20240131zzz"]:
+        assert abs(s.guess_bits(v) - brute_bits(v)) < 1e-9, v
+    assert s.guess_bits("abcdefghello") < 20
+    assert not [x for x in s.spans("pwd: abcdefghello#hijklmnopassword")[1] if x[1] == "guess"]
+
+
+def test_random_mixtures_equal_brute_force():
+    rng = random.Random(3)
+    bits = ["abcd", "qwer", "POIU", "aaa", "abab", "1990", "31.12.", "20240131", "pass", "Word", "hello", "x", "Q", "7", "#", "zyx", "lkjh", "DCBA", "012"]
+    for _ in range(400):
+        v = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))
+        assert abs(s.guess_bits(v) - brute_bits(v)) < 1e-9, v
+        prices = [rng.choice((3.0, 5.0, 6.0, math.inf)) for _ in v]
+        got, want = s.guess_bits(v, prices), brute_bits(v, prices)
+        assert got == want or abs(got - want) < 1e-9, v
+        assert s.guess_bits(v, prices, 25.0) == (math.inf if want >= 25 - 1e-9 else got) or abs(want - 25) < 1e-6
+
+
+def test_long_texts_take_little_time():
+    began = time.time()
+    for text in ["key " + "a" * 1_000_000, "secret-key: " + "".join(random.Random(1).choices("abcdXYZ019+/", k=1_000_000)), "pass" * 250_000, "x://" * 250_000, "token: " * 100_000]:
+        s.spans(text)
+    assert time.time() - began < 10
+    assert s.guess_bits("a" * 3000) < 20
+
+
 def test_guess_bits_equals_brute_force():
     for v in ["password1", "qwerty12", "P@ssw0rd99", "aaaaaaa", "abcabcabc", "20240131", "Xk3$9", "zxcvbnm1", "1990-05-17", "z9!Qm2Lx"]:
         assert abs(s.guess_bits(v) - brute_bits(v)) < 1e-9, v
