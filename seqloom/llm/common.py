@@ -63,6 +63,29 @@ def small(df: DataFrame, size: Column | None = None) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def _by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    rows = docs.withColumn("__sl_text", F.xxhash64("text"))
+    keys = small(keys.select(F.col("doc_id").alias("__sl_doc"), F.col("text_hash").alias("__sl_hash")), F.lit(32))
+    return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("__sl_doc")) & (rows["__sl_text"] == F.col("__sl_hash")), how).drop("__sl_text")
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows that keys(doc_id, text_hash) names; texts are shuffled only if keys aren't small."""
+    return _by_key(docs, keys, "left_anti")
+
+
+def joined(docs: DataFrame, found: DataFrame, size: Column) -> DataFrame:
+    """docs(doc_id, text) with the columns of found(doc_id, text_hash, ...); size: the bytes of a row of found."""
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = small(found.withColumnsRenamed({"doc_id": "__sl_doc", "text_hash": "__sl_hash"}), size)
+    return rows.join(found, rows["doc_id"].eqNullSafe(F.col("__sl_doc")) & (rows["text_hash"] == F.col("__sl_hash"))).drop("__sl_doc", "__sl_hash")
+
+
+def held(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs that keys(doc_id, text_hash) names."""
+    return _by_key(docs, keys, "left_semi")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that a worker holds few texts at once."""
     for batch in batches:

@@ -260,17 +260,25 @@ def survivors(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFram
 
 
 def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the document of the smallest doc_id of each component of found."""
+    """docs with one row of each component of found: one with its smallest doc_id.
+
+    Of different texts with that doc_id the one with the smallest hash stays, of rows that repeat both
+    the one with the smallest hash of all its columns. What goes is told by its keys, which are
+    broadcast if they are measured to be few; only else whole texts are shuffled.
+    """
     found = common.staged(found, "simhash-components")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a kept doc_id can stand in several rows: one row of them is kept for each component
-    kept = kept.groupBy("component_id", "root").agg(F.min("text_hash").alias("text_hash")).select(F.col("component_id").alias("doc_id"), "text_hash")
-    kept = kept.distinct()
-    held = docs.withColumn("__sl_hash", F.xxhash64("text"))
-    on = held["doc_id"].eqNullSafe(kept["doc_id"]) & (held["__sl_hash"] == kept["text_hash"])
-    out = held.join(kept, on, "left_semi").drop("__sl_hash")
-    counts = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = counts.join(kept, counts["doc_id"].eqNullSafe(kept["doc_id"]) & (counts["text_hash"] == kept["text_hash"]), "left_semi")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    lost = found.filter(~first).select("doc_id", "text_hash")
+    named = found.filter(first)
+    several = named.groupBy("component_id", "root").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).filter("least != most").select("root", "least")
+    lost = lost.unionByName(named.join(several, "root").filter("text_hash != least").select("doc_id", "text_hash"))
+    again = named.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_hash")
+    again = common.staged(again, "simhash-repeated")
+    out = common.without(docs, lost)
     if again.isEmpty():
         return out
-    return out.dropDuplicates(["doc_id", "text"])
+    # whole rows are compared by a hash; equal hashes are equal rows
+    rows = common.held(out, again)
+    least = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*docs.columns))
+    single = rows.groupBy("doc_id", F.xxhash64("text").alias("__sl_hash")).agg(least.alias("__sl_row")).select("__sl_row.*")
+    return common.without(out, again).unionByName(single)
