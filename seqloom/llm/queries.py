@@ -144,32 +144,51 @@ def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(common.table(spark, sf_dir, "conversations"))
 
 
+@query
+def op9_derived_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_quotes where each message quotes the one before it: the table has no quotes of its own."""
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    earlier = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("_before"))
+    reply = F.concat(F.lit("> "), F.replace(F.col("_before"), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), F.col("text"))
+    rows = rows.join(earlier, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.coalesce(reply, "text").alias("text"))
+    return quotes.conversations(rows)
+
+
 _NORM = "trim(regexp_replace(lower({x}), '[\\s>]+', ' ', 'g'))"
-_MARK = "'^[ \\t]{0,3}(?:>[ \\t]?)+'"
-ORACLE_SQL["op9_quotes"] = f"""
-WITH RECURSIVE m AS (SELECT row_number() OVER () AS rn, conv_id, turn, role, text FROM conversations),
+_MARK = "'^[ \\t]{0,3}(?:>[ \\t]?){1,1000}'"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_QUOTES = f"""
+m AS (SELECT row_number() OVER () AS rn, conv_id, turn, role, text FROM messages),
 l AS (SELECT rn, i, l, CASE WHEN regexp_matches(l, {_MARK}) THEN length(regexp_replace(regexp_extract(l, {_MARK}), '[^>]', '', 'g')) ELSE 0 END AS level,
     CASE WHEN regexp_matches(l, {_MARK}) THEN substr(l, length(regexp_extract(l, {_MARK})) + 1) ELSE l END AS rest
   FROM (SELECT rn, unnest(string_split_regex(text, '\\r?\\n')) AS l, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS i FROM m)),
 starts AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rn ORDER BY i) THEN 1 ELSE 0 END AS new FROM l),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY rn ORDER BY i) AS nth FROM starts),
-passage AS (SELECT rn, nth, any_value(level) AS level, {_NORM.format(x="string_agg(rest, chr(10) ORDER BY i)")} AS said FROM grouped GROUP BY rn, nth),
 bare AS (SELECT rn, string_agg(rest, chr(10) ORDER BY i) AS t FROM l WHERE level = 0 GROUP BY rn),
-own AS (SELECT m.*, CASE WHEN m.text IS NULL THEN NULL WHEN NOT contains(m.text, '>') THEN m.text ELSE regexp_replace(coalesce(bare.t, ''), '^\\s*\\n|\\s+$', '', 'g') END AS plain FROM m LEFT JOIN bare USING (rn)),
-says AS (SELECT DISTINCT conv_id, turn, {_NORM.format(x="x")} AS said FROM (SELECT conv_id, turn, unnest(list_append(string_split_regex(plain, '\\n\\s*\\n'), plain)) AS x FROM own
-  WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
-asks AS (SELECT m.conv_id, m.turn, p.nth, p.level, p.said FROM passage p JOIN m USING (rn) WHERE p.level > 0 AND p.said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-near AS (SELECT a.conv_id, a.turn, a.level, a.nth, max(s.turn) AS source FROM asks a JOIN says s ON s.conv_id = a.conv_id AND s.said = a.said AND s.turn < a.turn GROUP BY ALL),
-first AS (SELECT said, conv_id AS conv, turn AS t FROM says WHERE said <> '' QUALIFY row_number() OVER (PARTITION BY said ORDER BY conv_id, turn) = 1),
-away AS (SELECT a.conv_id, a.turn, a.level, a.nth, f.conv, f.t FROM asks a JOIN first f USING (said) WHERE f.conv <> a.conv_id),
-n AS (SELECT conv_id, turn, source FROM near QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, nth, source) = 1),
-w AS (SELECT conv_id, turn, conv, t FROM away QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, nth) = 1),
+own AS (SELECT m.*, CASE WHEN m.text IS NULL THEN NULL WHEN NOT contains(m.text, '>') THEN m.text ELSE rtrim(regexp_replace(coalesce(bare.t, ''), '^\\s*\\n', ''), {_SPACE}) END AS plain FROM m LEFT JOIN bare USING (rn)),
+passage AS (SELECT rn, nth, any_value(level) AS level, string_agg(rest, chr(10) ORDER BY i) AS t FROM grouped GROUP BY rn, nth
+  UNION ALL SELECT rn, -1, 0, plain FROM own WHERE plain IS NOT NULL),
+part AS (SELECT rn, nth, level, 0 AS kind, t FROM passage UNION ALL SELECT rn, nth, level, 1, unnest(string_split_regex(t, '\\n\\s*\\n')) FROM passage
+  UNION ALL SELECT rn, nth, level, 2, unnest(string_split(t, chr(10))) FROM passage),
+unit AS (SELECT conv_id, turn, nth, level, kind, {_NORM.format(x="t")} AS said FROM part JOIN m USING (rn) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+says AS (SELECT DISTINCT conv_id, turn, said FROM unit WHERE level = 0 AND said <> ''),
+asks AS (SELECT conv_id, turn, nth, level, kind, -length(said) AS size, said FROM unit WHERE level > 0 AND said <> ''),
+near AS (SELECT a.conv_id, a.turn, a.level, a.nth, a.kind, a.size, a.said, max(s.turn) AS source FROM asks a JOIN says s ON s.conv_id = a.conv_id AND s.said = a.said AND s.turn < a.turn GROUP BY ALL),
+first AS (SELECT said, conv_id AS conv, turn AS t FROM says QUALIFY row_number() OVER (PARTITION BY said ORDER BY conv_id, turn) = 1),
+away AS (SELECT a.conv_id, a.turn, a.level, a.nth, a.kind, a.size, f.conv, f.t FROM asks a JOIN first f USING (said) WHERE f.conv <> a.conv_id),
+n AS (SELECT conv_id, turn, source FROM near QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, nth, kind, size, source) = 1),
+w AS (SELECT conv_id, turn, conv, t FROM away QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, nth, kind, size, conv, t) = 1),
 link AS (SELECT q.conv_id, q.turn, q.k AS n_quotes, n.source AS parent_turn, CASE WHEN n.source IS NULL THEN w.conv END AS source_conv, CASE WHEN n.source IS NULL THEN w.t END AS source_turn
-  FROM (SELECT conv_id, turn, count(*) AS k FROM asks GROUP BY ALL) q LEFT JOIN n USING (conv_id, turn) LEFT JOIN w USING (conv_id, turn)),
-up(conv_id, turn, top, depth) AS (SELECT conv_id, turn, parent_turn, 1 FROM link WHERE parent_turn IS NOT NULL
-  UNION ALL SELECT up.conv_id, up.turn, link.parent_turn, depth + 1 FROM up JOIN link ON link.conv_id = up.conv_id AND link.turn = up.top WHERE link.parent_turn IS NOT NULL),
-thread AS (SELECT conv_id, turn, arg_max(top, depth) AS thread_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn)
+  FROM (SELECT conv_id, turn, count(*) FILTER (kind = 0) AS k FROM asks GROUP BY ALL) q LEFT JOIN n USING (conv_id, turn) LEFT JOIN w USING (conv_id, turn)),
+node AS (SELECT conv_id, turn, parent_turn FROM link WHERE parent_turn IS NOT NULL),
+path(conv_id, turn, thread_turn, p) AS (SELECT DISTINCT conv_id, parent_turn, parent_turn, [parent_turn] FROM node WHERE NOT EXISTS (SELECT 1 FROM node x WHERE x.conv_id = node.conv_id AND x.turn = node.parent_turn)
+  UNION ALL SELECT node.conv_id, node.turn, thread_turn, list_append(p, node.turn) FROM path JOIN node ON node.conv_id = path.conv_id AND node.parent_turn = path.turn),
+thread AS (SELECT conv_id, turn, thread_turn, len(p) - 1 AS depth, row_number() OVER (PARTITION BY conv_id, thread_turn ORDER BY p) - 1 AS place FROM path)
 SELECT own.conv_id, own.turn, role, plain AS text, coalesce(n_quotes, 0)::BIGINT AS n_quotes, parent_turn, source_conv, source_turn,
-  coalesce(thread_turn, own.turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS depth
+  coalesce(thread_turn, own.turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS depth, coalesce(place, 0)::BIGINT AS place
 FROM own LEFT JOIN link USING (conv_id, turn) LEFT JOIN thread USING (conv_id, turn)
 """
+ORACLE_SQL["op9_quotes"] = f"WITH RECURSIVE messages AS (SELECT conv_id, turn, role, text FROM conversations), {_QUOTES}"
+ORACLE_SQL["op9_derived_replies"] = f"""
+WITH RECURSIVE messages AS (SELECT a.conv_id, a.turn, a.role, coalesce('> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || a.text, a.text) AS text
+  FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn), {_QUOTES}"""
