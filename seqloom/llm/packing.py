@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from pyspark.sql import Window as W
 from . import common
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Words whose ids a worker keeps; when there are more, it begins anew.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, and the letters of the longest; when there are more, it begins anew.
+KEPT_WORDS, KEPT_LETTERS = 600_000, 64
 #: What may follow the letters of a word and is a match of the tokenizer of its own.
 MARKS = '.,!?;:"()[]-'
 
@@ -50,12 +51,26 @@ class Words:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.known = Tokenizer.from_file(public_tokenizers.path(path)), {}
+        self.tok, self.known, self.letters = Tokenizer.from_file(public_tokenizers.path(path)), {}, {}
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes]) -> None:
+    def lettered(self, word: str) -> bool:
+        """Whether all of a word stays letters for the tokenizer.
+
+        It knows its own version of Unicode, and its lower case of a letter can have a mark (U+0130),
+        which then belongs to the marks behind. So a character is tried between two letters.
+        """
+        if not word.isalpha():
+            return False
+        if word.isascii():
+            return True
+        for c in set(word).difference(self.letters):
+            self.letters[c] = int(self.ends[self.tok.encode(f"a{c}a", add_special_tokens=False).ids].sum()) == 1
+        return all(map(self.letters.__getitem__, word))
+
+    def learn(self, words: list[str]) -> None:
         """Adds words to those known.
 
         A word of letters alone is one match of the tokenizer, and its last token is the only
@@ -64,23 +79,22 @@ class Words:
         """
         known, plain, ended, other = self.known, {}, [], []
         for w in words:
-            text = w.decode()
-            core = text if text.isalpha() else text.rstrip(MARKS)
-            if not core.isalpha():
+            core = w.rstrip(MARKS)
+            if not self.lettered(core):
                 other.append(w)
-            elif core is text:
-                plain[w] = text
+            elif core == w:
+                plain[w] = None
             else:
-                c, m = core.encode(), text[len(core) :].encode()
-                ended.append((w, c, m))
-                if c not in known:
-                    plain[c] = core
+                m = w[len(core) :]
+                ended.append((w, core, m))
+                if core not in known:
+                    plain[core] = None
                 if m not in known:
                     other.append(m)
         keys = list(plain)
         for at in range(0, len(keys), 4000):
             part = keys[at : at + 4000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join([plain[w] for w in part])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(part):  # some letter is none for the tokenizer
                 other += part
@@ -90,7 +104,7 @@ class Words:
                 known[w] = raw[start:stop]
                 start = stop
         other = list(dict.fromkeys(other))
-        for w, e in zip(other, self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
         for w, c, m in ended:
             known[w] = known[c] + known[m]
@@ -104,23 +118,36 @@ def words_of(path: str) -> Words:
     return kept[path]
 
 
-def token_ids(texts: list[str | None], path: str = TOKENIZER) -> Iterator[np.ndarray]:
+def token_ids(texts: pa.Array, path: str = TOKENIZER) -> Iterator[np.ndarray]:
     """The ids of each text, equal to those of the tokenizer over the whole text.
 
     The tokenizer's matches never go over white space and it drops white space, so that the
     ids of a text are those of its words, and a word that came before need not be done again.
-    It also lower-cases, so A-Z are lower-cased first, but for texts that may hold special tokens.
+    It also lower-cases, behind composing characters with their marks, so words of ASCII alone are
+    lower-cased first, but for those that may hold special tokens.
+    Words are told apart and their ids put in a row for all texts together, by Arrow and numpy.
     """
     own = words_of(path)
-    split = []
-    for text in texts:
-        raw = (text or "").encode()
-        split.append((raw if b"<|" in raw else raw.lower()).split())
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    found = lists.flatten().dictionary_encode()
+    words, at = [w.lower() if w.isascii() and "<|" not in w else w for w in found.dictionary.to_pylist()], found.indices.to_numpy()
     if len(own.known) > KEPT_WORDS:
         own.known.clear()
-    own.learn(list(set().union(*split).difference(own.known)))
-    for words in split:
-        yield np.frombuffer(b"".join([own.known[w] for w in words]), "<u4")
+    if new := set(words).difference(own.known):
+        own.learn(list(new))
+    each = [own.known[w] for w in words]
+    for w in new:
+        if len(w) > KEPT_LETTERS:
+            del own.known[w]
+    sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat = np.frombuffer(b"".join(each), "<u4")
+    counts = sizes[at]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    first = (np.cumsum(sizes) - sizes)[at]
+    ids = flat[np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])]
+    stops = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    for a, z in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+        yield ids[a:z]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = TOKENIZER, keep_ids: bool = True) -> DataFrame:
@@ -131,9 +158,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
-        for batch in common.sliced(batches):
+        for batch in common.pieces_of(batches, 1):
             rows, kept = [], []
-            for doc, ids in zip(batch.column(0), token_ids(batch.column(1).to_pylist(), path), strict=True):
+            for doc, ids in zip(batch.column(0), token_ids(batch.column(1), path), strict=True):
                 ids = np.append(ids, np.array([end_id], "<u4"))
                 for n, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from seqloom.llm import packing
@@ -20,10 +21,29 @@ def whole(text):
 
 def test_ids_equal_the_tokenizer():
     texts = [None, "", "  \n", "Don't STOP, it's 1234 o'clock!!", "É é é   x y \u0085 z\x1fq", "İstanbul ΣΑΣ ½ ² Ⅷ ß_ẞ", "a<|endoftext|>B <|ENDOFTEXT|> <|startoftext|>", "東京 😀😀 ‍ x", "'s 's's 'LL", "﻿a \x00b", "Ł̧ 가 ᄀ ᅡ"]
-    for text, ids in zip(texts, packing.token_ids(texts), strict=True):
+    for text, ids in zip(texts, packing.token_ids(pa.array(texts)), strict=True):
         assert ids.tolist() == whole(text), text
 
 
+def test_ids_of_odd_strings():
+    rng = random.Random(6)
+    letters = ["İ", "ı", "I", "a", "Z", "é", "e\u0301", "\u0301", "ß", "Σ", "中", "가", "ᄀ", "ᅡ", "ª", "Ⅷ", "½", "²", "٣", "\u200d", "\ufeff", "😀", "\U0002ebf0", "\u1c89"]
+    marks = list(packing.MARKS) + list("'_/<|>&%\x00\x1c\x1f\x7f") + ["\u0307", "\u0327", "—", "…", "'s", "'LL", "<|endoftext|>", "0", "7"]
+    blanks = [" ", "\n", "\t", "\x0b", "\x85", "\u00a0", "\u3000", "\u2028"]
+    texts = ["İ-", "TARİHİ.", "İLİ,", "İ", "(İ)"]
+    texts += ["".join(rng.choice(letters if (x := rng.random()) < 0.55 else marks if x < 0.9 else blanks) for _ in range(rng.randint(1, 12))) for _ in range(100_000)]
+    want = [e.ids for e in TOK.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 500):
+        for i, ids in enumerate(packing.token_ids(pa.array(texts[at : at + 500])), at):
+            assert ids.tolist() == want[i], repr(texts[i])
+
+
+def test_long_words_are_not_kept():
+    text = "中" * 3000 + " word"
+    assert next(packing.token_ids(pa.array([text, "x"]).slice(0, 1))).tolist() == whole(text)
+    assert max(map(len, packing.words_of(packing.TOKENIZER).known)) <= packing.KEPT_LETTERS
+
+
 def test_fullest_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
