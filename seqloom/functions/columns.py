@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASE, MODULUS = 48271, 2**31 - 1
-#: Letters of a class become its first letter.
+#: Letters of a class become its first letter.
 CLASSES = {10: ("DENQ", "FWY", "ILMV", "KR", "ST"), 15: ("FY", "ILMV", "KR")}
 # Three-letter codes of residues.
 RESIDUES = {
@@ -109,5 +109,5 @@ def sketch(hashes: Column, size: int = 32) -> Column:
 
 
 def kclust_score(identity: Column) -> Column:
-    """The score per column that stands for a sequence identity in percent."""
+    """The score per column that stands for a sequence identity in percent. Its two numbers are fixed values."""
     return F.round(F.lit(-0.68506329113924050632) + identity * 0.06025316455696202531, 2)

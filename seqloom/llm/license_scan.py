@@ -1,11 +1,14 @@
 """License scan: TF-IDF cosine of passages to license templates, and inheritance by directory.
 
-Files are cut into passages (lines, and sentences in them). A passage's terms are weighted by
-their frequency in it and by their inverse document frequency over the templates; its best
-template is that of the highest cosine, if that is at least `threshold`. For each template
-some of its longest and less common terms are anchors, so many that the share of its other terms in its norm is
-below the threshold. By the Cauchy-Schwarz inequality a passage without an anchor can't reach
-the threshold, so that only texts and passages with one are compared, and none is missed.
+Files are cut into passages: sentences of a line, blocks (lines in a row, comment marks or not, up
+to one without a letter or digit, so that a wrapped header is whole), and of license files the whole
+text. Templates are statements, headers, heads of license files and whole short licenses. A
+passage's terms are weighted by their frequency in it and by their inverse document frequency over
+the templates; its best template is that of the highest cosine, if that is at least `threshold`. For
+each template some of its longest and less common terms are anchors, so many that the share of its
+other terms in its norm is below the threshold. By the Cauchy-Schwarz inequality a passage without
+an anchor can't reach the threshold, so that only texts and passages with one are compared, and
+none is missed. A passage's terms are counted once, in a sorted row of them.
 
 A file without a license of its own inherits that of its nearest ancestor directory with a
 license file. Directories are joined, not files, by the paths of their ancestors, and the few
@@ -13,7 +16,9 @@ distinct directories are then joined to the files.
 
 DataFrame functions only. Nulls: a null text has no license of its own; a file with a null
 path inherits nothing. Of equal scores the template with the smaller name wins, of several
-license files in a directory the one with the highest score, then the smallest path.
+license files in a directory the one with the highest score, then the smallest path. Repeated rows
+each get a row, empty tables give none, and passages may have any length. Other columns are carried
+along, but for those that have the names of results.
 """
 
 from __future__ import annotations
@@ -29,29 +34,64 @@ from . import common
 
 THRESHOLD = 0.75
 PASSAGE = r"[\r\n]+|(?<=[.;!?])\s+"
+BLOCK = r"\n[^\p{L}\p{N}]*\n"
 WORD = r"[^a-z0-9+]+"
 
-#: Statements by which files say their license; a license can have several.
+_GNU = "This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software Foundation{mark2} either version {n} of the License, or (at your option) any later version."
+
+
+def _gnu(kind: str, n: str) -> str:
+    """The notice by which a file names this GNU license, as the license itself words it."""
+    return _GNU.format(kind=kind, n=n, mark=":" if n == "3" else ";", mark2="," if n == "3" else ";")
+
+
+#: Fixed texts: statements, headers, heads and short licenses by which files say their license.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", _gnu("General Public", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _gnu("General Public", "2")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _gnu("Lesser General Public", "3")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", _gnu("Lesser General Public", "2.1")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _gnu("Affero General Public", "3")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3 Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Released under the BSD 2 Clause License."),
     ("MPL-2.0", "This source code is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Proprietary", "All rights reserved."),
-)
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tags in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0-only GPL-2.0-or-later"), ("GPL-3.0", "GPL-3.0-only GPL-3.0-or-later"), ("LGPL-2.1", "LGPL-2.1-only LGPL-2.1-or-later"),
+        ("LGPL-3.0", "LGPL-3.0-only LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only AGPL-3.0-or-later"), ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"),
+        ("ISC", "ISC"), ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0-1.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ) for tag in tags.split()),
+)
 
 
 #: Terms that nearly any text has; anchors are taken from the others first.
@@ -92,33 +132,60 @@ def _map(values: dict[str, float]) -> Column:
     return F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(float(v)))])
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _counted(words: Column) -> Column:
+    """The different words as (w, n) structs: in a sorted row of all, where each one starts and ends."""
+
+    def of(row: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: (i == 0) | (F.get(row, i) != F.get(row, F.greatest(i - 1, F.lit(0)))))
+        return _let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(row, i).alias("w"), (F.coalesce(F.get(at, j + 1), F.size(row)) - i).cast("double").alias("n"))))
+
+    empty = F.array().cast("array<struct<w:string,n:double>>")
+    return F.when(F.size(words) > 0, _let(F.array_sort(words), of)).otherwise(empty)
+
+
 def _scored(passage: Column, w: Weights) -> Column:
     """The best (score, name order, name, passage) of a passage as a struct."""
     words = F.array_remove(F.split(F.lower(passage), WORD), "")
-    idf = _map(w.idf)
+    vocabulary, idf = F.array(*[F.lit(x) for x in sorted(w.idf)]), _map(w.idf)
+    names = sorted(set(w.names))
+
+    def of(terms: Column) -> Column:
+        known = F.transform(F.filter(terms, lambda t: F.array_contains(vocabulary, t["w"])), lambda t: F.struct(t["w"].alias("w"), t["n"].alias("n"), F.element_at(idf, t["w"]).alias("idf")))
+        return _let(known, lambda k: of_known(terms, k))
+
+    def of_known(terms: Column, known: Column) -> Column:
+        # all terms as if none was in a template, and what those that are differ by
+        rest = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["n"] * t["n"]) * (w.rare * w.rare)
+        square = F.aggregate(known, rest, lambda s, t: s + t["n"] * t["n"] * (t["idf"] * t["idf"] - w.rare * w.rare))
+        return _let(F.sqrt(square), lambda norm: best(known, norm))
 
-    def of(words: Column) -> Column:
-        square = lambda s, d: s + F.pow(F.size(F.filter(words, lambda x: x == d)) * F.coalesce(F.element_at(idf, d), F.lit(w.rare)), F.lit(2.0))
-        norm = F.sqrt(F.aggregate(F.array_distinct(words), F.lit(0.0), square))
+    def best(known: Column, norm: Column) -> Column:
         found = []
-        for i, (name, v) in enumerate(zip(w.names, w.vectors, strict=True)):
+        for name, v in zip(w.names, w.vectors, strict=True):
             weights = _map({x: y * w.idf[x] for x, y in v.items()})
-            dot = F.aggregate(words, F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at(weights, x), F.lit(0.0)))  # noqa: B023
-            order = -sorted(set(w.names)).index(name)
-            found.append(F.struct(F.round(dot / norm, 6).alias("score"), F.lit(order).alias("order"), F.lit(name).alias("license"), passage.alias("passage")))
+            dot = F.aggregate(known, F.lit(0.0), lambda s, t: s + t["n"] * F.coalesce(F.element_at(weights, t["w"]), F.lit(0.0)))  # noqa: B023
+            found.append(F.struct(F.round(dot / norm, 6).alias("score"), F.lit(-names.index(name)).alias("order"), F.lit(name).alias("license"), passage.alias("passage")))
         return F.array_max(F.array(*found))
 
-    return F.element_at(F.transform(F.array(words), of), 1)
+    return _let(_counted(words), of)
 
 
 def detected(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files(path, text) with own_license, own_score and own_passage, null where there is none."""
+    """files(path, text[, is_license_file]) with own_license, own_score and own_passage, null where there is none."""
     w = Weights(templates, threshold)
-    anchor = r"(?i)(?<![a-z0-9+])(?:" + "|".join(map(re.escape, w.anchors)) + r")(?![a-z0-9+])"
+    anchors = F.array(*[F.lit(a) for a in w.anchors])
+    anchored = lambda x: F.arrays_overlap(F.split(F.lower(x), WORD), anchors)
     kind = "array<struct<score:double,order:int,license:string,passage:string>>"
-    passages = F.filter(F.split("text", PASSAGE), lambda p: p.rlike(anchor))
-    anchored = F.arrays_overlap(F.split(F.lower("text"), WORD), F.array(*[F.lit(a) for a in w.anchors]))
-    best = F.when(anchored, F.array_max(F.transform(passages, lambda p: _scored(p, w)))).otherwise(F.array_max(F.array().cast(kind)))
+    passages = F.concat(F.split("text", PASSAGE), F.split("text", BLOCK))
+    if "is_license_file" in files.columns:
+        passages = F.concat(passages, F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>")))
+    passages = F.filter(F.array_distinct(passages), anchored)
+    best = F.when(anchored(F.col("text")), F.array_max(F.transform(passages, lambda p: _scored(p, w)))).otherwise(F.array_max(F.array().cast(kind)))
     out = files.withColumn("__sl_best", best)
     hit = F.col("__sl_best.score") >= threshold
     own = {"own_license": F.when(hit, F.col("__sl_best.license")), "own_score": F.when(hit, F.col("__sl_best.score")), "own_passage": F.when(hit, F.col("__sl_best.passage"))}

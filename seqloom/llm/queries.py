@@ -117,7 +117,8 @@ WITH tpl(i, name, text) AS (VALUES {", ".join(f"({i}, '{n}', '{t}')" for i, (n,
 tw AS (SELECT i, name, w, count(*) AS tf FROM (SELECT i, name, unnest(string_split_regex(lower(text), '{_SPLIT}')) AS w FROM tpl) WHERE w <> '' GROUP BY ALL),
 idf AS (SELECT w, ln((1 + {len(license_scan.TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tw GROUP BY w),
 tv AS (SELECT i, name, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i)) AS x FROM tw JOIN idf USING (w)),
-p AS (SELECT DISTINCT doc_id, passage FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+')) AS passage FROM documents)),
+p AS (SELECT DISTINCT doc_id, passage FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+')) AS passage FROM documents
+  UNION ALL SELECT doc_id, unnest(string_split_regex(text, '{license_scan.BLOCK}')) FROM documents)),
 pw AS (SELECT doc_id, passage, w, count(*) AS tf FROM (SELECT doc_id, passage, unnest(string_split_regex(lower(passage), '{_SPLIT}')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
 pn AS (SELECT doc_id, passage, sqrt(sum(pow(tf * coalesce(idf, ln(1 + {len(license_scan.TEMPLATES)}) + 1), 2))) AS norm FROM pw LEFT JOIN idf USING (w) GROUP BY ALL),
 sc AS (SELECT doc_id, passage, name, round(max(d) / any_value(norm), 6) AS score FROM

@@ -3,19 +3,23 @@
 Entities are found by patterns. Each entity has a canonical form (the digits of a number, an
 e-mail address in lower case, a part of a name), so that all its mentions, in whatever format
 and document, get one surrogate and still refer to the same thing; a mention's own format is
-then filled with it. Surrogates are drawn from a keyed SHA-256. Two entities whose surrogates
-are equal, or a surrogate that is some entity's true value, would confuse them, so that these
-draw again until none is left.
+then filled with it. The gender of a given name is what all titles before it say, so that it has
+one surrogate under any title; if they differ, its surrogate has neither's ending. An address's
+domain is an entity too. Surrogates are drawn from a keyed SHA-256. A surrogate that another entity
+of any kind has, or that is some entity's true value, would confuse them, so it is drawn again
+until none is left. Every TRIES draws an entity's room grows, by a digit, a letter, a syllable, or
+a wider range of addresses, at least tenfold, so that draws succeed in the end.
 
 Names are found behind a title, of up to four parts. The parts of a document's titled names are
 replaced in all of that document, with or without a title; names that have a title nowhere in
 their document are not found.
 
-What is joined and checked is the table of distinct entities, not of mentions. Documents
-without entities go through a scan alone; only the others are joined to their replacements.
+What is joined and checked is the table of distinct entities, not of mentions. Texts are
+searched once; documents with mentions are written with them, the others are only read again.
 
-DataFrame functions only. Nulls: a null text stays null. Rows of one doc_id are told apart by
-the text's hash, and equal rows are replaced alike.
+DataFrame functions only. Nulls: a null text stays null. Equal rows are replaced alike, and empty
+tables stay empty. Patterns take time in proportion to a text, also to one without blanks. Other
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ _TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(TITLES, key=lambda t: (-len(t
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = (
-    r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
+    r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     _TITLE + _NAME + r"(?: " + _NAME + r"){0,3}",
     r"(?<![0-9.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
@@ -80,14 +84,14 @@ def kind_of(value: Column) -> Column:
 
 
 def _parts(value: Column) -> Column:
-    """What of a mention is an entity, as (kind, canon) structs; a name has one for each part."""
+    """What of a mention is an entity, as (kind, canon, gender) structs; a name has one for each part."""
     kind = kind_of(value)
     title = F.regexp_extract(value, r"^(\p{L}+)", 1)
-    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
-    names = F.split(F.regexp_replace(value, r"^\p{L}+\.?[  ]", ""), " ")
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
+    names = F.split(F.regexp_replace(value, r"^\p{L}+\.?[  ]", ""), " ")
     # the gender is that of the title, and for given names alone; a surname has none
-    part = lambda x, i: F.struct(F.concat(F.lit("name:"), F.when((F.size(names) > 1) & (i == 0), gender).otherwise("n")).alias("kind"), F.lower(x).alias("canon"))
-    one = lambda canon: F.array(F.struct(kind.alias("kind"), canon.alias("canon")))
+    part = lambda x, i: F.struct(F.lit("name").alias("kind"), F.lower(x).alias("canon"), F.when((F.size(names) > 1) & (i == 0), gender).alias("gender"))
+    one = lambda canon: F.array(F.struct(kind.alias("kind"), canon.alias("canon"), F.lit(None).cast("string").alias("gender")))
     return (
         F.when(kind == "person", F.transform(names, part))
         .when(kind == "email", one(F.lower(value)))
@@ -128,25 +132,30 @@ def _mod97(text: Column) -> Column:
 
 
 def surrogate(key: str) -> tuple[Column, Column]:
-    """The surrogate of (kind, canon) at this attempt, in canonical form, from a column shaped that
-    the second column makes."""
-    kind, canon = F.col("kind"), F.col("canon")
+    """The surrogate of (kind, canon, gender, base) at this attempt, in canonical form, from a column shaped that
+    the second column makes. base: the surrogate of an address's domain."""
+    kind, canon, level = F.col("kind"), F.col("canon"), F.expr(f"attempt div {TRIES}")
     shaped = _shaped(key, canon, "kind", "canon", "attempt")
-    # when draws keep failing, there may be too few numbers of this length: it gets longer
-    more = F.transform(F.slice(F.sequence(F.lit(0), F.expr(f"attempt div {TRIES}")), 2, 99), lambda i: (_draw(key, "kind", "canon", "attempt", F.concat(F.lit("more"), i.cast("string"))) % 10).cast("string"))
-    number = F.concat(F.substring(canon, 1, 1), F.expr("substr(shaped, 2)"), F.array_join(more, ""))
+    # when draws keep failing, there may be too few values of this length: it gets longer
+    steps = F.slice(F.sequence(F.lit(0), level), 2, 99)
+    drawn_more = lambda i: _draw(key, "kind", "canon", "attempt", F.concat(F.lit("more"), i.cast("string")))
+    digits = F.array_join(F.transform(steps, lambda i: (drawn_more(i) % 10).cast("string")), "")
+    letters = F.array_join(F.transform(steps, lambda i: F.chr((drawn_more(i) % 26 + ord("a")).cast("int"))), "")
+    number = F.concat(F.substring(canon, 1, 1), F.expr("substr(shaped, 2)"), digits)
     # the check digit of a card number, so that its sum is that of the number it stands for
-    head = F.expr("substr(shaped, 2, length(shaped) - 2)")
-    draft = F.concat(F.substring(canon, 1, 1), head, F.lit("0"))
-    card = F.concat(F.substring(canon, 1, 1), head, F.pmod(_luhn(canon) - _luhn(draft), F.lit(10)).cast("string"))
-    domain = F.expr("substr(canon, instr(canon, '@') + 1)")  # of one domain all addresses get one
-    host = F.regexp_replace(_shaped(key, domain, F.lit("domain"), domain), r"\.[^.]*$", "")
-    email = F.concat(F.substring_index("shaped", "@", 1), F.lit("@"), host, F.lit(".example"))
+    head = F.concat(F.substring(canon, 1, 1), F.expr("substr(shaped, 2, length(shaped) - 2)"), digits)
+    card = F.concat(head, F.pmod(_luhn(canon) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
+    email = F.concat(F.substring_index("shaped", "@", 1), letters, F.lit("@"), F.col("base"))
+    domain = F.concat(F.regexp_replace("shaped", r"\.[^.]*$", ""), letters, F.lit(".example"))
     octet = lambda i, base, span: (_draw(key, "kind", "canon", "attempt", F.lit(str(i))) % span + base).cast("string")
     private = F.regexp_extract(canon, r"^(10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 1)
-    ip = F.when(private == "10", F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
-    ip = ip.when(private != "", F.concat_ws(".", private, octet(2, 0, 256), octet(3, 1, 254))).otherwise(F.concat_ws(".", octet(0, 11, 113), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
-    body = F.expr("substr(shaped, 5)")
+    ten = F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
+    other = F.concat_ws(".", octet(0, 11, 113), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
+    # its own private range, then the largest one, then numbers that no address has
+    ip = F.when((level == 0) & (private != "") & (private != "10"), F.concat_ws(".", private, octet(2, 0, 256), octet(3, 1, 254)))
+    ip = ip.when(level < 2, F.when(private != "", ten).otherwise(other))
+    ip = ip.otherwise(F.concat_ws(".", *[F.when(level > i, octet(i, 256, 744)).otherwise(octet(i, 1, 254)) for i in (4, 3, 2, 1)]))
+    body = F.concat(F.expr("substr(shaped, 5)"), digits)
     country = F.substring(canon, 1, 2)
     valid = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
     right = _mod97(F.concat(F.expr("substr(canon, 5)"), F.substring(canon, 1, 4))) == 1
@@ -155,30 +164,35 @@ def surrogate(key: str) -> tuple[Column, Column]:
     name = None
     for s, syllables in SYLLABLES.items():
         known = F.array(*[F.lit(x) for x in syllables])
-        drawn = F.transform(F.sequence(F.lit(0), F.lit(1) + F.col("attempt") % 3), lambda i: F.get(known, (_draw(key, "kind", "canon", "attempt", i.cast("string")) % len(syllables)).cast("int")))  # noqa: B023
-        ending = F.element_at(F.create_map(*[F.lit(x) for (t, g), e in ENDINGS.items() if t == s for x in (g, e)]), F.substring(kind, 6, 1))
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(1) + F.col("attempt") % 3 + level), lambda i: F.get(known, (_draw(key, "kind", "canon", "attempt", i.cast("string")) % len(syllables)).cast("int")))  # noqa: B023
+        ending = F.element_at(F.create_map(*[F.lit(x) for (t, g), e in ENDINGS.items() if t == s for x in (g, e)]), F.col("gender"))
         made = F.concat(F.array_join(drawn, ""), ending)
         name = F.when(script == s, made) if name is None else name.when(script == s, made)
-    made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind.startswith("name:"), name).otherwise(number)
+    made = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "name", name).otherwise(number)
     return made, shaped
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
-    """Distinct (kind, canon) with a surrogate that no other has and that is no entity's true value."""
+    """Distinct (kind, canon[, gender, base]) with a surrogate that no other has and that is no entity's true value.
+
+    In each round those draw that have none yet; of equal draws the smallest (kind, canon) keeps it.
+    """
     made, shaped = surrogate(key)
-    drawn = lambda rows: rows.withColumn("shaped", shaped).withColumn("surrogate", made).drop("shaped")
-    now = common.staged(drawn(entities.distinct().withColumn("attempt", F.lit(0))), "surrogates")
+    missing = {"gender": F.lit("n"), "base": F.lit(None).cast("string")}
+    entities = entities.withColumns({c: v for c, v in missing.items() if c not in entities.columns})
+    drawn = lambda rows: common.staged(rows.withColumn("shaped", shaped).withColumn("surrogate", made).drop("shaped"), "surrogates")
+    pending = drawn(entities.select("kind", "canon", "gender", "base", F.lit(0).alias("attempt")).distinct())
+    taken = pending.select(F.col("canon").alias("surrogate"))
+    settled: DataFrame | None = None
     while True:
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
-        twice = first.filter("n > 1").select("kind", "surrogate", F.col("first.canon").alias("keeps"))
-        true = now.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("is_true"))
-        lost = now.join(twice, ["kind", "surrogate"], "left").join(true, ["kind", "surrogate"], "left")
-        lost = lost.withColumn("again", F.coalesce(F.col("canon") != F.col("keeps"), F.lit(False)) | F.coalesce("is_true", F.lit(False)))
-        lost = common.staged(lost.select("kind", "canon", "attempt", "surrogate", "again"), "surrogates")
-        if lost.filter("again").isEmpty():
-            return lost.select("kind", "canon", "surrogate")
-        redrawn = drawn(lost.filter("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
-        now = common.staged(lost.filter("NOT again").drop("again").unionByName(redrawn), "surrogates")
+        free = pending.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min(F.struct("kind", "canon")).alias("first"))
+        new = common.staged(free.select("first.kind", "first.canon", "surrogate"), "surrogates-settled")
+        settled = new if settled is None else settled.unionByName(new)
+        taken = taken.unionByName(new.select("surrogate"))
+        left = pending.join(new.select("kind", "canon"), ["kind", "canon"], "left_anti")
+        pending = drawn(left.withColumn("attempt", F.col("attempt") + 1))
+        if pending.isEmpty():
+            return settled
 
 
 def _filled() -> Column:
@@ -197,21 +211,26 @@ def _filled() -> Column:
     return F.when(kind == "person", F.concat(title, F.array_join(cased, " "))).when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip", one).otherwise(digits)
 
 
-def replacements(docs: DataFrame, key: str) -> DataFrame:
-    """(doc_id, text_hash, filled): for each document with entities a map from mention to replacement."""
-    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(mentions(F.col("text")))).alias("value"))
-    held = common.staged(held.distinct(), "mentions")
-    values = held.select("value").distinct().select("value", F.posexplode(_parts(F.col("value"))).alias("nth", "part"))
-    values = common.staged(values.select("value", "nth", F.col("part.kind").alias("kind"), F.col("part.canon").alias("canon")), "entities")
-    given = values.join(assigned(values.select("kind", "canon"), key), ["kind", "canon"])
+def replacements(held: DataFrame, key: str) -> DataFrame:
+    """(__sl_id, __sl_filled): for each row of held (__sl_id, __sl_m) a map from mention to replacement."""
+    each = held.select("__sl_id", F.explode(F.array_distinct("__sl_m")).alias("value"))
+    values = each.select("value").distinct().select("value", F.posexplode(_parts(F.col("value"))).alias("nth", "part"))
+    values = common.staged(values.select("value", "nth", "part.*"), "entities")
+    said = lambda g: F.max(F.coalesce(F.col("gender") == g, F.lit(False)))
+    entities = values.groupBy("kind", "canon").agg(said("m").alias("m"), said("f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    entities = entities.select("kind", "canon", gender.alias("gender"), F.when(F.col("kind") == "email", F.expr("substr(canon, instr(canon, '@') + 1)")).alias("domain"))
+    domains = assigned(entities.filter("domain IS NOT NULL").select(F.lit("domain").alias("kind"), F.col("domain").alias("canon")), key)
+    domains = domains.select(F.col("canon").alias("domain"), F.col("surrogate").alias("base"))
+    given = assigned(entities.join(domains, "domain", "left").select("kind", "canon", "gender", "base"), key)
+    given = values.select("value", "nth", "kind", "canon").join(given, ["kind", "canon"])
     given = given.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
-    given = given.select("value", _filled().alias("filled"))
-    found = held.join(given, "value").groupBy("doc_id", "text_hash")
-    return found.agg(F.map_from_entries(F.collect_list(F.struct("value", "filled"))).alias("filled"))
+    given = common.staged(given.select("value", _filled().alias("filled")), "replacements")
+    return each.join(given, "value").groupBy("__sl_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "filled"))).alias("__sl_filled"))
 
 
 #: A text is cut into words, as names are written, and what is between them.
-_TOKENS = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|['’-](?=[\p{L}\p{N}]))*|[^\p{L}\p{N}]+"
+_TOKENS = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++){0,8}|[^\p{L}\p{N}]++"
 
 
 def _bare_names(filled: Column) -> Column:
@@ -220,7 +239,7 @@ def _bare_names(filled: Column) -> Column:
     people = F.filter(F.map_entries(filled), lambda e: kind_of(e["key"]) == "person")
     pairs = lambda e: F.zip_with(names(e["key"]), names(e["value"]), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     parts = F.array_sort(F.array_distinct(F.flatten(F.transform(people, pairs))))
-    # a part with two surrogates, as of a man and a woman, has the first of them here
+    # upper and lower case of a letter can differ in more than case: a part is there once
     parts = F.filter(parts, lambda x, i: (i == 0) | (F.get(parts, i - 1)["k"] != x["k"]))
     return F.map_from_entries(parts)
 
@@ -241,11 +260,11 @@ def _bare(gap: Column, names: Column) -> Column:
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with its entities replaced, n_chars (where it is there) of the new text, and n_replaced."""
-    found = replacements(docs, key).withColumnsRenamed({"doc_id": "__sl_doc", "text_hash": "__sl_hash", "filled": "__sl_filled"})
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    clean = docs.filter(~has).withColumn("n_replaced", F.lit(0).cast("long"))
-    held = docs.filter(has).withColumn("__sl_text", F.xxhash64("text"))
-    held = held.join(found, held["doc_id"].eqNullSafe(found["__sl_doc"]) & (held["__sl_text"] == found["__sl_hash"])).withColumns({"__sl_m": mentions(F.col("text")), "__sl_gaps": F.split("text", PATTERN)})
+    held = docs.filter(has).withColumns({"__sl_id": F.monotonically_increasing_id(), "__sl_m": mentions(F.col("text")), "__sl_gaps": F.split("text", PATTERN)})
+    held = common.staged(held, "mentions")
+    clean = common.without(docs, held.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()).withColumn("n_replaced", F.lit(0).cast("long"))
+    held = held.join(replacements(held, key), "__sl_id")
     held = held.withColumn("__sl_names", _bare_names(F.col("__sl_filled")))
     cut = F.transform("__sl_gaps", lambda g: _bare(g, F.col("__sl_names")))
     held = held.withColumn("__sl_cut", F.when(F.size("__sl_names") > 0, cut))

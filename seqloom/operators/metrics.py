@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
 
+from . import storage
+
 
 def family_purity(clusters: DataFrame) -> DataFrame:
     """(clusters, corrupted_clusters, corrupted_members) of rows (centroid_family, centroid, member_family, member).
@@ -51,24 +53,34 @@ def group_scores(rows: DataFrame, key: str, score: str, with_list: bool = False)
 
 
 def decile_cdf(rows: DataFrame, score: str) -> DataFrame:
-    """(bin, n, cumulative) for the ten bins, the empty ones too."""
-    counts = rows.select(C.decile(F.col(score)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    """(bin, n, cumulative) for the ten bins (0, 0.1], ..., (0.9, 1], the empty ones too.
+
+    A score that no bin has, as 0 or one above 1, is an error; a null one is not counted.
+    """
+    bin_of = C.decile(F.col(score))
+    wrong = F.raise_error(F.concat(F.lit("a score outside (0, 1]: "), F.col(score).cast("string"))).cast("int")
+    counts = rows.filter(F.col(score).isNotNull()).select(F.when(bin_of.between(0, 9), bin_of).otherwise(wrong).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     bins = rows.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
-    dense = bins.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))  # at most eleven rows
+    dense = bins.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))  # at most ten rows
     return dense.withColumn("cumulative", F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
 def floor_percentile(rows: DataFrame, value: str, percents: list[int], keys: list[str] | None = None) -> DataFrame:
     """([keys,] percent, value): the sorted value at position floor((n - 1) * percent / 100), 0 if there are none.
 
-    Values are counted first and the positions found in the running counts of distinct values,
-    so that no list of all values is built.
+    Values are counted first, and the distinct ones dealt out by ranges; a range's first position
+    is the sum of the counts in the ranges before it. No list of all values is built, and no task
+    has all values of a key.
     """
     keys = keys or []
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    so_far = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = counts.withColumn("_end", F.sum("_n").over(so_far)).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
-    run = run.select(*keys, value, "_n", "_end", "_all", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"))
+    dealt = storage.kept(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "percentiles")
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of a key
+    firsts = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"), F.sum("_sum").over(W.partitionBy(*keys)).alias("_all"))
+    so_far = W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = dealt.withColumn("_here", F.sum("_n").over(so_far)).join(firsts, [*keys, "_part"])
+    run = run.select(*keys, value, "_n", (F.col("_first") + F.col("_here")).alias("_end"), "_all", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"))
     at = F.floor((F.col("_all") - 1) * F.col("percent") / 100)
     found = run.filter((at < F.col("_end")) & (at >= F.col("_end") - F.col("_n"))).select(*keys, "percent", F.col(value).alias("value"))
     if keys:

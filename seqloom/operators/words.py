@@ -7,6 +7,10 @@ code. Strings of windows are never cut out but where they are asked for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +87,27 @@ def probes(seqs: DataFrame, k: int, longer: bool = False, alphabet: int = 0, n_b
     return found.select(bucket.alias("bucket"), "seq_id")
 
 
+def word_sets(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
+    """(seq_id, words, n): the different words of a sequence by 16 bits of their hash, as ascending numbers of two bytes, and how many windows it has."""
+    own = seqs.select("seq_id", C.reduced(F.col("seq"), alphabet).alias("seq"))
+    kind = own.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for x in batch.column(1):
+                codes = np.frombuffer((x.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+                n = max(0, len(codes) - k + 1)
+                h = np.zeros(n, np.uint64)
+                for i in range(k):
+                    h = (h * np.uint64(C.BASE) + codes[i : i + n]) % np.uint64(C.MODULUS)
+                found.append(np.unique((h % np.uint64(65536)).astype("<u2")).tobytes())
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["seq_id", "words", "n"])
+
+    return own.mapInArrow(run, f"seq_id {kind}, words binary, n long")
+
+
 def counts(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
     """(seq_id, word, cnt): the multiset of a sequence's words, by 16 bits of their hash."""
     return windows(seqs, k, alphabet).groupBy("seq_id", (F.col("hash") % 65536).cast("int").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))

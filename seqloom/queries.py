@@ -279,21 +279,31 @@ def transitive_closure(spark, sf_dir):
     return cover.closure(_part_edges(spark, sf_dir), 2)
 
 
-@query()
+# The cover of edges c0(src, dst), one set a step: what is left, and the set that was chosen with its size.
+_COVER = """cov(src, dst, size) AS (SELECT DISTINCT src, dst, 0::BIGINT FROM c0 UNION ALL
+  (WITH l AS (SELECT src, dst FROM cov WHERE size = 0), pick AS (SELECT src, count(*) AS n FROM l GROUP BY src ORDER BY n DESC, src LIMIT 1),
+   gone AS (SELECT l.dst FROM l JOIN pick USING (src))
+   SELECT src, dst, 0::BIGINT FROM l WHERE dst NOT IN (SELECT dst FROM gone) UNION ALL SELECT src, -1, n FROM pick)),
+chosen AS (SELECT src, size FROM cov WHERE size > 0)"""
+_FAR = """near AS (SELECT src, dst FROM e WHERE src <> dst), far AS (SELECT src, dst, 2 AS sim FROM (SELECT DISTINCT a.src, b.dst FROM near a JOIN near b ON a.dst = b.src) x
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = x.src AND e.dst = x.dst))"""
+_ASSIGNED = """best AS (SELECT src, dst, sim, far FROM ({rows}) JOIN chosen USING (src) WHERE sim > 0
+  QUALIFY row_number() OVER (PARTITION BY dst ORDER BY sim DESC, far, src) = 1) SELECT src AS centroid, dst AS member, sim FROM best"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, c0 AS (SELECT src, dst FROM e), {_COVER} SELECT src, size FROM chosen")
 def set_cover(spark, sf_dir):
     return cover.set_cover(_part_edges(spark, sf_dir))
 
 
-@query(f"""WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY sim DESC, src) AS r FROM e WHERE src % 2 = 0 OR src = dst)
-SELECT src AS centroid, dst AS member, sim FROM r WHERE r = 1""")
+@query(f"WITH RECURSIVE {_EDGES}, c0 AS (SELECT src, dst FROM e), {_COVER}, {_ASSIGNED.format(rows='SELECT src, dst, sim, 0 AS far FROM e')}")
 def assignment(spark, sf_dir):
-    """The assignment step alone: each name to the best of a given choice of sets."""
+    """Each name to the best of the sets that the cover chose."""
     e = storage.kept(_part_edges(spark, sf_dir), "edges")
-    given = e.filter("src % 2 = 0 OR src = dst")
-    return cover.assigned(given, e.select("src").distinct())
+    return cover.assigned(e, cover.set_cover(e))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_FAR}, c0 AS (SELECT src, dst FROM e UNION SELECT src, dst FROM far), {_COVER}, {_ASSIGNED.format(rows='SELECT src, dst, sim, 0 AS far FROM e UNION ALL SELECT src, dst, sim, 1 FROM far')}")
 def cluster_part_names(spark, sf_dir):
     return cover.clusters(_part_edges(spark, sf_dir), 1)
 
@@ -312,16 +322,32 @@ def cluster_documents(spark, sf_dir):
     return plans.cluster(documents(spark, sf_dir), DOCUMENT_PARAMS)
 
 
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 20")
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def benchmark_containment(spark, sf_dir):
-    """Items that stand whole in a document: candidates by words, verified by the edit distance."""
+    """Items that stand whole in a document: candidates by a word of the items' length, up to 20 letters, then the whole text."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("text").alias("seq"))
-    docs = documents(spark, sf_dir)
-    # an item that stands in a document shares its first word
-    first = words.windows(items, 20).filter("pos = 0").select("seq_id", F.col("hash").alias("bucket"))
-    near = words.probes(docs, 20).withColumnRenamed("seq_id", "doc_id").join(first, "bucket").select(F.col("seq_id").alias("item_id"), "doc_id").distinct()
-    pairs = near.join(items.select(F.col("seq_id").alias("item_id"), F.col("seq").alias("_item")), "item_id").join(docs.select(F.col("seq_id").alias("doc_id"), F.col("seq").alias("_doc")), "doc_id")
-    return D.distances(pairs.withColumn("_most", F.lit(0)), "_item", "_doc", "_most", "distance").filter("distance = 0").select("item_id", "doc_id")
+    return contained(items, documents(spark, sf_dir)).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+
+
+def contained(items, docs, longest=20):
+    """(item, doc) of items(seq_id, seq) that stand in docs(seq_id, seq).
+
+    Items of fewer letters than `longest` are looked for by words of their own length, null and empty ones not at all.
+    """
+    docs = docs.select(F.col("seq_id"), "seq")
+    lengths = sorted(r["n"] for r in items.filter("length(seq) > 0").select(F.least(F.length("seq"), F.lit(longest)).alias("n")).distinct().collect())  # at most `longest` numbers
+    near = None
+    for n in lengths:
+        own = items.filter(F.length("seq") == n) if n < longest else items.filter(F.length("seq") >= n)
+        # an item that stands in a document shares its first word
+        first = words.windows(own, n).filter("pos = 0").select(F.col("seq_id").alias("item"), F.col("hash").alias("bucket"))
+        found = words.probes(docs, n).withColumnRenamed("seq_id", "doc").join(first, "bucket").select("item", "doc").distinct()
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        kind = lambda df: df.schema["seq_id"].dataType.simpleString()
+        return items.sparkSession.createDataFrame([], f"item {kind(items)}, doc {kind(docs)}")
+    pairs = near.join(items.select(F.col("seq_id").alias("item"), F.col("seq").alias("_item")), "item").join(docs.select(F.col("seq_id").alias("doc"), F.col("seq").alias("_doc")), "doc")
+    return pairs.filter(F.contains("_doc", "_item")).select("item", "doc")
 
 
 _DUP = "c AS (SELECT d.doc_id AS member, d.source AS member_family, m.doc_id AS centroid, m.source AS centroid_family FROM documents d JOIN (SELECT text, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text) m USING (text))"
@@ -354,17 +380,21 @@ def sensitivity(spark, sf_dir):
     return metrics.sensitivity(_duplicates(spark, sf_dir)).withColumn("sensitivity", F.round("sensitivity", 9))
 
 
-@query("""WITH b AS (SELECT (ceil(l_discount * 100) - 1)::INT AS bin, count(*) AS n FROM lineitem WHERE l_discount > 0 GROUP BY 1), a AS (SELECT unnest(range(10))::INT AS bin)
+@query("""WITH b AS (SELECT (ceil(l_discount * 50 + 0.2) - 1)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT unnest(range(10))::INT AS bin)
 SELECT bin, coalesce(n, 0)::BIGINT AS n, sum(coalesce(n, 0)) OVER (ORDER BY bin)::BIGINT AS cumulative FROM a LEFT JOIN b USING (bin)""")
 def decile_cdf(spark, sf_dir):
-    return metrics.decile_cdf(table(spark, sf_dir, "lineitem").filter("l_discount > 0").select((F.col("l_discount") * 10).alias("score")), "score")
+    """Discounts of 0 to 0.1, as scores above 0 and up to 1."""
+    return metrics.decile_cdf(_scores(spark, sf_dir), "score")
+
+
+def _scores(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_discount") * 5 + 0.02).alias("score"))
 
 
-@query("""WITH b AS (SELECT l_suppkey, min(l_discount) AS m FROM lineitem WHERE l_discount > 0 GROUP BY 1), d AS (SELECT (ceil(m * 100) - 1)::INT AS bin, count(*) AS n FROM b GROUP BY 1), a AS (SELECT unnest(range(10))::INT AS bin)
+@query("""WITH b AS (SELECT l_suppkey, min(l_discount) AS m FROM lineitem GROUP BY 1), d AS (SELECT (ceil(m * 50 + 0.2) - 1)::INT AS bin, count(*) AS n FROM b GROUP BY 1), a AS (SELECT unnest(range(10))::INT AS bin)
 SELECT bin, coalesce(n, 0)::BIGINT AS n, sum(coalesce(n, 0)) OVER (ORDER BY bin)::BIGINT AS cumulative FROM a LEFT JOIN d USING (bin)""")
 def decile_cdf_of_minima(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_discount > 0").select("l_suppkey", (F.col("l_discount") * 10).alias("score"))
-    return metrics.decile_cdf(metrics.group_scores(rows, "l_suppkey", "score"), "min_score")
+    return metrics.decile_cdf(metrics.group_scores(_scores(spark, sf_dir), "l_suppkey", "score"), "min_score")
 
 
 @query("""WITH v AS (SELECT list_sort(list(o_totalprice)) AS v, count(*) AS n FROM orders), p AS (SELECT unnest([10, 25, 50, 90])::INT AS percent)

@@ -1,7 +1,7 @@
 """Readers of sequence and cluster files as DataFrames. Compression follows from the file's ending.
 
-Record files are read with a record separator, or with a running record number over the lines of
-a file, which a line keeps by its place in it.
+Record files are read with a record separator, or line by line, where what a line belongs to is
+carried on from the lines before it, from block to block of a file. No file is read as a whole.
 """
 
 from __future__ import annotations
@@ -97,21 +97,40 @@ def fastq(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, value): lines in their order in each file, which is read whole."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    """(file, block, line, value): the lines of text files in blocks that are read apart; block and line give their order in a file."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return rows.select("file", "block", F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
-def _running(value: Column, upto: int = 0) -> Column:
-    """The last value that isn't null, up to this line."""
-    return F.last(value, ignorenulls=True).over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, upto))
+def _here():
+    return W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _carried(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with the last value that isn't null up to each line.
+
+    Lines of a block are looked at in one task, and what a block ends with is carried over to the next.
+    """
+    rows = rows.withColumns(values)
+    last = rows.groupBy("file", "block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(f"_{c}") for c in values])
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    last = last.select("file", "block", *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}") for c in values])
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(_here()) for c in values}).join(last, ["file", "block"])
+    return rows.withColumns({c: F.coalesce(c, f"_{c}") for c in values}).drop(*[f"_{c}" for c in values])
+
+
+def _counted(rows: DataFrame, name: str, flag: Column, one: bool = False) -> DataFrame:
+    """rows with the number of lines with this flag up to each line, in its file, or in all of them by name if they are one list."""
+    sums = rows.groupBy("file", "block").agg(F.sum(flag.cast("long")).alias("_n"))
+    before = (W.orderBy("file", "block") if one else W.partitionBy("file").orderBy("block")).rowsBetween(W.unboundedPreceding, -1)  # a row for each block
+    sums = sums.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    return rows.withColumn(name, F.sum(flag.cast("long")).over(_here())).join(sums, ["file", "block"]).withColumn(name, F.col(name) + F.col("_n")).drop("_n")
 
 
 def stockholm(spark: SparkSession, path: str) -> DataFrame:
     """(family, accession, member, name, seq): the aligned rows of each family, gaps taken out; name is family@member."""
-    rows = _lines(spark, path)
     tag = lambda t: F.when(F.col("value").startswith(f"#=GF {t}"), F.trim(F.regexp_replace("value", f"^#=GF {t}", "")))
-    rows = rows.withColumns({"family": _running(tag("ID")), "accession": _running(tag("AC"))})
+    rows = _carried(_lines(spark, path), family=tag("ID"), accession=tag("AC"))
     rows = rows.filter(~F.col("value").startswith("#") & ~F.col("value").startswith("//") & (F.trim("value") != ""))
     member = F.regexp_extract("value", r"^\s*(\S+)", 1)
     seq = F.translate(F.regexp_extract("value", r"^\s*\S+\s+(\S+)", 1), ".-", "")
@@ -140,7 +159,7 @@ def pdb(spark: SparkSession, path: str, last_date: str = "2017-01-01", least: in
     Modified residues count as what they stand for, unknown ones as X; a chain is kept if it has
     `least` residues and as large a share of `known` ones.
     """
-    rows = _lines(spark, path)
+    rows = _lines(spark, path).withColumn("at", F.struct("block", "line"))
     day = F.to_date(F.initcap(F.lower(F.regexp_extract("value", r"(\d\d-[A-Z]{3}-\d\d)", 1))), "dd-MMM-yy")
     late = rows.filter(F.col("value").startswith("HEADER")).filter(day > F.lit(last_date).cast("date")).select("file").distinct()
     rows = rows.join(late, "file", "left_anti")
@@ -156,7 +175,7 @@ def pdb(spark: SparkSession, path: str, last_date: str = "2017-01-01", least: in
 
 def clstr(spark: SparkSession, path: str) -> DataFrame:
     """(centroid, member, identity) of a .clstr file; the representative's own row has 100."""
-    rows = _lines(spark, path).withColumn("cluster", F.sum(F.col("value").startswith(">Cluster").cast("int")).over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    rows = _counted(_lines(spark, path), "cluster", F.col("value").startswith(">Cluster"))
     name = F.regexp_extract("value", r">(\S+?)\.\.\.", 1)
     identity = F.regexp_extract("value", r"(?:[+-]/)?([0-9.]+)%\s*$", 1)
     rows = rows.filter(~F.col("value").startswith(">") & (name != "")).select("file", "cluster", name.alias("member"), F.rtrim("value").endswith("*").alias("is_centroid"), identity.alias("i"))
@@ -175,8 +194,11 @@ def uc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, sim), ids from 1, of a list whose first line is a header and whose n-th other line is source n."""
-    rows = _lines(spark, path).filter((F.col("at") > 0) & (F.trim("value") != ""))
+    """(src, dst, sim), ids from 1, of a list whose first line is a header and whose n-th other line is source n.
+
+    The files of a folder are one list, in the order of their names.
+    """
+    rows = _counted(_lines(spark, path), "at", F.lit(True), one=True).withColumn("at", F.col("at") - 1).filter((F.col("at") > 0) & (F.trim("value") != ""))
     each = rows.select(F.col("at").cast("long").alias("src"), F.split(F.trim("value"), r"\s+").alias("f"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("f") - 2, F.lit(2)), lambda i: F.struct(F.get("f", i).cast("int").alias("sim"), F.get("f", i + 1).cast("long").alias("dst")))
     return each.select("src", F.explode(pairs).alias("p")).select("src", "p.dst", "p.sim")
@@ -204,11 +226,9 @@ def ontology(spark: SparkSession, path: str) -> DataFrame:
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """(acc, term, aspect, evidence) of a UniProt flat file, by each record's first accession."""
-    rows = _lines(spark, path)
-    new = F.lag("value").over(W.partitionBy("file").orderBy("at"))
-    rows = rows.withColumn("_before", new)
-    first = F.when(F.col("value").startswith("AC ") & ~F.coalesce(F.col("_before"), F.lit("")).startswith("AC "), F.regexp_extract("value", r"^AC\s+([^;\s]+)", 1))
-    rows = rows.withColumn("acc", _running(first)).filter(F.col("value").startswith("DR   GO;"))
+    # a row for each record, or for several that have other line ends
+    records = spark.read.option("lineSep", "\n//\n").text(path).select(F.explode(F.split("value", r"(?m)^//\r?$")).alias("record"))
+    rows = records.select(F.regexp_extract("record", r"(?m)^AC\s+([^;\s]+)", 1).alias("acc"), F.explode(F.split("record", r"\r?\n")).alias("value")).filter(F.col("value").startswith("DR   GO;"))
     f = F.split("value", r";\s*")
     return rows.select("acc", F.get(f, F.lit(1)).alias("term"), F.substring(F.get(f, F.lit(2)), 1, 1).alias("aspect"), F.regexp_extract(F.get(f, F.lit(3)), r"^([^:.]*)", 1).alias("evidence"))
 

@@ -31,7 +31,8 @@ def adjacency_lines(edges: DataFrame, n: int) -> DataFrame:
     return head.unionByName(lines)
 
 
-def adjacency(edges: DataFrame, n: int, path: str, one_file: bool = True) -> None:
+def adjacency(edges: DataFrame, n: int, path: str, one_file: bool = False) -> None:
+    """The list in one file, or in a folder of files whose names are in its order."""
     _write(adjacency_lines(edges, n).orderBy("at").select("value"), path, one_file)
 
 

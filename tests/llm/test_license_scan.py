@@ -1,21 +1,24 @@
 import math
 import re
+import textwrap
+import time
 from collections import Counter
 
+import regex
 from oracle import same
 
 from seqloom.llm import license_scan as ls
 from seqloom.llm.queries import ORACLE_SQL, QUERIES
 
 
-def brute_best(text, threshold=ls.THRESHOLD):
+def brute_best(text, threshold=ls.THRESHOLD, whole=False):
     """(license, score, passage) by comparing every passage with every template."""
     bags = [Counter(ls.terms(t)) for _, t in ls.TEMPLATES]
     df = Counter(w for b in bags for w in b)
     idf = lambda w: math.log((1 + len(bags)) / (1 + df[w])) + 1
     vec = lambda c: {w: n * idf(w) for w, n in c.items()}
     best = None
-    for passage in re.split(ls.PASSAGE, text or ""):
+    for passage in [*re.split(ls.PASSAGE, text or ""), *regex.split(ls.BLOCK, text or ""), *([text or ""] if whole else [])]:
         v = vec(Counter(ls.terms(passage)))
         norm = math.sqrt(sum(x * x for x in v.values()))
         if not norm:
@@ -67,7 +70,7 @@ def test_files(spark):
     ]
     table = spark.createDataFrame([(*r, "extra") for r in rows], "path string, text string, is_license_file boolean, license string").drop("license")
     got = {r["path"]: (r["license"], r["basis"], r["score"], r["license_dir"]) for r in ls.scan(table).collect()}
-    own = {p: (brute_best(t), lic) for p, t, lic in rows}
+    own = {p: (brute_best(t, whole=lic), lic) for p, t, lic in rows}
     want = brute_inherit(own)
     assert {k: (v[0], v[1], v[2] and round(v[2], 5), v[3]) for k, v in got.items()} == {k: (v[0], v[1], v[2] and round(v[2], 5), v[3]) for k, v in want.items()}
     assert got["a/b/c/x.py"][:2] == ("MIT", "inherited") or got["a/b/c/x.py"][:2] == ("ISC", "inherited")
@@ -100,3 +103,45 @@ def test_query_equals_brute_force(spark):
 
 def test_query_equals_sql(spark):
     same(spark, QUERIES["op2_licenses"], ORACLE_SQL["op2_licenses"], "/root/testdata/sf0.01")
+
+
+def commented(text, width, mark):
+    return "\n".join(f"{mark} {x}" for x in textwrap.wrap(text, width))
+
+
+def test_headers_and_license_files_are_recognised(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    warranty = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    cases = {
+        "BSD-3-Clause": "/*\n * Copyright (c) 2019 A. Person\n *\n" + commented(bsd, 60, " *") + "\n *\n * 1. Redistributions must keep this.\n */\nint main() {}",
+        "GPL-3.0": commented(gpl.format(":", "General Public License", ",", 3), 70, "#") + "\n#\n" + commented(warranty, 70, "#") + "\nimport os",
+        "GPL-2.0": commented(gpl.format(";", "General Public License", ";", 2), 50, "//") + "\n//\n" + commented(warranty, 50, "//"),
+        "LGPL-2.1": commented(gpl.format(";", "Lesser General Public License", ";", "2.1").replace("program", "library"), 60, ";;"),
+        "AGPL-3.0": commented(gpl.format(":", "Affero General Public License", ",", 3), 80, " *"),
+        "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.",
+        "MIT": "MIT License\n\nCopyright (c) 2021 B. Person\n\n" + "\n".join(textwrap.wrap(dict(ls.TEMPLATES[3:4])["MIT"], 78)) + "\n\nThe above copyright notice shall be included.",
+        "ISC": commented("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 72, " *"),
+        "MPL-2.0": commented("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", 66, " *"),
+    }
+    more = {
+        "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation",
+        "GPL-2.0": "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;",
+        "Apache-2.0": commented("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", 60, "#"),
+        "MIT": "# SPDX-License-Identifier: MIT",
+    }
+    rows = [(f"{i}", t, False, name) for i, (name, t) in enumerate([*cases.items(), *more.items()])]
+    rows += [("prose", "The license of the software may be granted to any person, and a copy of the files is free.", False, None), ("eupl", "SPDX-License-Identifier: EUPL-1.2", False, None)]
+    table = spark.createDataFrame([r[:3] for r in rows], "path string, text string, is_license_file boolean")
+    got = {r["path"]: (r["own_license"], r["own_score"]) for r in ls.detected(table).collect()}
+    assert {p: got[p][0] for p, *_ in rows} == {p: name for p, _, _, name in rows}
+    for p, t, lic, _ in rows:
+        want = brute_best(t, whole=lic)
+        assert got[p] == (want and want[0], want and round(want[1], 6)) or abs(got[p][1] - want[1]) < 2e-6
+
+
+def test_long_passages_take_little_time(spark):
+    text = " ".join(f"w{i % 15000}" for i in range(40_000)) + " sublicense license mozilla redistribution"
+    began = time.time()
+    found = ls.detected(spark.createDataFrame([("p", text)], "path string, text string")).collect()
+    assert found[0]["own_license"] is None and time.time() - began < 20

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import regex
 
@@ -118,3 +120,83 @@ def test_query(spark):
         assert len(found) == r["n_replaced"]
         seen += found
     assert len(check_pairs(seen)) > 30
+
+
+def simple_mentions(text):
+    """(kind, canon) of what plain rules find, apart from the module's patterns."""
+    out = []
+    for w in re.split(r"[\s,;()<>]+", text):
+        w = w.rstrip(".")
+        if w.count("@") == 1:
+            out.append(("email", w.lower()))
+        elif re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", w) and all(int(x) < 256 for x in w.split(".")):
+            out.append(("ip", w))
+        elif re.fullmatch(r"\d{13,19}", w):
+            out.append(("number", w))
+        elif re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{3}-\d{4}", w):
+            out.append(("number", w.replace("-", "")))
+    return out
+
+
+def test_coreference_and_distinctness_over_kinds(spark, docs):
+    rng = random.Random(12)
+    given, sur = ["John", "Mary", "Lena", "Igor", "Ana"], ["Smith", "Jones", "Ivers", "Okoye"]
+    sex = {"John": "m", "Mary": "f", "Lena": "f", "Igor": "m", "Ana": "f"}
+    domains = ["a.example.com", "b.example.com", "mail.org", "x.de"]
+    titles = {"m": ["Mr.", "Dr.", "Herr"], "f": ["Mrs.", "Prof.", "Frau"]}
+    rows, people = [], []
+    for i in range(120):
+        g, f = rng.choice(given), rng.choice(sur)
+        t = rng.choice(titles[sex[g]])
+        words = [f"{t} {g} {f} wrote.", f"{g} said", f"{f} agreed", f"u{rng.randrange(30)}@{rng.choice(domains)}", f"{rng.choice(['10', '192.168', '172.16'])}.{rng.randrange(9)}.{rng.randrange(9)}" + ".7" * 2]
+        words[4] = ".".join(words[4].split(".")[:4]) if words[4].count(".") >= 3 else words[4]
+        words += [f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", f"{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", str(rng.randrange(10**12, 10**16)) + "0"]
+        rows.append((i, " ; ".join(words)))
+        people.append((t, g, f))
+    got = {r["doc_id"]: r["text"] for r in s.replaced(docs(rows), "k").collect()}
+    names, values = {}, {}
+    for i, text in rows:
+        old, new = text.split(" ; "), got[i].split(" ; ")
+        assert len(old) == len(new)
+        t, g, f = people[i]
+        title, a, b, wrote = new[0].split(" ")
+        assert (title, wrote) == (t, "wrote.") and new[1] == f"{a} said" and new[2] == f"{b} agreed"
+        for x, y in ((g, a), (f, b)):
+            assert names.setdefault(x, y) == y
+        for x, y in zip(old[3:], new[3:], strict=True):
+            if x.count(".") == 3 or "@" in x or x.replace("-", "").isdigit():
+                assert len(simple_mentions(x)) == 1
+                values.setdefault(simple_mentions(x)[0], set()).add(y.lower() if "@" in y else y.replace("-", ""))
+    assert all(names[g].endswith({"m": "rton", "f": "ria"}[sex[g]]) for g in names if g in sex)
+    assert all(len(v) == 1 for v in values.values()), "one surrogate for each entity"
+    made = [next(iter(v)) for v in values.values()] + [x.lower() for x in names.values()]
+    assert len(set(made)) == len(made), "no two entities share one, of whatever kind"
+    assert not set(made) & ({c for _, c in values} | {x.lower() for x in names})
+    hosts = {}
+    for (k, c), v in values.items():
+        if k == "email":
+            assert hosts.setdefault(c.split("@")[1], next(iter(v)).split("@")[1]) == next(iter(v)).split("@")[1]
+    assert len(set(hosts.values())) == len(hosts) == len(domains)
+
+
+def test_a_name_has_one_surrogate_under_any_title(spark, docs):
+    text = "Mr. John Smith. Dr. John Smith. Mr. John. Mrs. Kim Lee. Mr. Kim Lee. Prof. Smith"
+    got = s.replaced(docs([(1, text)]), "k").collect()[0]["text"]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+)\. Dr\. (\w+) (\w+)\. Mr\. (\w+)\. Mrs\. (\w+) (\w+)\. Mr\. (\w+) (\w+)\. Prof\. (\w+)", got)
+    assert m[1] == m[3] == m[5] and m[2] == m[4] == m[10] and m[6] == m[8] and m[7] == m[9] and m[1].endswith("rton") and m[6].endswith("lin")
+
+
+def test_a_crowded_range_gets_other_addresses(spark):
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)] + [("ip", f"172.16.0.{i}") for i in range(256)] + [("email", f"{c}@x.de") for c in "abcdefghijklmnopqrstuvwxyz"]
+    table = spark.createDataFrame(rows, "kind string, canon string").selectExpr("kind", "canon", "'n' AS gender", "'q.example' AS base")
+    got = [r["surrogate"] for r in s.assigned(table, "k").collect()]
+    assert len(got) == len(set(got)) == len(rows) and not set(got) & {c for _, c in rows}
+    assert sum(x.startswith("192.168.") for x in got) > 15_000
+
+
+def test_texts_without_blanks_take_little_time(spark, docs):
+    rows = [(1, "a" * 1_000_000 + " 1@"), (2, "a-" * 100_000 + " Mr Smith"), (3, "1" * 1_000_000), (4, "Mr Smith " + "x" * 1_000_000), (5, "a.b" * 4_000 + "@x.example.com")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in s.replaced(docs(rows), "k").collect()}
+    assert time.time() - began < 60
+    assert got[1]["text"] == rows[0][1] and got[2]["n_replaced"] == got[4]["n_replaced"] == got[5]["n_replaced"] == 1

@@ -129,3 +129,24 @@ def test_details_and_reports(spark, onto):
     assert loss["n"] == 2 and loss["mean_loss"] == pytest.approx((spec["e"] - spec["c"]) / 2)
     r = O.report(spark.createDataFrame([(0.1 * i,) for i in range(1, 9)], "s double"), "s").first()
     assert (r["n"], r["p25"], r["p10"]) == (8, pytest.approx(0.2), pytest.approx(0.1)) and r["mean"] == pytest.approx(0.45)
+
+
+def test_percentiles_of_keys_and_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice((None, rng.randrange(50), rng.random()))) for _ in range(3000)] + [("c", None)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double").repartition(5)
+    for keys in (["k"], None):
+        want = {}
+        for k in "ab" if keys else [None]:
+            own = sorted(float(v) for x, v in rows if v is not None and k in (x, None))
+            want |= {(k, p): own[(len(own) - 1) * p // 100] for p in (0, 10, 50, 100)}
+        got = metrics.floor_percentile(df, "v", [0, 10, 50, 100], keys).collect()
+        assert {(r["k"] if keys else None, r["percent"]): r["value"] for r in got} == want
+
+
+def test_scores_without_a_bin_are_errors(spark):
+    fine = spark.createDataFrame([(0.1,), (1.0,), (None,)], "s double")
+    assert [r["n"] for r in metrics.decile_cdf(fine, "s").collect()] == [1, *[0] * 8, 1]
+    for bad in (0.0, 1.5, -1.0):
+        with pytest.raises(Exception, match="outside"):
+            metrics.decile_cdf(spark.createDataFrame([(bad,)], "s double"), "s").collect()

@@ -215,3 +215,59 @@ def test_bad_records_are_errors(spark):
 
     with pytest.raises(Exception, match="without name or sequence"):
         sequences.loaded(spark.createDataFrame([("a", "")], "name string, seq string")).collect()
+
+
+def test_equal_sequences_are_searched_once(spark):
+    rng = random.Random(11)
+    rows = family(rng, 4, 4, 12)
+    rows += [(f"copy@{i}", "", rng.choice(rows)[2]) for i in range(25)] + [("s1", "", "AC"), ("s2", "", "AC"), ("s3", "", "ACDEFG"), ("s4", "", "ACDEFG")]
+    seqs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq_id long, name string, comment string, seq string")
+    for depth in (0, 1):
+        p = Params(sim_perc=70, seed_length=4, seed_high_len_perc=0, setcover_depth=depth)
+        whole, q = plans.prepared(seqs, p)
+        want = cover.clusters(search.exhaustive(whole, q), depth)
+        assert sorted(tuple(r) for r in plans.cluster(seqs, p).collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_many_copies_take_few_rows(spark):
+    seqs = spark.range(20_000).select(F.col("id").alias("seq_id"), F.concat(F.lit("n"), "id").alias("name"), F.lit("").alias("comment"), F.when(F.col("id") % 7 == 0, "MKVLAADERTWYHISTQQPL" * 3).otherwise("GGHHIIKKLLMMNNPPQQRR" * 3).alias("seq"))
+    got = plans.cluster(seqs, Params(sim_perc=90, seed_length=5, seed_high_len_perc=0)).groupBy("centroid").count().collect()
+    assert {(r["centroid"], r["count"]) for r in got} == {(0, 2858), (1, 17142)}
+
+
+def test_likely_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARE", 3)
+    rows = family(random.Random(13), 3, 6, 40)
+    seqs = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "seq_id long, seq string")
+    pairs = spark.createDataFrame([(a, b, len(rows[a][2])) for a in range(18) for b in range(18) if a != b], "src long, dst long, src_len int")
+    shared = {(r["src"], r["dst"]): r["shared"] for r in search.shared_words(pairs, words.counts(seqs, 3)).collect()}
+    got = search.likely(pairs, words.word_sets(seqs, 3), F.lit(60))
+    assert got.columns == pairs.columns
+    found = {(r["src"], r["dst"]) for r in got.collect()}
+    assert {k for k, n in shared.items() if n >= 60} <= found and 0 < len(found) < len(shared)
+
+
+def test_kind_is_told_where_other_parameters_are_given(spark):
+    rng = random.Random(14)
+    base = "".join(rng.choice("ACGT") for _ in range(200))
+    rows = [(f"d{i}", "", base[:i] + "A" + base[i + 1 :]) for i in range(0, 12, 2)] + [("other", "", "".join(rng.choice("ACGT") for _ in range(200)))]
+    dna = spark.createDataFrame(rows, "name string, comment string, seq string")
+    _, p = plans.prepared(dna, Params(sim_perc=95))
+    assert p.seqtype == 3 and p.sim_diff == 20 and p.sim_perc == 95 and p.sim_base == 0
+    assert plans.prepared(dna, Params(seqtype=1))[1].seqtype == 1
+    assert plans.greedy(dna, Params(sim_perc=95)).select("centroid").distinct().count() == 2
+    assert [r["clusters"] for r in plans.sweep(dna, [90, 95]).collect()] == [2, 2]
+
+
+def test_z_values_in_batches(spark):
+    rows = family(random.Random(15), 3, 4, 30)
+    seqs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(12, "w", "", "A" * 50), (13, "v", "", "A" * 50)], "seq_id long, name string, comment string, seq string").withColumn("seqlen", F.length("seq"))
+    plain = Params(sim_perc=60, seed_length=4, seed_high_len_perc=0, alphasize_sim=0, cov_src_max=10**6, attempt_base=1e6, idxentry_itmax=10**6)
+    found = {}
+    for zval, as_sim in ((0, False), (4000, False), (4000, True), (0, True)):
+        p = replace(plain, sim_zval=zval, zval_as_sim=as_sim).derived()
+        edges = lambda df: {(r["src"], r["dst"]): r["sim"] for r in df.collect()}
+        found[zval, as_sim] = edges(search.exhaustive(seqs, p))
+        assert edges(search.batched(seqs, p, first_batch=5)) == found[zval, as_sim]
+    assert set(found[4000, False]) < set(found[0, False]) and set(found[4000, True]) == set(found[4000, False])
+    assert found[4000, True] != found[4000, False]

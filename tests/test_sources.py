@@ -119,3 +119,28 @@ def test_written_and_read_again(spark, tmp_path):
     W.memo(rows.selectExpr("'c' AS id1", "'d' AS id2", "tm1", "tm2"), str(tmp_path / "memo"))
     assert got(R.memo(spark, str(tmp_path / "memo"))) == [("a", "b", 0.5, 0.25), ("c", "d", 0.5, 0.25)]
     assert spark.createDataFrame([(3, 0.5)], "a int, b double").select(W.metric_line("X: ", "a", "b")).first()[0] == "X: 3 & 0.5"
+
+
+def test_records_that_go_over_blocks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        families = "".join(f"# STOCKHOLM 1.0\n#=GF ID   F{f}\n#=GF AC   P{f}.1\n" + "".join(f"m{i}/1-9   AC.D{'EFGH'[i % 4]}-\n" for i in range(9)) + "//\n" for f in range(7))
+        for text in (families, families.replace("\n", "\r\n")):
+            rows = got(R.stockholm(spark, put(tmp_path / "s.sto", text)))
+            assert rows == sorted([(f"F{f}", f"P{f}.1", f"m{i}/1-9", f"F{f}@m{i}/1-9", "ACD" + "EFGH"[i % 4]) for f in range(7) for i in range(9)], key=str)
+        clusters = "".join(f">Cluster {c}\n" + "".join(f"{i}\t10aa, >c{c}m{i}... {'*' if i == c % 5 else 'at 9' + str(i) + '%'}\n" for i in range(5)) for c in range(8))
+        rows = got(R.clstr(spark, put(tmp_path / "x.clstr", clusters)))
+        assert rows == sorted([(f"c{c}m{c % 5}", f"c{c}m{i}", 100.0 if i == c % 5 else float(f"9{i}")) for c in range(8) for i in range(5)], key=str)
+        records = "".join(f"ID   X{r}\nAC   A{r}; B{r};\nAC   C{r};\nDR   GO; GO:000{r}; F:some; IEA:x.\n//\n" for r in range(9))
+        for text in (records, records.replace("\n", "\r\n")):
+            assert [x[:3] for x in got(R.annotations(spark, put(tmp_path / "u.dat", text)))] == [(f"A{r}", f"GO:000{r}", "F") for r in range(9)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_list_in_several_files(spark, tmp_path):
+    edges = spark.createDataFrame([(s, d, 50 + d) for s in range(30) for d in range(s, 30, 7)], "src long, dst long, sim int")
+    W.adjacency(edges, 30, str(tmp_path / "list"))
+    want = sorted([(s + 1, d + 1, 50 + d if s != d else 100) for s in range(30) for d in range(s, 30, 7)], key=str)
+    assert got(R.adjacency(spark, str(tmp_path / "list"))) == want
