@@ -140,13 +140,13 @@ def test_percentiles_of_keys_and_ranges(spark):
         for k in "ab" if keys else [None]:
             own = sorted(float(v) for x, v in rows if v is not None and k in (x, None))
             want |= {(k, p): own[(len(own) - 1) * p // 100] for p in (0, 10, 50, 100)}
-        got = metrics.floor_percentile(df, "v", [0, 10, 50, 100], keys).collect()
+        got = M.floor_percentile(df, "v", [0, 10, 50, 100], keys).collect()
         assert {(r["k"] if keys else None, r["percent"]): r["value"] for r in got} == want
 
 
 def test_scores_without_a_bin_are_errors(spark):
     fine = spark.createDataFrame([(0.1,), (1.0,), (None,)], "s double")
-    assert [r["n"] for r in metrics.decile_cdf(fine, "s").collect()] == [1, *[0] * 8, 1]
+    assert [r["n"] for r in M.decile_cdf(fine, "s").collect()] == [1, *[0] * 8, 1]
     for bad in (0.0, 1.5, -1.0):
         with pytest.raises(Exception, match="outside"):
-            metrics.decile_cdf(spark.createDataFrame([(bad,)], "s double"), "s").collect()
+            M.decile_cdf(spark.createDataFrame([(bad,)], "s double"), "s").collect()
