@@ -6,9 +6,10 @@ text. Templates are statements, headers, heads of license files and whole short
 passage's terms are weighted by their frequency in it and by their inverse document frequency over
 the templates; its best template is that of the highest cosine, if that is at least `threshold`. For
 each template some of its longest and less common terms are anchors, so many that the share of its
-other terms in its norm is below the threshold. By the Cauchy-Schwarz inequality a passage without
+other terms in its norm is below the threshold; where everyday terms alone have a larger share,
+those count together that can't be missed then. By the Cauchy-Schwarz inequality a passage without
 an anchor can't reach the threshold, so that only texts and passages with one are compared, and
-none is missed. A passage's terms are counted once, in a sorted row of them.
+none is missed; nor can one in whose own norm the templates' terms have too small a share. A passage's terms are counted once, in a sorted row of them.
 
 A file without a license of its own inherits that of its nearest ancestor directory with a
 license file. Directories are joined, not files, by the paths of their ancestors, and the few
@@ -95,7 +96,9 @@ TEMPLATES = (
 
 
 #: Terms that nearly any text has; anchors are taken from the others first.
-EVERYDAY = frozenset("a all an and any are as by for from in is it its may not of on or that the this to with you".split())
+EVERYDAY = frozenset("a all an and any are as at be been but by can do for from has have he her his if in into is it its may met no nor not of on only or she so that the their them they this to under use was we were which who whom will with without you your".split())
+#: What rounding may add to a score.
+SLACK = 1e-6
 
 
 def terms(text: str) -> list[str]:
@@ -106,7 +109,7 @@ class Weights:
     """IDF over the templates, their unit vectors, and the terms that no match can do without."""
 
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
-        self.names = [n for n, _ in templates]
+        self.names, self.threshold = [n for n, _ in templates], threshold
         bags = [Counter(terms(t)) for _, t in templates]
         df = Counter(w for b in bags for w in b)
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
@@ -117,15 +120,21 @@ class Weights:
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append({w: x / norm for w, x in v.items()})
         needed: set[str] = set()
-        for v in self.vectors:  # the longest terms, until the others can't reach the threshold
-            left = sum(x * x for t, x in v.items() if t not in needed)
-            for t in sorted(v, key=lambda t: (t in EVERYDAY, -len(t), t)):
-                if left < threshold * threshold - 1e-9:
+        together: set[frozenset[str]] = set()
+        least = (threshold - SLACK) ** 2
+        for v in self.vectors:  # the weightiest terms, until the others can't reach the threshold
+            left = {t: x * x for t, x in v.items() if t not in needed}
+            order = sorted(left, key=lambda t: (t in EVERYDAY, -v[t], t))
+            while sum(left.values()) >= least:
+                # without any one of these the everyday terms that are left can't reach it either
+                whole = frozenset(t for t, x in left.items() if sum(left.values()) - x < least)
+                if order[0] in EVERYDAY and whole:
+                    together.add(whole)
                     break
-                if t not in needed:
-                    needed.add(t)
-                    left -= v[t] ** 2
+                needed.add(order[0])
+                del left[order.pop(0)]
         self.anchors = sorted(needed)
+        self.together = sorted(sorted(x) for x in together if not any(y < x for y in together))
 
 
 def _map(values: dict[str, float]) -> Column:
@@ -145,24 +154,32 @@ def _counted(words: Column) -> Column:
         return _let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(row, i).alias("w"), (F.coalesce(F.get(at, j + 1), F.size(row)) - i).cast("double").alias("n"))))
 
     empty = F.array().cast("array<struct<w:string,n:double>>")
-    return F.when(F.size(words) > 0, _let(F.array_sort(words), of)).otherwise(empty)
+    return F.when(F.size(words) > 0, _let(F.sort_array(words), of)).otherwise(empty)
 
 
 def _scored(passage: Column, w: Weights) -> Column:
-    """The best (score, name order, name, passage) of a passage as a struct."""
+    """The best (score, name order, name, passage) of a passage as a struct; null where none can reach the threshold.
+
+    A cosine is at most the share that the templates' terms have in the passage's norm.
+    """
     words = F.array_remove(F.split(F.lower(passage), WORD), "")
     vocabulary, idf = F.array(*[F.lit(x) for x in sorted(w.idf)]), _map(w.idf)
     names = sorted(set(w.names))
 
-    def of(terms: Column) -> Column:
-        known = F.transform(F.filter(terms, lambda t: F.array_contains(vocabulary, t["w"])), lambda t: F.struct(t["w"].alias("w"), t["n"].alias("n"), F.element_at(idf, t["w"]).alias("idf")))
+    def of(words: Column) -> Column:
+        return _let(F.array_intersect(words, vocabulary), lambda held: _let(_counted(words), lambda terms: of_held(terms, held)))
+
+    def of_held(terms: Column, held: Column) -> Column:
+        known = F.transform(F.filter(terms, lambda t: F.array_contains(held, t["w"])), lambda t: F.struct(t["w"].alias("w"), t["n"].alias("n"), F.element_at(idf, t["w"]).alias("idf")))
         return _let(known, lambda k: of_known(terms, k))
 
     def of_known(terms: Column, known: Column) -> Column:
         # all terms as if none was in a template, and what those that are differ by
         rest = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["n"] * t["n"]) * (w.rare * w.rare)
         square = F.aggregate(known, rest, lambda s, t: s + t["n"] * t["n"] * (t["idf"] * t["idf"] - w.rare * w.rare))
-        return _let(F.sqrt(square), lambda norm: best(known, norm))
+        own = F.aggregate(known, F.lit(0.0), lambda s, t: s + t["n"] * t["n"] * (t["idf"] * t["idf"]))
+        enough = lambda x: x["own"] >= x["square"] * (w.threshold - 2 * SLACK) ** 2
+        return _let(F.struct(own.alias("own"), square.alias("square")), lambda x: F.when(enough(x), best(known, F.sqrt(x["square"]))))
 
     def best(known: Column, norm: Column) -> Column:
         found = []
@@ -172,14 +189,21 @@ def _scored(passage: Column, w: Weights) -> Column:
             found.append(F.struct(F.round(dot / norm, 6).alias("score"), F.lit(-names.index(name)).alias("order"), F.lit(name).alias("license"), passage.alias("passage")))
         return F.array_max(F.array(*found))
 
-    return _let(_counted(words), of)
+    return _let(words, of)
 
 
 def detected(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files(path, text[, is_license_file]) with own_license, own_score and own_passage, null where there is none."""
     w = Weights(templates, threshold)
-    anchors = F.array(*[F.lit(a) for a in w.anchors])
-    anchored = lambda x: F.arrays_overlap(F.split(F.lower(x), WORD), anchors)
+    row = lambda terms: F.array(*[F.lit(t) for t in terms])
+
+    def likely(words: Column) -> Column:
+        found = F.arrays_overlap(words, row(w.anchors))
+        for terms in w.together:
+            found = found | (F.size(F.array_except(row(terms), words)) == 0)
+        return found
+
+    anchored = lambda x: _let(F.split(F.lower(x), WORD), likely)
     kind = "array<struct<score:double,order:int,license:string,passage:string>>"
     passages = F.concat(F.split("text", PASSAGE), F.split("text", BLOCK))
     if "is_license_file" in files.columns:
