@@ -63,7 +63,8 @@ def z_value(snk_len: Column, distance: Column, match_probability: Column) -> Col
 
 
 def z_similarity(z: Column) -> Column:
-    return F.least(F.lit(200), 100 + F.floor(z)).cast("int")
+    """At most 200; null where there is no z-value."""
+    return F.when(z.isNotNull(), F.least(F.lit(200), 100 + F.floor(z)).cast("int"))
 
 
 def normalised_words(shared: Column, src_len: Column, snk_len: Column, k: int) -> Column:
