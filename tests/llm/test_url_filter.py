@@ -1,3 +1,5 @@
+import random
+
 from oracle import same
 
 from seqloom.llm import url_filter as u
@@ -11,7 +13,7 @@ def brute(url, rules=u.RULES, blocked=u.BLOCKED):
         cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
         path = rest[cut:].split("?")[0].split("#")[0]
-    fits = lambda r: (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])
+    fits = lambda r: (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith(r[len(r.split("/", 1)[0]) :])
     best = sorted(((-len(r), r, v) for r, v in rules if fits(r)))
     if best:
         return host, path, best[0][1], best[0][2]
@@ -43,5 +45,29 @@ def test_collisions_are_told_apart(tmp_path):
     assert u.Index(str(tmp_path / "e")).judge(["a.net"], ["/"]) == [(None, "allow")]
 
 
+def test_a_list_that_is_a_table(spark):
+    rng = random.Random(3)
+    label = lambda: rng.choice("abcdefghij") + rng.choice("abcdefghij")
+    entries = [f"{label()}.{label()}/{rng.choice(['', 'x', 'x/y', 'ü'])}" for _ in range(3000)] + ["zz.zz", "net/", "É.q/"]
+    table = spark.createDataFrame([(e, 1) for e in entries] + [(None, 2), (entries[0], 3)], "entry string, other int")
+    urls = URLS + [f"http://w.{label()}.{label()}/{rng.choice(['', 'x/y/z', 'xy', 'ü'])}" for _ in range(400)] + ["http://zz.zz", "http://a.zz.zz/q", "http://zz.z/", "http://É.q/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted((i, *brute(x, blocked=entries)) for i, x in enumerate(urls))
+    assert {w[4] for w in want if w[3] is None} == {"allow", "block"}
+    assert sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in u.judged(pages, blocked=table).collect()) == want
+    none = u.judged(pages, blocked=table.filter("false")).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in none) == sorted((i, brute(x, blocked=())[3]) for i, x in enumerate(urls))
+
+
+def test_parts_of_an_index(spark, tmp_path):
+    entries = [f"h{i}.example/p{i % 7}" for i in range(2500)]
+    parts = list(u.listed_parts(spark.createDataFrame([(e,) for e in entries], "entry string"), 100))
+    assert len(parts) >= 25
+    (tmp_path / "i").write_bytes(u.index_bytes(u.RULES, []) + b"".join(parts))
+    index = u.Index(str(tmp_path / "i"))
+    assert index.judge([e.split("/")[0] for e in entries], ["/" + e.split("/")[1] for e in entries]) == [(None, "block")] * 2500
+    assert index.judge(["h1.example", "x.net"], ["/p2", "/"]) == [(None, "allow"), ("net/", "block")]
+
+
 def test_query_equals_sql(spark):
     same(spark, QUERIES["op1_urls"], ORACLE_SQL["op1_urls"], "/root/testdata/sf0.01")
