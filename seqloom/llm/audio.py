@@ -5,7 +5,9 @@ are decoded with numpy across all blocks of a batch of files: the samples of a b
 each other, those of different blocks don't. PCM is resampled by a windowed-sinc filter.
 
 Nulls: a null file has null PCM and features; encoding a null text stores an empty payload.
-Rows depend on their own file alone, so repeated rows have equal results.
+Rows depend on their own file alone, so repeated rows have equal results; empty tables stay empty.
+Files of any length are expanded whole, and a worker holds those of a bounded number of bytes, or
+one longer one, at a time. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,12 +139,10 @@ def encode(docs: DataFrame, frame: int = FRAME, block: int = BLOCK) -> DataFrame
     tags = (MULAW, ALAW, ADPCM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, FILES):
-                batch = whole.slice(at, FILES)
-                held = [payload_of(x.as_py(), frame) for x in batch.column(1)]
-                media = [wav(p, tags[zlib.crc32(p) % 3], block=block) for p, _ in held]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in held], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in common.sliced(common.pieces_of(batches, 1), FILES):
+            held = [payload_of(x.as_py(), frame) for x in batch.column(1)]
+            media = [wav(p, tags[zlib.crc32(p) % 3], block=block) for p, _ in held]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in held], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select("doc_id", "text")
     return common.staged(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"), "audio")
@@ -188,22 +188,20 @@ def decode(media: DataFrame, rate: int = RATE_OUT, keep_pcm: bool = True) -> Dat
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, FILES):
-                batch = whole.slice(at, FILES)
-                stored = batch.column(2).to_pylist()
-                files = [unwav(m) for m in stored if m is not None]
-                sounds = iter(zip(files, expanded(files), strict=True))
-                rows = []
-                for n, m in zip(batch.column(1).to_pylist(), stored, strict=True):
-                    if m is None:
-                        rows.append((n, *[None] * (len(names) - 2)))
-                        continue
-                    (tag, own, _, data), pcm = next(sounds)
-                    pcm = resampled(pcm, own, rate)
-                    rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(tag, pcm), *[wav(pcm.tobytes(), PCM, rate)] * keep_pcm))
-                cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
+        for batch in common.sliced(common.pieces_of(batches, 2), FILES):
+            stored = batch.column(2).to_pylist()
+            files = [unwav(m) for m in stored if m is not None]
+            sounds = iter(zip(files, expanded(files), strict=True))
+            rows = []
+            for n, m in zip(batch.column(1).to_pylist(), stored, strict=True):
+                if m is None:
+                    rows.append((n, *[None] * (len(names) - 2)))
+                    continue
+                (tag, own, _, data), pcm = next(sounds)
+                pcm = resampled(pcm, own, rate)
+                rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(tag, pcm), *[wav(pcm.tobytes(), PCM, rate)] * keep_pcm))
+            cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm
@@ -213,19 +211,17 @@ def decode(media: DataFrame, rate: int = RATE_OUT, keep_pcm: bool = True) -> Dat
 def stored(media: DataFrame, rate: int = RATE_OUT) -> DataFrame:
     """decode's columns without pcm: the PCM is written to shared storage, and feature is that of the PCM read back."""
     held = common.staged(decode(media, rate), "audio-pcm", codec="zstd")
-    i = held.columns.index("feature")
+    i, at = (held.columns.index(c) for c in ("feature", "pcm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, FILES):
-                batch = whole.slice(at, FILES)
-                found = []
-                for named, m in zip(batch.column("feature").to_pylist(), batch.column("pcm").to_pylist(), strict=True):
-                    if m is None:
-                        found.append(None)
-                        continue
-                    samples = feature(PCM, np.frombuffer(unwav(m)[3], "<i2"))
-                    found.append(named.split(";", 1)[0] + ";" + samples.split(";", 1)[1])
-                yield batch.set_column(i, batch.schema.field(i), pa.array(found, pa.string())).drop_columns(["pcm"])
+        for batch in common.sliced(common.pieces_of(batches, at), FILES):
+            found = []
+            for named, m in zip(batch.column("feature").to_pylist(), batch.column("pcm").to_pylist(), strict=True):
+                if m is None:
+                    found.append(None)
+                    continue
+                samples = feature(PCM, np.frombuffer(unwav(m)[3], "<i2"))
+                found.append(named.split(";", 1)[0] + ";" + samples.split(";", 1)[1])
+            yield batch.set_column(i, batch.schema.field(i), pa.array(found, pa.string())).drop_columns(["pcm"])
 
     return held.mapInArrow(run, held.drop("pcm").schema)

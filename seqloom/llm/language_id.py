@@ -9,7 +9,8 @@ the weights haven't seen calibrates the probabilities. Every text is scored whol
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with a null lang
 teach nothing; a null doc_id counts as an empty string for the split. Without training rows
-every text is `und`. Repeated rows count each.
+every text is `und`. Repeated rows count each, and an empty table gives none. Texts of any length are
+read whole. Other columns play no part, whatever their names; accepted() carries them along.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ among those of its length is its number in its partition plus the sum of what ea
 partitions have, so no task sorts or holds all pieces of a common length.
 
 Nulls: a null text is empty and gives a piece of the end id alone. Repeated rows are packed
-each on its own. An empty table gives no pieces.
+each on its own. An empty table gives no pieces. A text of any length is encoded whole and cut into
+as many pieces as it takes. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

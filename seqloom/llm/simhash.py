@@ -10,7 +10,9 @@ binary trie at a time, adds up differing bits and prunes a node pair when the er
 budget is exceeded. A group reports a spanning forest of its links, not all of them.
 
 Nulls: a null text counts as empty; a null doc_id stays null and never names a component
-unless all of its documents have none. Repeated rows stay, each with its own result row.
+unless all of its documents have none. Repeated rows stay, each with its own result row. Empty
+tables give empty ones. Texts of any length are read whole. Other columns play no part, whatever
+their names; survivors() carries them along.
 """
 
 from __future__ import annotations
