@@ -134,6 +134,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def frequencies(rows: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, int]:
     """Document frequency of each bucket over all rows(text), and their number."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(buckets + 1, np.int64)
         for batch in common.sliced(batches):
@@ -190,6 +191,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; only text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in common.sliced(batches):
@@ -208,6 +210,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame
     """docs whose language is known and predicted with at least min_score."""
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in common.sliced(batches):

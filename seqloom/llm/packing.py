@@ -157,6 +157,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     part and nth: the partition and the piece's number, from 0, among its pieces of this length.
     """
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in common.pieces_of(batches, 1):
@@ -240,6 +241,7 @@ def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = lines[:, 0] << 48 | lines[:, 1]
     shared = spark.sparkContext.broadcast((starts, lines))  # its size follows the capacity, not the input
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, lines = shared.value
         for batch in batches:

@@ -314,6 +314,7 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans) of every document."""
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             rows = []
@@ -346,6 +347,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", min_bits: float = MIN_BITS)
     """docs with its secrets replaced in text; n_chars, where it is there, follows the new text."""
     schema = docs.schema
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             old = batch.column("text").to_pylist()

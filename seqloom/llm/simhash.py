@@ -62,6 +62,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), words) for x in batch.column(2)], np.uint64).view(np.int64)
@@ -114,6 +115,7 @@ def links(nodes: DataFrame, bits: int = BITS, group_rows: int = GROUP_ROWS) -> D
 
 
 def _joined(groups: DataFrame, bits: int) -> DataFrame:
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
