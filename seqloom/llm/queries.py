@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, decontaminate, language_id, license_scan, packing, quotes, secret_scan, simhash, surrogates, url_filter
+from . import audio, common, decontaminate, infill, language_id, license_scan, mixing, packing, quotes, secret_scan, simhash, surrogates, url_filter, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,3 +193,57 @@ ORACLE_SQL["op9_quotes"] = f"WITH RECURSIVE messages AS (SELECT conv_id, turn, r
 ORACLE_SQL["op9_derived_replies"] = f"""
 WITH RECURSIVE messages AS (SELECT a.conv_id, a.turn, a.role, coalesce('> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || a.text, a.text) AS text
   FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn), {_QUOTES}"""
+
+
+@query
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.counted(variants.runs_with_slips(common.table(spark, sf_dir, "documents"))))
+
+
+ORACLE_SQL["op11_variants"] = f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+run AS (SELECT d, w, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, '{common.UPPER}', '{common.LOWER}'), '[a-zÀ-ÿ]+')) AS w FROM documents) WHERE length(w) >= {variants.LETTERS} GROUP BY d, w),
+raw AS (SELECT d, w, n, hex(encode(d || ':' || w)) AS x FROM run),
+crc AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) AS h FROM raw, tab),
+occ AS (SELECT CASE WHEN h % {variants.SLIPS} = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS w, n FROM crc),
+word AS (SELECT w, sum(n)::BIGINT AS n FROM occ WHERE length(w) >= {variants.LETTERS} GROUP BY w HAVING sum(n) >= {variants.OCCURRENCES}),
+cut AS (SELECT w, i, substr(w, 1, i) || substr(w, i + 2) AS less FROM (SELECT w, unnest(range(0, length(w))) AS i FROM word)),
+pair AS (SELECT a.w AS a, b.w AS b FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.w <> b.w
+  UNION SELECT cut.w, word.w FROM cut JOIN word ON cut.less = word.w UNION SELECT word.w, cut.w FROM cut JOIN word ON cut.less = word.w),
+best AS (SELECT a, count(*) AS n_near, min(struct_pack(m := -word.n, o := b)) AS x FROM pair JOIN word ON word.w = b GROUP BY a),
+form AS (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -x.m >= n * {variants.FACTOR} THEN x.o END AS form, CASE WHEN -x.m >= n * {variants.FACTOR} THEN -x.m END AS form_n FROM word LEFT JOIN best ON a = w),
+up(w, r, form) AS (SELECT w, w, form FROM form UNION ALL SELECT up.w, form.w, form.form FROM up JOIN form ON form.w = up.form)
+SELECT form.w AS word, form.form, r AS root, n, n_near, form_n::BIGINT AS form_n FROM form JOIN up ON up.w = form.w AND up.form IS NULL
+"""
+
+
+@query
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.transformed(common.table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+_P, _S, _M = infill.MARKERS
+ORACLE_SQL["op12_infill"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{infill.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, {", ".join(f"('0x' || substr(x, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM d),
+k AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS k1, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS k2 FROM h),
+f AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}') OR h3 % 100 >= {infill.RATE} THEN 'plain' WHEN h4 % 100 < {infill.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(list_slice(u, 1, k1), '') AS p, array_to_string(list_slice(u, k1 + 1, k2), '') AS m, array_to_string(list_slice(u, k2 + 1, n), '') AS s FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || p || '{_S}' || s || '{_M}' || m ELSE '{_S}' || s || '{_P}' || p || '{_M}' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f
+"""
+
+
+@query
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
