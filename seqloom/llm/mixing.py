@@ -7,8 +7,8 @@ are alike to the budget, so that all that fitting needs is how many there are of
 
 The plan of a source walks its lengths from the longest on and gives each its share of the budget as far as whole
 documents go, handing the remainder on, so that the lengths are mixed as in the source. A reserve is kept back from this, and a
-bounded-knapsack dynamic program, a bitset with a bit for each total, fits it with documents of what is left, exactly if
-any combination does. Which of the documents of a length are taken follows from a seeded hash of
+bounded-knapsack dynamic program, a bitset with a bit for each total, fits it with documents of what is left; the reserve
+grows until it is fitted exactly or is at its bound. Which of the documents of a length are taken follows from a seeded hash of
 doc_id and text: they are numbered in its order by ranges over all tasks, however many are alike.
 
 Nulls: a null text has no words; null sources are a source of their own, the last; a null doc_id is one like any other.
@@ -32,8 +32,9 @@ from seqloom.operators import sequences
 from . import common
 
 WEIGHTS, SHARE, CAP, SEED = (1, 2, 3), 1.0, 3, 13
-#: Words that the dynamic program has to fit, at most, but for what a document is longer; at most an eighth of the budget.
-RESERVE = 1 << 16
+#: Words that the dynamic program has to fit, at most, but for what a document is longer. Of that it is given an eighth of the
+#: budget, then a half, then all, until it fits.
+RESERVE, PARTS = 1 << 16, (8, 2, 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -81,16 +82,23 @@ def fitted(counts: dict[int, int], budget: float, seed: int = SEED, reserve: int
     goal = int(round(budget))
     if goal >= words or not words:
         return counts
-    part, taken, given, carry = (goal - min(reserve, goal // 8)) / words, {}, 0, 0.0
-    for x in sorted(counts, reverse=True):
-        carry += counts[x] * x * part
-        taken[x] = min(counts[x], int(carry // x))
-        carry -= taken[x] * x
-        given += taken[x] * x
-    left = {x: n - taken[x] for x, n in counts.items() if n > taken[x]}
-    for x, n in knapsack(left, goal - given, seed).items():
-        taken[x] += n
-    return taken
+    best, apart = {}, goal + 1
+    for own in dict.fromkeys(min(reserve, goal // x) for x in PARTS):
+        part, taken, given, carry = (goal - own) / words, {}, 0, 0.0
+        for x in sorted(counts, reverse=True):
+            carry += counts[x] * x * part
+            taken[x] = min(counts[x], int(carry // x))
+            carry -= taken[x] * x
+            given += taken[x] * x
+        left = {x: n - taken[x] for x, n in counts.items() if n > taken[x]}
+        for x, n in knapsack(left, goal - given, seed).items():
+            taken[x] += n
+        off = abs(goal - sum(x * n for x, n in taken.items()))
+        if off < apart:
+            best, apart = taken, off
+        if not off:
+            break
+    return best
 
 
 def knapsack(counts: dict[int, int], room: int, seed: int = SEED) -> dict[int, int]:
