@@ -67,15 +67,31 @@ def _keyed(words: DataFrame) -> DataFrame:
         return at, F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 1 + more, length)
 
     def lessened(kind: int, length: Column, more: int) -> Column:
+        """A key for each different letter of the second half, with the first half, and the other way round."""
         at, head, tail = halves(length, more)
-        less = lambda x, i: F.pmod(F.col("key") - x, F.lit(PRIME))
-        return F.array_distinct(F.transform("c", lambda x, i: F.when(i >= at, F.xxhash64(F.lit(kind), length, less(x, i), F.lit(0), head)).otherwise(F.xxhash64(F.lit(kind), length, less(x, i), F.lit(1), tail))))
+        less = lambda part, side, half: F.transform(F.array_distinct(part), lambda x: F.xxhash64(F.lit(kind), length, F.pmod(F.col("key") - x, F.lit(PRIME)), F.lit(side), half))
+        return F.concat(less(F.slice("c", at + 1, F.col("l")), 0, head), less(F.slice("c", F.lit(1), at), 1, tail))
 
     _, head, tail = halves(F.col("l"), 0)
     whole = F.array(F.xxhash64(F.lit(1), "l", "key", F.lit(0), head), F.xxhash64(F.lit(1), "l", "key", F.lit(1), tail))
     return rows.select("word", "n", lessened(0, F.col("l"), 0).alias("same"), whole.alias("shorter"), lessened(1, F.col("l") - 1, 1).alias("longer"))
 
 
+#: Letters of a word up to which edits are counted by a table.
+SHORT = 32
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether a, not longer than b, differs from it by one letter; in time in proportion to the length for long words."""
+    letters = lambda w: F.array_remove(F.split(w, ""), "")
+    differ = F.zip_with(letters(a), F.slice(letters(b), F.lit(1), F.length(a)), lambda x, y: x != y)
+    at = F.array_position(differ, True).cast("int")  # the first place that differs, from 1; 0: none
+    at = F.when(at == 0, F.length(a) + 1).otherwise(at)
+    rest = lambda w, i: F.substring(w, i, F.length(w))
+    same = F.when(F.length(a) == F.length(b), (rest(a, at + 1) == rest(b, at + 1)) & (at <= F.length(a))).otherwise((F.length(b) == F.length(a) + 1) & (rest(a, at) == rest(b, at + 1)))
+    return F.when(F.length(b) <= SHORT, F.levenshtein(a, b, 1) == 1).otherwise(same)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n), each pair once: words(word, n), all different, that differ by one added, removed or exchanged letter."""
     keyed = _keyed(words)
@@ -83,7 +99,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     other = keyed.select(F.explode(F.concat("same", "longer")).alias("k"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     met = one.join(other, "k").filter((F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
     # of equal letters in a row one or another can be the added one, and both halves agree: several keys, one pair
-    return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
+    return met.filter(_one_edit(F.col("a"), F.col("b"))).select("a", "a_n", "b", "b_n").distinct()
 
 
 def formed(words: DataFrame, factor: int = FACTOR) -> DataFrame:

@@ -1,8 +1,8 @@
 from collections import defaultdict
 
 from test_decontaminate import brute, brute_words
+from test_near_copies import brute_survivors
 from test_packing import packed_well
-from test_simhash import brute_components, brute_fp
 
 import corpus_pipeline as cp
 from seqloom.llm import language_id, secret_scan
@@ -22,8 +22,7 @@ def test_stages_equal_brute_force(spark):
     rows = held(docs)
     want = {i for i, r in rows.items() if (p := model.predict(r["text"]))[0] != "und" and p[1] >= cp.MIN_LANGUAGE_SCORE}
     assert len(want) > 0.99 * len(rows)
-    prints = [(i, brute_fp(rows[i]["text"])) for i in want]
-    want = set(brute_components(prints).values())
+    want = brute_survivors([(i, rows[i]["text"]) for i in sorted(want)])
     windows = {tuple(b[s : s + 10]) for _, t in items for b in [brute_words(t)] for s in range(len(b) - 9)}
     assert all(len(brute_words(t)) >= 10 for _, t in items)
     dirty = set()
