@@ -252,6 +252,26 @@ def global_distance(spark, sf_dir):
     return names.join(nations, F.length("pattern") > 0).select("pattern", "text", D.global_distance(F.col("pattern"), F.col("text")).alias("distance"))
 
 
+# The first best end and its smallest start; then the path back, by distances of beginnings.
+_ALIGNED = """WITH RECURSIVE p AS (SELECT lower(n_name) AS pattern, text FROM nation, (SELECT DISTINCT lower(p_name) AS text FROM part)),
+s AS (SELECT pattern, text, a, unnest(range(a, length(text) + 2)) AS b FROM (SELECT pattern, text, unnest(range(1, length(text) + 2)) AS a FROM p)),
+best AS (SELECT pattern, text, levenshtein(pattern, text[a:b - 1]) AS d, a - 1 AS s, b - 1 AS e FROM s QUALIFY row_number() OVER (PARTITION BY pattern, text ORDER BY d, e, s) = 1),
+w(pattern, text, own, i, j, k, op) AS (SELECT pattern, text, text[s + 1:e], length(pattern), e - s, 0, '' FROM best UNION ALL
+  SELECT pattern, text, own, CASE WHEN op <> 'D' THEN i - 1 ELSE i END, CASE WHEN op <> 'I' THEN j - 1 ELSE j END, k + 1, op FROM (SELECT pattern, text, own, i, j, k,
+    CASE WHEN i > 0 AND levenshtein(pattern[1:i - 1], own[1:j]) + 1 = levenshtein(pattern[1:i], own[1:j]) THEN 'I' WHEN j > 0 AND levenshtein(pattern[1:i], own[1:j - 1]) + 1 = levenshtein(pattern[1:i], own[1:j]) THEN 'D'
+      WHEN pattern[i] = own[j] THEN '=' ELSE 'X' END AS op FROM w WHERE i > 0 OR j > 0)),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY pattern, text, op ORDER BY k) AS run FROM w WHERE k > 0),
+c AS (SELECT pattern, text, op, count(*) AS n, max(k) AS k FROM g GROUP BY pattern, text, op, run)
+SELECT pattern, text, d::INT AS distance, s::INT AS start, e::INT AS "end", string_agg(n || op, '' ORDER BY k DESC) AS cigar FROM c JOIN best USING (pattern, text) GROUP BY ALL"""
+
+
+@query(_ALIGNED)
+def aligned_pairs(spark, sf_dir):
+    """Where each nation's name stands best in each part's, and how."""
+    nations, names = _short_pairs(spark, sf_dir)
+    return D.aligned(names.join(nations, F.length("pattern") > 0).select("pattern", "text"), "pattern", "text")
+
+
 _EDGES = """n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id, length(name) AS len FROM (SELECT DISTINCT p_name AS name FROM part)),
 k AS (SELECT DISTINCT id, substr(name, s, 3) AS w FROM (SELECT id, name, unnest(range(1, len - 1)) AS s FROM n)),
 c AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM k a JOIN k b USING (w) WHERE a.id <> b.id),
