@@ -11,6 +11,10 @@ and digits (41 bits) cost less than a word of nine letters that is not in the li
 Values of at least `min_bits` are secrets. Base spans always stay; an added span that lies
 inside another one is left out.
 
+Values that are text are none: a run of letters of one case that is spelled as words are (by the letter pairs of the
+vocabulary), or that has letters beyond ASCII, costs a word's bits whatever its length; a value of words, numbers and marks
+of a path, a URL or code (`docs/auth`, `os.environ`) is no secret, one of words and hyphens costs its words.
+
 The program takes time in proportion to a value's length (the best start of a run's part is
 kept in sliding windows), and ends as soon as no cut under `min_bits` is left.
 
@@ -65,6 +69,14 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)", re.A)
 #: The lengths that a date can have.
 DATES = (4, 6, 8, 10)
+MOMENT = re.compile(r"(?:19|20)\d\d-?\d\d-?\d\d[T_]\d\d:?\d\d(?::?\d\d(?:[.,]\d{1,9})?)?(?:Z|[+-]\d\d:?\d\d)?", re.A)
+#: Marks that end a value in scripts without blanks.
+STOPS = re.compile("[\u3000-\u3003\u3008-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f]")
+#: Pieces of a name: capitals, a word, digits, letters of other scripts; and marks by which paths, addresses and code are told.
+PIECE, MARKS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+(?![^\W\d_a-zA-Z])|\d+|[^\W\d_]+"), set("/.:()[]{}$|\\@#?&=,;")
+#: Bits of a word of any language at most, the letters of the shortest, and the bits that its letters have on average at most, of one
+#: with fewer than LONGER letters and of others. Of random letters of one case, ten or twelve, one in forty is a word by that.
+WORD_BITS, NATURAL, LONGER, SPELLED = 26.0, 5, 9, (3.7, 4.9)
 
 
 @cache
@@ -81,6 +93,70 @@ def ranks() -> dict[str, int]:
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
 
 
+@cache
+def short_ranks() -> dict[str, int]:
+    """ranks() and the words of two to four letters, which count only where they stand alone."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (t.removesuffix("</w>") for t in sorted(vocabulary, key=vocabulary.get) if t.endswith("</w>"))
+    return ranks() | {w: i + 1 for i, w in enumerate(w for w in words if w.isascii() and w.isalpha() and len(w) > 1) if len(w) < SHORTEST}
+
+
+@cache
+def spelling() -> dict[str, float]:
+    """The bits of a letter behind another, or behind ^ at the start, by the words of the vocabulary."""
+    pairs: dict[str, int] = {}
+    letters: dict[str, int] = {}
+    for w in ranks():
+        for a, b in zip("^" + w, w, strict=False):
+            pairs[a + b] = pairs.get(a + b, 0) + 1
+            letters[a] = letters.get(a, 0) + 1
+    own = "abcdefghijklmnopqrstuvwxyz"
+    return {a + b: -math.log2((pairs.get(a + b, 0) + 0.5) / (letters.get(a, 0) + 13)) for a in "^" + own for b in own}
+
+
+def word_bits(word: str) -> float:
+    """The bits of a run of letters of one case as a word of some language; infinite if it isn't spelled as one."""
+    if not _one_case(word):
+        return math.inf
+    if not word.isascii():
+        return min(WORD_BITS, 5.0 * len(word))
+    if len(word) < NATURAL:
+        return math.inf
+    costs, low = spelling(), word.lower()
+    bits = sum(costs[x + y] for x, y in zip("^" + low, low, strict=False))
+    return min(WORD_BITS, bits) if bits <= SPELLED[len(word) >= LONGER] * len(word) else math.inf
+
+
+def text_bits(value: str) -> float:
+    """The bits of a value that is words, short numbers and marks; 0 with marks of a path, an address or code, infinite if it is anything else."""
+    if MOMENT.fullmatch(value):
+        return math.log2(365 * 120 * 86400)
+    bits, real, size, rank = 0.0, 0, 0, short_ranks()
+    for m in PIECE.finditer(value):
+        piece = m[0]
+        size += len(piece)
+        if piece.isdigit():
+            own = math.log2(10) * len(piece) if len(piece) <= 4 else math.inf
+        elif found := rank.get(piece.lower()):
+            own, real = math.log2(found + 1), real + len(piece) * (len(piece) > 3)
+        elif len(piece) <= 2 and piece.isascii():
+            own = math.log2(26) * len(piece)
+        else:
+            own = word_bits(piece)
+            real += len(piece)
+        bits += own
+        if bits == math.inf:
+            return bits
+    if 2 * real < size or real < NATURAL:
+        return math.inf
+    return 0.0 if MARKS & set(value) else bits + len(re.findall(r"[\W_]+", value))
+
+
 @cache
 def longest() -> int:
     return max(map(len, ranks()))
@@ -142,13 +218,15 @@ def _runs(value: str) -> Iterator[_Run]:
     """The maximal repeats, keyboard walks and sequences of an ASCII value."""
     n, low = len(value), value.lower()
     own = [math.log2(_alphabet(c)) for c in value]
+    done: list[tuple[int, int]] = []  # a repeat inside one of a shorter period costs more
     for period in range(1, 5):  # the same 1 to 4 characters again and again
         at = 0
         while at + period < n:
             end = at + period
             while end < n and low[end] == low[end - period]:
                 end += 1
-            if end - at >= max(3, 2 * period):
+            if end - at >= max(3, 2 * period) and not any(a <= at and end <= z for a, z in done):
+                done.append((at, end))
                 yield _Run(at, end, period, max(3, 2 * period), lambda a, p=period: sum(own[a : a + p]))
             at = end - period + 1
     turns, way = [0] * (n + 1), None  # turns of direction up to each character
@@ -182,6 +260,7 @@ def _one_case(part: str) -> bool:
     return part in (part.lower(), part.upper()) or part[1:] == part[1:].lower()
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = {"digit": 10, "lower": 26, "upper": 26, "symbol": 33, "other": 200}
 #: So many digits behind words of one case are a word's ending, not random characters.
 ENDING = 4
@@ -189,8 +268,12 @@ ENDING = 4
 
 def strength_bits(value: str, limit: float = math.inf) -> float:
     """guess_bits with brute-force characters charged by the union of their classes, the cheapest of all unions."""
+    value, more = shortened(value)
+    best, limit = text_bits(value), limit - more
+    if best <= 0:
+        return best
     classes = [_class(c) for c in value]
-    present, n, best = sorted(set(classes)), len(value), math.inf
+    present, n = sorted(set(classes)), len(value)
     ending = n - min(ENDING, n - len(value.rstrip("0123456789")))
     for mask in range(1 << len(present)):
         used = {c for i, c in enumerate(present) if mask >> i & 1}
@@ -203,7 +286,24 @@ def strength_bits(value: str, limit: float = math.inf) -> float:
                 elif c == "upper" and classes[i + 1 : i + 3] == ["lower"] * 2 and (not i or classes[i - 1] != "upper"):
                     prices[i] = bits + 1  # a word's capital
         best = min(best, guess_bits(value, prices, min(limit, best)))
-    return best
+    return best + more
+
+
+#: Units of a repeat that are kept of longer ones, and such repeats.
+UNITS = 512
+LONG = re.compile(r"(?s)(.{1,4}?)\1{%d,}" % UNITS)
+
+
+def shortened(value: str) -> tuple[str, float]:
+    """value with very long repeats cut to UNITS units, and the bits that their numbers of units take more."""
+    more = 0.0
+
+    def cut(m: re.Match[str]) -> str:
+        nonlocal more
+        more += math.log2(len(m[0]) / len(m[1]) / UNITS)
+        return m[1] * UNITS
+
+    return LONG.sub(cut, value), more
 
 
 def guess_bits(value: str, prices: list[float] | None = None, limit: float = math.inf) -> float:
@@ -222,6 +322,7 @@ def guess_bits(value: str, prices: list[float] | None = None, limit: float = mat
         letters.append(letters[-1] + (cased and c.isalpha()))
     runs = sorted(_runs(value), key=lambda r: r.start) if value.isascii() else []
     reach, active, coming = max(longest(), max(DATES)), [], 0
+    spelled = {m.end(): (m.start(), bits) for m in LETTERS.finditer(value) if (bits := word_bits(m[0])) < math.inf}
     far = [0] * (n + 1)  # where runs end that a place is in
     for r in runs:
         far[r.start] = max(far[r.start], r.end)
@@ -236,7 +337,11 @@ def guess_bits(value: str, prices: list[float] | None = None, limit: float = mat
         upper, lower = b - 1 if c.isupper() else upper, b - 1 if c.islower() else lower
         floor = min(upper, lower + 1) if cased else -1  # a part from there on is in one case, or has a capital first
         least = best[b - 1] + prices[b - 1]
-        for a in range(max(0, b - reach), b - 2):
+        if b in spelled:
+            a, bits = spelled[b]
+            least = min(least, best[a] + bits + 1)
+        inside = any(r.start <= b - reach and r.end > b for r in active)  # a repeat or walk all around: its own parts cost less
+        for a in () if inside else range(max(0, b - reach), b - 2):
             if best[a] >= least:
                 continue
             bits = math.inf
@@ -292,6 +397,8 @@ def spans(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, str, i
         seen += [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
         seen += [m.span(1) for m in _urls(text)]
         for a, b in seen:
+            if m := STOPS.search(text, a, b):
+                b = m.start()
             while b > a and text[b - 1] in ".,;:!?)]}":
                 b -= 1
             if b - a >= 6:

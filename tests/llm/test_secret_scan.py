@@ -1,10 +1,14 @@
 import hashlib
+import itertools
 import math
 import random
 import re
 import time
+from collections import Counter
 from functools import cache
 
+import pyarrow.parquet as pq
+
 from seqloom.llm import secret_scan as s
 from seqloom.llm.queries import QUERIES
 
@@ -23,6 +27,29 @@ def brute_base(text):
     return [x[2] for x in sorted(found)]
 
 
+@cache
+def pairs():
+    """How often each letter stands behind another in the words of the list, ^ before the first."""
+    return Counter(x for w in s.ranks() for x in zip("^" + w, w, strict=False))
+
+
+def brute_word(word):
+    """The bits of a word by its letter pairs; null if it isn't spelled as one, or has letters of both cases."""
+    if not (word.islower() or word.isupper() or word[1:].islower() or word == word.lower()):
+        return None
+    if any(c > "\x7f" for c in word):
+        return min(26, 5 * len(word))
+    if len(word) < 5:
+        return None
+    behind = Counter()
+    for (a, _), n in pairs().items():
+        behind[a] += n
+    low, bits = word.lower(), 0
+    for a, b in zip("^" + low, low, strict=False):
+        bits -= math.log2((pairs()[a, b] + 0.5) / (behind[a] + 13))
+    return min(26, bits) if bits <= (4.9 if len(word) > 8 else 3.7) * len(word) else None
+
+
 def brute_parts(value, cased):
     """(a, b, bits) of all parts but single characters, each stretch of the value looked at on its own."""
     n, low, ranks = len(value), value.lower(), s.ranks()
@@ -30,6 +57,9 @@ def brute_parts(value, cased):
     near = lambda x, y: y in s.NEAR.get(x, ())
     units = lambda k: math.ceil(math.log2(k))
     own = [math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value]
+    for m in re.finditer(r"[^\W\d_]+", value):
+        if (bits := brute_word(m[0])) is not None:
+            yield m.start(), m.end(), bits + 1
     for a in range(n):
         for b in range(a + 3, n + 1):
             part, l, size = value[a:b], low[a:b], b - a
@@ -153,3 +183,73 @@ def test_query_base_equals_brute_force(spark):
         base = want[r["doc_id"]]
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r["spans"].split(",")) | {""}
+
+
+def brute_strength(value):
+    """The cheapest of all cuts and all unions of classes of characters that are guessed one by one."""
+    kind = lambda c: "0" if c in "0123456789" else "a" if c in "abcdefghijklmnopqrstuvwxyz" else "A" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "#" if c < "\x80" else "é"
+    kinds, sizes, best = [kind(c) for c in value], {"0": 10, "a": 26, "A": 26, "#": 33, "é": 200}, math.inf
+    last = next((i for i in range(len(value), 0, -1) if kinds[i - 1] != "0"), 0)
+    for k in range(len(set(kinds)) + 1):
+        for used in itertools.combinations(sorted(set(kinds)), k):
+            bits = math.log2(sum(sizes[x] for x in used)) if used else math.inf
+            prices = [bits if x in used else math.inf for x in kinds]
+            if used == ("a",):
+                for i, x in enumerate(kinds):
+                    if i >= max(last, len(value) - 4):
+                        prices[i] = math.log2(10)
+                    elif x == "A" and kinds[i + 1 : i + 3] == ["a", "a"] and (i == 0 or kinds[i - 1] != "A"):
+                        prices[i] = bits + 1
+            best = min(best, brute_bits(value, prices))
+    return best
+
+
+def brute_spans(text):
+    """Base spans and, where a credential can stand, values that take 2 ** 45 guesses; only texts without marks of paths are known here."""
+    text, base = text or "", brute_base(text)
+    found = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base)]
+    word = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+    places = [m.span(1) for m in re.finditer(word + r"""["']?[ \t]*(?:=>|:=|[:=]|\b[iI][sS]\b)[ \t]*["']?([^\s"'<>]{6,})""", text)]
+    places += [m.span(1) for m in re.finditer(r"""\b[bB][eE][aA][rR][eE][rR][ \t]+([^\s"'<>]{6,})""", text)]
+    places += [m.span(1) for m in re.finditer(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@", text)]
+    for a, b in set(places):
+        b = a + len(text[a:b].rstrip(".,;:!?)]}"))
+        if b - a >= 6 and not any(x <= a and b <= y for x, y, _ in found) and s.text_bits(text[a:b]) >= 45 and brute_strength(text[a:b]) >= 45:
+            found.append((a, b, "guess"))
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda x: (x[0], s.KINDS.index(x[2]))))
+
+
+def test_query_spans_equal_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    want = {r["doc_id"]: brute_spans(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["spans"] for r in QUERIES["op7_secrets"](spark, d).collect()}
+    assert got == want and sum(map(bool, want.values())) > 10
+
+
+def test_text_is_no_secret():
+    for text in """The secret is пользователь|secret: 我们的产品很好用，谢谢大家的支持|token: übermäßig|the token is tokenization/segmentation|The secret is understanding-the-customer
+token: https://example.com/docs/auth|pwd: 2024-01-15T10:22:33Z|passwd is process.env.DB_PASSWORD|secret: ${DB_PASSWORD}|credentials: getServerSideProps()|access_key is self.session.access_token
+the passphrase is Geschwindigkeitsbegrenzung|pwd: anticonstitutionnellement|pwd: 日本語のパスワードです|the token is {{ site.token }}|private key: /etc/ssl/private/server.pem""".replace("\n", "|").split("|"):
+        assert not [x for x in s.spans(text)[1] if x[1] == "guess"], text
+    for text in ["pwd: wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzEXAMPLEKEY", "bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "pwd: kT.9z/Qp7#w", "pwd: парольkT9#vR2$pLx"]:
+        assert [x for x in s.spans(text)[1] if x[1] == "guess"], text
+
+
+def test_words_of_documents_are_no_secrets():
+    """Each different longer word of a corpus of invented prose behind "password is", by how often it occurs."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    words, false = Counter(), Counter()
+    for r in docs:
+        words.update((r["lang"], w) for w in re.findall(r"[A-Za-zÀ-ÿ]{6,}", r["text"] or ""))
+    for (lang, w), n in words.items():
+        false[lang] += n * bool(s.spans(f"the password is {w} here")[1])
+    rate = {lang: false[lang] / sum(n for (x, _), n in words.items() if x == lang) for lang in false}
+    assert rate["en"] < 0.001 and max(rate["fr"], rate["es"]) < 0.005 and rate["de"] < 0.02
+
+
+def test_long_repeats_take_little_time():
+    began = time.time()
+    for v in ("@" * 1_000_000, "ab" * 500_000, "x1" * 10 + "@" * 1_000_000 + "Zq9!", "a.b/" * 200_000):
+        s.spans("password: " + v)
+    assert time.time() - began < 10
+    assert s.strength_bits("@" * 80_000) < 45 < s.strength_bits("@" * 80_000 + "kT9#vR2$pLx")
