@@ -1,13 +1,14 @@
 """Words of sequences: windows and hashes, the sampled index, word counts, sketches.
 
-A sequence is taken apart once into an array of codes; its windows are then numbers of a
-generated row each, and a window's hash is plain arithmetic on the array, inside whole-stage
-code. Strings of windows are never cut out but where they are asked for.
+A window's hash is polynomial, so that it is a difference of two prefix sums times a power, whatever the window's
+length: with S[i] the sum of code[j] / BASE ** j over j < i modulo a prime, the window of k letters at i has
+(S[i + k] - S[i]) * BASE ** (i + k - 1). A sequence is read once into numbers and all its windows are hashed together, in Arrow batches.
+Strings of windows are never cut out but where they are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,109 +16,166 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
+from seqloom.functions.lanes import coded
 
+#: Rows of a batch that goes back to Spark, about.
+ROWS = 1 << 18
 
-def _coded(seqs: DataFrame, alphabet: int) -> DataFrame:
-    own = seqs.select("seq_id", C.codes(C.reduced(F.col("seq"), alphabet)).alias("_c"))
-    return own.select("seq_id", "_c", F.size("_c").alias("_n"))
 
+class Powers:
+    """BASE ** i and BASE ** -i modulo MODULUS, as far as they were asked for."""
 
-def _starts(n: Column, k: int) -> Column:
-    return F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+    up, down = np.ones(1, np.int64), np.ones(1, np.int64)
 
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n of both."""
+        while len(cls.up) < n:
+            size = len(cls.up)
+            more, less = pow(C.BASE, size, C.MODULUS), pow(C.BASE, -size, C.MODULUS)
+            cls.up, cls.down = (np.concatenate([x, x * f % C.MODULUS]) for x, f in ((cls.up, more), (cls.down, less)))
+        return cls.up[:n], cls.down[:n]
 
-def _at(i: int) -> Column:
-    return F.get("_c", F.col("pos") + i)
 
+class Prefixes:
+    """The prefix sums of a sequence."""
 
-def _hash(k: int) -> Column:
-    """The hash of the window at pos. It is never null, and is said not to be: a join would
-    else test it first, which doubles the code of a stage beyond what is compiled."""
-    return F.coalesce(C.poly_hash(_at, k), F.lit(-1).cast("long"))
+    def __init__(self, text: str):
+        codes = coded(text).astype(np.int64)
+        self.n = len(codes)
+        self.up, down = Powers.of(self.n + 1)
+        self.sums = np.concatenate(([0], np.cumsum(codes * down[: self.n] % C.MODULUS))) % C.MODULUS
+
+    def hashes(self, k: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of the windows of k letters at some places, or at all."""
+        if at is None:
+            n = max(0, self.n - k + 1)
+            return (self.sums[k : k + n] - self.sums[:n]) % C.MODULUS * self.up[k - 1 : k - 1 + n] % C.MODULUS
+        return (self.sums[at + k] - self.sums[at]) % C.MODULUS * self.up[at + k - 1] % C.MODULUS
+
+
+def _each(seqs: DataFrame, alphabet: int, names: list[str], of: Callable[[Prefixes], list[np.ndarray]], kinds: list[str], keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """Rows (keep..., names...) of what `of` makes of each sequence, as arrays of equal lengths; a null sequence has none."""
+    own = seqs.select(*keep, C.reduced(F.col("seq"), alphabet).alias("seq"))
+    schema = ", ".join([f"{c} {own.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {k}" for c, k in zip(names, kinds, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, size = [], [], 0
+            for i, x in enumerate(batch.column(len(keep)).to_pylist()):
+                got = of(Prefixes(x or ""))
+                rows.append((i, len(got[0])))
+                found.append(got)
+                size += len(got[0])
+                if size >= ROWS or i == batch.num_rows - 1:
+                    at = pa.array(np.repeat(*np.array(rows, np.int64).T))
+                    arrays = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keep))), *arrays], [*keep, *names])
+                    rows, found, size = [], [], 0
+
+    return own.mapInArrow(run, schema)
 
 
 def windows(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
     """(seq_id, pos, hash) of every window of k letters."""
-    rows = _coded(seqs, alphabet)
-    return rows.select("seq_id", "_c", F.explode(_starts(F.col("_n"), k)).alias("pos")).select("seq_id", "pos", _hash(k).alias("hash"))
+
+    def of(p: Prefixes) -> list[np.ndarray]:
+        found = p.hashes(k)
+        return [np.arange(len(found), dtype=np.int32), found]
+
+    return _each(seqs, alphabet, ["pos", "hash"], of, ["int", "long"])
 
 
 def window_texts(seqs: DataFrame, k: int) -> DataFrame:
     """(seq_id, pos, word): windows as strings."""
     rows = seqs.select("seq_id", F.array_remove(F.split("seq", ""), "").alias("_c")).select("seq_id", "_c", F.size("_c").alias("_n"))
-    return rows.select("seq_id", "_c", F.explode(_starts(F.col("_n"), k)).alias("pos")).select("seq_id", "pos", F.array_join(F.slice("_c", F.col("pos") + 1, k), "").alias("word"))
+    return rows.select("seq_id", "_c", F.explode(F.when(F.col("_n") >= k, F.sequence(F.lit(0), F.col("_n") - k)).otherwise(F.array().cast("array<int>"))).alias("pos")).select("seq_id", "pos", F.array_join(F.slice("_c", F.col("pos") + 1, k), "").alias("word"))
 
 
-def sampled(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet: int = 0) -> DataFrame:
+def sampled(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet: int = 0, keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(seq_id, pos, len, hash) of the index's words: about mincnt of each sequence, evenly spaced.
 
     Words at the last high_perc percent of the positions are longer by one; the first is not.
     """
-    rows = _coded(seqs, alphabet)
-    count = F.col("_n") - (k - 1)
-    gap = F.greatest(F.lit(1), F.floor(count / mincnt)).cast("int")
-    starts = F.when(count >= 1, F.sequence(F.lit(0), count - 1, gap)).otherwise(F.array().cast("array<int>"))
-    out = rows.select("seq_id", "_c", "_n", F.explode(starts).alias("pos"))
-    longer = (F.col("pos") > 0) & (F.floor(F.col("pos") * 100 / (F.col("_n") - (k - 1))) >= 100 - high_perc) & (F.col("pos") + k + 1 <= F.col("_n"))
-    out = out.select("seq_id", "pos", longer.alias("_more"), F.coalesce(_at(k), F.lit(0).cast("long")).alias("_next"), _hash(k).alias("_base"))
-    more = (F.col("_base") * C.BASE + F.col("_next")) % C.MODULUS
-    return out.select("seq_id", "pos", F.when(F.col("_more"), k + 1).otherwise(k).alias("len"), F.when(F.col("_more"), more).otherwise(F.col("_base")).alias("hash"))
+
+    def of(p: Prefixes) -> list[np.ndarray]:
+        count = max(0, p.n - (k - 1))
+        at = np.arange(0, count, max(1, count // mincnt))
+        longer = (at > 0) & (at * 100 // max(1, count) >= 100 - high_perc) & (at + k + 1 <= p.n)
+        found = np.empty(len(at), np.int64)
+        for more in (False, True):
+            own = longer == more
+            found[own] = p.hashes(k + more, at[own])
+        return [at.astype(np.int32), np.where(longer, k + 1, k).astype(np.int32), found]
+
+    return _each(seqs, alphabet, ["pos", "len", "hash"], of, ["int", "int", "long"], keep)
 
 
-def index(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet: int = 0, n_buckets: int | None = None) -> DataFrame:
-    """(bucket, seq_id), distinct: the inverted index of sampled words.
+def index(seqs: DataFrame, k: int, mincnt: int, high_perc: int = 0, alphabet: int = 0, n_buckets: int | None = None, lengths: bool = False) -> DataFrame:
+    """(bucket, seq_id), distinct: the inverted index of sampled words; with lengths also seqlen.
 
     A bucket is a word's hash, or its remainder modulo n_buckets where words may share buckets.
     """
-    words = sampled(seqs, k, mincnt, high_perc, alphabet)
+    keep = ("seq_id", "seqlen") if lengths else ("seq_id",)
+    words = sampled(seqs, k, mincnt, high_perc, alphabet, keep)
     bucket = F.col("hash") % n_buckets if n_buckets else F.col("hash")
-    return words.select(bucket.alias("bucket"), "seq_id").distinct()
+    return words.select(bucket.alias("bucket"), *keep).distinct()
 
 
-def probes(seqs: DataFrame, k: int, longer: bool = False, alphabet: int = 0, n_buckets: int | None = None) -> DataFrame:
-    """(bucket, seq_id): every word of k letters, and of k + 1 if longer.
+def probes(seqs: DataFrame, k: int, longer: bool = False, alphabet: int = 0, n_buckets: int | None = None, lengths: bool = False) -> DataFrame:
+    """(bucket, seq_id), distinct: every word of k letters, and of k + 1 if longer; with lengths also seqlen.
 
-    A word that a sequence repeats stands there again: what is found is made distinct, and the
-    words, of which there are as many as letters, needn't be shuffled for it.
+    A sequence's repeats are left out where it is read, without a shuffle.
     """
-    found = windows(seqs, k, alphabet)
-    if longer:
-        found = found.unionByName(windows(seqs, k + 1, alphabet))
-    bucket = F.col("hash") % n_buckets if n_buckets else F.col("hash")
-    return found.select(bucket.alias("bucket"), "seq_id")
+    keep = ("seq_id", "seqlen") if lengths else ("seq_id",)
+
+    def of(p: Prefixes) -> list[np.ndarray]:
+        found = np.concatenate([p.hashes(k), p.hashes(k + 1)]) if longer else p.hashes(k)
+        return [np.unique(found % n_buckets if n_buckets else found)]
+
+    return _each(seqs, alphabet, ["bucket"], of, ["long"], keep).select("bucket", *keep)
 
 
 def word_sets(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
     """(seq_id, words, n): the different words of a sequence by 16 bits of their hash, as ascending numbers of two bytes, and how many windows it has."""
+
     own = seqs.select("seq_id", C.reduced(F.col("seq"), alphabet).alias("seq"))
     kind = own.schema["seq_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
-            for x in batch.column(1):
-                codes = np.frombuffer((x.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-                n = max(0, len(codes) - k + 1)
-                h = np.zeros(n, np.uint64)
-                for i in range(k):
-                    h = (h * np.uint64(C.BASE) + codes[i : i + n]) % np.uint64(C.MODULUS)
-                found.append(np.unique((h % np.uint64(65536)).astype("<u2")).tobytes())
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["seq_id", "words", "n"])
+            hashes = [Prefixes(x or "").hashes(k) for x in batch.column(1).to_pylist()]
+            found = [np.unique((h % 65536).astype("<u2")).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(h) for h in hashes], pa.int64())], ["seq_id", "words", "n"])
 
     return own.mapInArrow(run, f"seq_id {kind}, words binary, n long")
 
 
 def counts(seqs: DataFrame, k: int, alphabet: int = 0) -> DataFrame:
-    """(seq_id, word, cnt): the multiset of a sequence's words, by 16 bits of their hash."""
-    return windows(seqs, k, alphabet).groupBy("seq_id", (F.col("hash") % 65536).cast("int").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
+    """(seq_id, word, cnt): the multiset of a sequence's words, by 16 bits of their hash. Counted where it is read: a seq_id is one row."""
+
+    def of(p: Prefixes) -> list[np.ndarray]:
+        words, n = np.unique(p.hashes(k) % 65536, return_counts=True)
+        return [words.astype(np.int32), n.astype(np.int64)]
+
+    return _each(seqs, alphabet, ["word", "cnt"], of, ["int", "long"])
 
 
 def sketches(seqs: DataFrame, k: int, size: int = 32, alphabet: int = 0) -> DataFrame:
-    """(seq_id, sketch): the largest hashes of each sequence's words, repeats included."""
-    rows = _coded(seqs, alphabet)
-    hashes = F.transform(_starts(F.col("_n"), k), lambda s: C.poly_hash(lambda i: F.get("_c", s + i), k))
-    return rows.select("seq_id", C.sketch(hashes, size).alias("sketch"))
+    """(seq_id, sketch): the `size` largest hashes of each sequence's words, repeats included, cut to 16 bits, in descending order."""
+    own = seqs.select("seq_id", C.reduced(F.col("seq"), alphabet).alias("seq"))
+    kind = own.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column(1).to_pylist():
+                h = Prefixes(x or "").hashes(k)
+                h = np.partition(h, len(h) - size)[len(h) - size :] if len(h) > size else h
+                found.append(np.sort(h % 65536)[::-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["seq_id", "sketch"])
+
+    return own.mapInArrow(run, f"seq_id {kind}, sketch array<long>")
 
 
 def posting_histogram(postings: DataFrame, n_buckets: int | None = None) -> DataFrame:

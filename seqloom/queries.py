@@ -146,9 +146,9 @@ cand AS (SELECT src, dst, a.n::INT AS src_len, b.n::INT AS dst_len FROM x JOIN d
 
 def _candidates(spark, sf_dir, cap=None):
     d = documents(spark, sf_dir)
-    index = words.index(d, 20, 45)
+    index = words.index(d, 20, 45, lengths=True)
     index = index if cap is None else storage.kept(index, "index")  # the cap looks at it three times
-    return search.candidates(words.probes(d, 20), index, d.select("seq_id", "seqlen"), 80, 80, cap)
+    return search.candidates(words.probes(d, 20, lengths=True), index, 80, 80, cap)
 
 
 @query(f"WITH {_CAND} SELECT src, dst, src_len, dst_len FROM cand")

@@ -6,13 +6,16 @@ carried on from the lines before it, from block to block of a file. No file is r
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql import types as T
 
 from seqloom.functions import columns as C
+from seqloom.operators import storage
 
 SEQUENCE = "name string, comment string, seq string"
 WHITE = r"[ \t\x0B\f\r]"
@@ -29,71 +32,166 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.rtrim(F.regexp_extract(head, r"^\S*\s?([^\r]*)", 1)).alias("comment"), rest.alias("seq"))
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def fastx_records(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
+    """(name, comment, seq) of FASTA or FASTQ lines; a quality is read to the length of its sequence, and left out."""
+    for head, seq, _ in _records(list(lines), True)[0]:
+        parts = head.split(None, 1)
+        yield parts[0] if parts else "", parts[1].rstrip() if len(parts) > 1 else "", seq
 
 
-class FastqReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = options["path"].split(",")
+def _records(lines: list[str], ends: bool) -> tuple[list[tuple[str, str, int]], int]:
+    """((head, seq, line) of the records of lines, the line at which one begins that isn't whole yet).
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.paths]
+    ends: nothing follows; else the last record may go on.
+    """
+    found, at, n = [], 0, len(lines)
+    while at < n:
+        begin = at
+        if lines[at][:1] not in (">", "@"):
+            at += 1
+            continue
+        at += 1
+        while at < n and lines[at][:1] not in (">", "@", "+"):
+            at += 1
+        seq = "".join("".join(lines[begin + 1 : at]).split())
+        if at == n and not ends:
+            return found, begin
+        if at < n and lines[at][:1] == "+":
+            at, got = at + 1, 0
+            while at < n and got < len(seq):
+                got, at = got + len(lines[at].rstrip("\r\n")), at + 1
+            if got < len(seq) and not ends:
+                return found, begin
+            if got != len(seq):
+                raise ValueError(f"the quality of {lines[begin][1:].strip()} is not as long as its sequence")
+        found.append((lines[begin][1:].rstrip("\r\n"), seq, begin))
+    return found, n
 
-    def read(self, partition):
-        from pyarrow import fs
 
-        files, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path or partition.path.startswith("file:") else (fs.LocalFileSystem(), partition.path)
-        with files.open_input_stream(path) as stream:  # decompresses by the ending
-            import io
+#: Records that have to follow one another without a fault before a line counts as the beginning of one.
+SURE = 2
 
-            yield from fastx_records(io.TextIOWrapper(stream, newline="\n"))
 
+SEQUENCE_LINE = re.compile(r"[A-Za-z*.\s-]*")
 
-def fastx_records(lines):
-    """(name, comment, seq) of FASTA or FASTQ lines; a quality is read to the length of its sequence."""
-    lines = iter(lines)
-    line = next(lines, None)
-    while line is not None:
-        if line[:1] not in (">", "@"):
-            line = next(lines, None)
+
+def first_record(lines: list[str]) -> int | None:
+    """The first line that a record begins at, told without what stands before these lines; None if there is none for certain.
+
+    A line with @ or > may be a quality. As a beginning it is followed by a sequence and, with @, by + and a quality of equal
+    length, SURE times or as far as the lines go; a quality isn't.
+    """
+    return next((at for at, line in enumerate(lines) if line[:1] in ("@", ">") and _sound(lines, at)), None)
+
+
+def _sound(lines: list[str], at: int) -> bool:
+    n, mark = len(lines), lines[at][:1]
+    for k in range(SURE):
+        if at == n:
+            return True
+        if lines[at][:1] != mark:
+            return False
+        at, size = at + 1, 0
+        while at < n and lines[at][:1] not in (">", "@", "+"):
+            if not SEQUENCE_LINE.fullmatch(lines[at]):
+                return False
+            size, at = size + len("".join(lines[at].split())), at + 1
+        if at == n:
+            return k > 0 or mark == ">" and size > 0
+        if not size:
+            return False
+        if lines[at][:1] != "+":
+            if mark == "@":
+                return False
             continue
-        head, seq = line[1:].rstrip("\r\n"), []
-        line = next(lines, None)
-        while line is not None and line[:1] not in (">", "@", "+"):
-            seq.append("".join(line.split()))
-            line = next(lines, None)
-        whole = "".join(seq)
-        parts = head.split(None, 1)
-        if line is not None and line[:1] == "+":
-            got = 0
-            line = next(lines, None)
-            while line is not None and got < len(whole):
-                got += len(line.rstrip("\r\n"))
-                line = next(lines, None)
-            if got != len(whole):
-                raise ValueError(f"the quality of {parts[0] if parts else ''} is not as long as its sequence")
-        yield (parts[0] if parts else "", parts[1].rstrip() if len(parts) > 1 else "", whole)
+        at, got = at + 1, 0
+        while at < n and got < size:
+            got, at = got + len(lines[at].rstrip("\r\n")), at + 1
+        if got < size:
+            return k > 0
+        if got > size:
+            return False
+    return True
 
 
-class FastqSource(DataSource):
-    """format("seqloom_fastq"): FASTQ and FASTA files, one partition for each file; path is a list with commas."""
+#: Lines of a block that are looked at together.
+LINES = 1 << 14
 
-    @classmethod
-    def name(cls) -> str:
-        return "seqloom_fastq"
 
-    def schema(self) -> str:
-        return SEQUENCE
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines (file, block, value): the records of each block, and the lines before its first and of its last that isn't whole.
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return FastqReader(self.options)
+    part: 0 a record (head and seq), 1 the lines before the first record, 2 those of the last one, in `seq`.
+    """
+    now, held, open_ = None, [], False
+
+    def step(last: bool) -> tuple[list[tuple], list[str]]:
+        nonlocal open_
+        lines, out = held, []
+        if not open_:
+            at = 0 if now[1] == 0 else first_record(lines)
+            if at is None and not last:
+                return [], lines
+            if now[1]:
+                out.append((*now, 1, None, "\n".join(lines[:at])))
+            if at is None:  # a block inside a record
+                return out, []
+            lines, open_ = lines[at:], True
+        found, rest = _records(lines, False)
+        out += [(*now, 0, head, seq) for head, seq, _ in found]
+        if last:
+            out.append((*now, 2, None, "\n".join(lines[rest:])))
+        return out, lines[rest:]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["file", "block", "part", "head", "seq"])
+
+    for batch in batches:
+        out = []
+        for file, block, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (file, block) != now:
+                if now:
+                    out += step(True)[0]
+                now, held, open_ = (file, block), [], False
+            held.append(value)
+            if len(held) % LINES == 0:
+                more, held = step(False)
+                out += more
+        if out:
+            yield batch_of(out)
+    if now:
+        yield batch_of(step(True)[0])
+
+
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of the lines that lie on both sides of blocks' borders, from each file's parts in order."""
+    for batch in batches:
+        rows = []
+        for parts in batch.column(0).to_pylist():
+            lines: list[str] = []
+            for p in parts:  # what a block begins with belongs to what the one before it ends with
+                if p["part"] == 2:
+                    rows += _records(lines, True)[0]
+                    lines = []
+                lines += p["seq"].split("\n") if p["seq"] else []
+            rows += _records(lines, True)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["head", "seq"])
 
 
 def fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    spark.dataSource.register(FastqSource)
-    return spark.read.format("seqloom_fastq").option("path", ",".join(paths)).load()
+    """(name, comment, seq) of FASTQ and FASTA files, folders or patterns of them; qualities are checked and left out.
+
+    Large files are read in blocks by many tasks. Each finds its first record by itself; the few lines on both sides of a
+    border are put together afterwards, a row for each block. A record without a head, or a quality of another length, is an error.
+    """
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    found = lines.mapInArrow(_split, "file string, block long, part int, head string, seq string")
+    edges = storage.kept(found.filter("part > 0"), "fastq-borders")
+    around = edges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "part", "seq"))).alias("parts")).select("parts")
+    rows = found.filter("part = 0").select("head", "seq").unionByName(around.mapInArrow(_stitched, "head string, seq string"))
+    name = F.regexp_extract("head", r"^\s*(\S*)", 1)
+    return rows.select(name.alias("name"), F.rtrim(F.regexp_replace("head", r"^\s*\S*\s*", "")).alias("comment"), "seq")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -204,9 +302,18 @@ def adjacency(spark: SparkSession, path: str) -> DataFrame:
     return each.select("src", F.explode(pairs).alias("p")).select("src", "p.dst", "p.sim")
 
 
-def ordinals(spark: SparkSession, path: str) -> DataFrame:
-    """(centroid, member, sim) by ordinal, from 1."""
-    return spark.read.csv(path, sep="\t", schema="centroid long, member long, sim int")
+def ordinals(spark: SparkSession, path: str, either: bool = False) -> DataFrame:
+    """(centroid, member, sim) by ordinal, from 1.
+
+    either: a member 0 says that its line, and those after it in its file, count from 0; they are given from 1 as well.
+    """
+    if not either:
+        return spark.read.csv(path, sep="\t", schema="centroid long, member long, sim int")
+    f = F.split("value", "\t")
+    rows = _lines(spark, path).filter(F.trim("value") != "").select("file", "block", "line", F.get(f, F.lit(0)).cast("long").alias("centroid"), F.get(f, F.lit(1)).cast("long").alias("member"), F.get(f, F.lit(2)).cast("int").alias("sim"))
+    rows = _carried(rows, zero=F.when(F.col("member") == 0, True))
+    more = F.when(F.col("zero"), 1).otherwise(0)
+    return rows.select((F.col("centroid") + more).alias("centroid"), (F.col("member") + more).alias("member"), "sim")
 
 
 def clusters(spark: SparkSession, path: str, prefix: str = "UniRef100_") -> DataFrame:
@@ -234,5 +341,5 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def memo(spark: SparkSession, path: str) -> DataFrame:
-    """(id1, id2, tm1, tm2), a row for each unordered pair."""
-    return spark.read.csv(path, sep="\t", schema="id1 string, id2 string, tm1 double, tm2 double")
+    """(id1, id2, tm1, tm2), a row for each unordered pair, of what was added to a memo table so far."""
+    return spark.read.option("recursiveFileLookup", True).csv(path, sep="\t", schema="id1 string, id2 string, tm1 double, tm2 double")

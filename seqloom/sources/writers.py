@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,9 +67,33 @@ def centroid_fasta_lines(seqs: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("seq_id", F.concat(F.lit(">"), "name", F.lit("\t"), F.array_join("_all", "\t"), F.lit("\n"), "seq").alias("value"))
 
 
-def memo(new_rows: DataFrame, path: str) -> None:
-    """Adds rows (id1, id2, tm1, tm2) to a memo table."""
-    new_rows.select("id1", "id2", "tm1", "tm2").write.mode("append").csv(path, sep="\t")
+def memo(new_rows: DataFrame, path: str, run: str | None = None) -> bool:
+    """Adds rows (id1, id2, tm1, tm2) to a memo table, all or none of them; False if they are there already.
+
+    Rows are written aside, in a folder that readers leave out, and are part of the table from its one renaming on. A job that
+    failed or is run again adds nothing twice: what it adds has its name, `run`, or that of its rows, their number and digest.
+    """
+    spark = new_rows.sparkSession
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    new_rows.select("id1", "id2", "tm1", "tm2").write.csv(aside, sep="\t")
+    if run is None:
+        rows = spark.read.csv(aside, sep="\t", schema="id1 string, id2 string, tm1 double, tm2 double")
+        got = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("id1", "id2", "tm1", "tm2")), F.lit(0)).alias("x")).first()
+        run = f"{got['n']}-{got['x'] & (1 << 64) - 1:016x}"
+    return _committed(spark, aside, f"{path}/run={run}")
+
+
+def _committed(spark: SparkSession, aside: str, target: str) -> bool:
+    """Renames a folder to one that isn't there yet; if it is, the folder goes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    # of two jobs that rename at once the second moves its folder into the first one's, where readers leave it out
+    if not files.exists(place(target)) and files.rename(place(aside), place(target)):
+        return True
+    files.delete(place(aside), True)
+    if not files.exists(place(target)):
+        raise OSError(f"{aside} could not be renamed to {target}")
+    return False
 
 
 def metric_line(label: str, *names: str) -> Column:

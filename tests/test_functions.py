@@ -96,7 +96,7 @@ def test_distances_equal_the_table():
         assert path.count("X") + path.count("I") + path.count("D") == d
         assert path.count("=") + path.count("X") + path.count("I") == len(p)
         for mode in (D.INFIX, D.GLOBAL, D.PREFIX):
-            d, path = D.alignment(p, t, mode, kept=4)
+            d, path = D.alignment(p, t, mode, kept=1500)
             assert d == D.distance(p, t, mode)[0] == path.count("X") + path.count("I") + path.count("D")
             assert path.count("=") + path.count("X") + path.count("I") == len(p)
         d = D.distance(p, t)[0]

@@ -137,6 +137,81 @@ def test_whole_clusterings(spark):
     assert [r["cutoff"] for r in table] == [50, 90] and table[0]["clusters"] <= table[1]["clusters"]
 
 
+def test_sweep_equals_separate_runs(spark):
+    rows = family(random.Random(21), 5, 5, 20)
+    rows += [("dup@1", "", rows[0][2]), ("dup@2", "", rows[0][2]), ("short@1", "", rows[3][2][:9]), ("short@2", "", rows[3][2][:9])]
+    seqs = spark.createDataFrame(rows, "name string, comment string, seq string")
+    p = Params(seed_length=4, seed_high_len_perc=0, seed_mincnt=50, sign_length=4, idxentry_itmax=99)
+    whole, _ = plans.prepared(seqs, replace(p, sim_perc=55))
+    found = {}
+    for r in plans.swept(whole.drop("seqlen"), [90, 55, 70], p).collect():
+        found.setdefault(r["cutoff"], []).append((r["centroid"], r["member"], r["sim"]))
+    for c in (55, 70, 90):
+        want = plans.cluster(whole.drop("seqlen"), replace(p, sim_perc=c))
+        assert sorted(found[c]) == sorted(tuple(r) for r in want.collect())
+    assert len({tuple(sorted(x)) for x in found.values()}) > 1
+
+
+def test_pairs_of_other_letters(spark):
+    """Seeds in classes of letters, similarity in letters: a pair can share a word and no letter."""
+    seqs = spark.createDataFrame([(0, "DNNDNDDNDN"), (1, "EQQEQEEQEQ"), (2, "DNNDNDDNDE"), (3, "DEDEDEDEDE"), (4, "")], "seq_id long, seq string").withColumn("seqlen", F.length("seq"))
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if a != b], "src long, dst long")
+    share = lambda a, b: bool(set(a) & set(b))
+    texts = {r["seq_id"]: r["seq"] for r in seqs.collect()}
+    got = {tuple(r) for r in search.overlapping(pairs, seqs).collect()}
+    assert got == {(a, b) for a in range(5) for b in range(5) if a != b and share(texts[a], texts[b])}
+    p = Params(seqtype=1, sim_perc=50, sim_base=0, seed_length=4, seed_high_len_perc=0, seed_mincnt=99, alphasize_sign=0, alphasize_sim=0).derived()
+    rows = [("", "", texts[i]) for i in range(4)]
+    assert {(r["src"], r["dst"]): r["sim"] for r in search.exhaustive(seqs.filter("seq_id < 4"), p).collect()} == brute_edges(rows, p, lambda x, y: True)
+
+
+def test_lengths_that_meet(spark):
+    """Bands of lengths lose no pair and make none."""
+    lengths = [*range(1, 60), 79, 80, 99, 100, 101, 124, 125, 126, 1000, 1250, 1251, 99999, 125000]
+    rows = spark.createDataFrame([(7, i, n) for i, n in enumerate(lengths)], "bucket long, seq_id long, seqlen int")
+    for a, b in ((80, 80), (50, 90), (99, 30), (1, 1), (100, 100), (0, 90), (80, 0)):
+        got = {(r["src"], r["dst"]) for r in search.candidates(rows, rows, a, b).collect()}
+        assert got == {(i, j) for i, x in enumerate(lengths) for j, y in enumerate(lengths) if i != j and x * a <= 100 * y and y * b <= 100 * x}
+
+
+def test_options_of_the_exhaustive_search(spark):
+    import pytest
+
+    rows = family(random.Random(8), 2, 6, 10)
+    seqs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq_id long, name string, comment string, seq string").withColumn("seqlen", F.length("seq"))
+    p = Params(sim_perc=60, seed_length=4, seed_high_len_perc=0, seed_mincnt=50, alphasize_sim=0).derived()
+    every, capped = ({(r["src"], r["dst"]) for r in search.exhaustive(seqs, p, c).collect()} for c in (None, 1))
+    assert capped < every and {(i, i) for i in range(len(rows))} <= capped
+    with pytest.raises(ValueError, match="sign_cntmin"):
+        search.exhaustive(seqs, replace(p, sign_cntmin=3))
+    search.MANY, before = 0, search.MANY
+    try:
+        with pytest.warns(UserWarning, match="common words"):
+            search.exhaustive(seqs, p)
+    finally:
+        search.MANY = before
+
+
+def test_slices_walk_the_budget(spark):
+    """Hits and misses in any order, verified in slices, against one by one."""
+    rng, p = random.Random(17), Params(sim_perc=90, sim_base=0, alphasize_sim=0, attempt_ini=0.1, attempt_inc=0.05, attempt_max=0.2).derived()
+    rows, near, want = [], [], set()
+    for s in range(6):
+        base = "".join(rng.choices("ACDEFGHIKL", k=40))
+        rows.append((s, base))
+        hits = [rng.random() < 0.25 for _ in range(rng.choice((1, 5, 40, 90)))]
+        for r, hit in enumerate(hits, 1):
+            i = 100 * (s + 1) + r
+            rows.append((i, base if hit else "".join(rng.choices("MNPQRSTVWY", k=40))))
+            near.append((s, i, 40, 40, r, 4))
+        n = search.kept_of_trace(hits, 0.1, 0.05, 0.2)
+        want |= {(s, 100 * (s + 1) + r, 100) for r, hit in enumerate(hits[:n], 1) if hit}
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string")
+    near = spark.createDataFrame(near, "src long, dst long, src_len int, dst_len int, rank int, most int")
+    for size in (1, 7, 500):
+        assert {tuple(r) for r in search.until_misses(near, seqs, p, size).collect()} == want
+
+
 def test_derived_plan(spark):
     rows = family(random.Random(3), 4, 3, 3)
     _, p = plans.prepared(spark.createDataFrame(rows, "name string, comment string, seq string"))

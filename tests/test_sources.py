@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,10 +37,41 @@ def test_fastq(spark, tmp_path):
     with gzip.open(tmp_path / "x.fq.gz", "wt") as f:
         f.write(text)
     assert got(R.fastq(spark, str(tmp_path / "x.fq.gz"), put(tmp_path / "y.fa", FASTA))) == sorted([*want, ("a", "c1 d", "ACGTAC"), ("b", "", "GG")], key=str)
+    assert got(R.fastq(spark, put(tmp_path / "none.fq", ""))) == []
     with pytest.raises(ValueError, match="quality"):
         list(R.fastx_records(["@r\n", "ACGT\n", "+\n", "II\n"]))
 
 
+@pytest.mark.parametrize("size", [150, 2000])
+def test_fastq_in_blocks(spark, tmp_path, size, monkeypatch):
+    """Files are cut anywhere; qualities begin with any mark, and records are on one line or several, or longer than a block."""
+    rng, want, files = random.Random(size), [], []
+    for f in range(2):
+        text = ""
+        for i in range(25):
+            n = rng.choice((1, 7, 20, 61, 400))
+            seq, quality = "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("@>+I!J", k=n))
+            wrap = rng.choice((1000, 1000, 60))
+            fold = lambda x: "\n".join(x[a : a + wrap] for a in range(0, len(x), wrap))
+            text += f"@f{f}r{i} about {i}\n{fold(seq)}\n+\n{fold(quality)}\n"
+            want.append((f"f{f}r{i}", f"about {i}", seq))
+        files.append(put(tmp_path / f"{f}.fq", text))
+    fasta = "".join(f">a{i}\n{'MKV' * rng.randint(1, 30)}\nMK\n" for i in range(20))
+    files.append(put(tmp_path / "x.fa", fasta))
+    want += [(n, "", s) for n, s in ((x.split("\n")[0], "".join(x.split("\n")[1:])) for x in fasta[1:].split("\n>"))]
+    monkeypatch.setattr(R, "LINES", 64)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        found = got(R.fastq(spark, *files))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert found == sorted(want, key=str)
+
+
+
 def test_stockholm(spark, tmp_path):
     text = "# STOCKHOLM 1.0\n#=GF ID   FamA\n#=GF AC   PF1.2\n\ns1/1-4   AC.-GT\ns2/2-3  ..-.TT\n#=GC x  ..\n//\n# STOCKHOLM 1.0\n#=GF ID   FamB\nt1 GG\n//\n"
     assert got(R.stockholm(spark, put(tmp_path / "x.sto", text))) == [
@@ -115,7 +147,7 @@ def test_written_and_read_again(spark, tmp_path):
     lines = next((tmp_path / "n").glob("part*")).read_text().splitlines()
     assert sorted(lines) == ["a\ta\t100\tx y", "a\tb\t95\t", "c\tc\t100\t"]
     rows = spark.createDataFrame([("a", "b", 0.5, 0.25)], "id1 string, id2 string, tm1 double, tm2 double")
-    W.memo(rows, str(tmp_path / "memo"))
+    assert W.memo(rows, str(tmp_path / "memo")) and not W.memo(rows, str(tmp_path / "memo"))
     W.memo(rows.selectExpr("'c' AS id1", "'d' AS id2", "tm1", "tm2"), str(tmp_path / "memo"))
     assert got(R.memo(spark, str(tmp_path / "memo"))) == [("a", "b", 0.5, 0.25), ("c", "d", 0.5, 0.25)]
     assert spark.createDataFrame([(3, 0.5)], "a int, b double").select(W.metric_line("X: ", "a", "b")).first()[0] == "X: 3 & 0.5"
@@ -144,3 +176,24 @@ def test_a_list_in_several_files(spark, tmp_path):
     W.adjacency(edges, 30, str(tmp_path / "list"))
     want = sorted([(s + 1, d + 1, 50 + d if s != d else 100) for s in range(30) for d in range(s, 30, 7)], key=str)
     assert got(R.adjacency(spark, str(tmp_path / "list"))) == want
+
+
+def test_memo_is_added_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "memo")
+    rows = spark.createDataFrame([(f"a{i}", f"b{i}", i / 7, 1.0) for i in range(50)], "id1 string, id2 string, tm1 double, tm2 double")
+    with monkeypatch.context() as m:  # the job ends between writing and renaming
+        m.setattr(W, "_committed", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            W.memo(rows.limit(30), path)
+    (tmp_path / "memo" / "run=broken").mkdir()
+    assert R.memo(spark, path).count() == 0
+    assert W.memo(rows.limit(30), path) and R.memo(spark, path).count() == 30
+    assert not W.memo(rows.limit(30).repartition(5), path) and R.memo(spark, path).count() == 30
+    assert W.memo(rows.filter("id1 > 'a5'"), path, run="second") and not W.memo(rows, path, run="second")
+    assert W.memo(rows.limit(0), path) and R.memo(spark, path).count() == 30 + rows.filter("id1 > 'a5'").count()
+
+
+def test_ordinals_from_zero(spark, tmp_path):
+    path = put(tmp_path / "o.tsv", "3\t2\t90\n1\t1\t100\n0\t0\t80\n2\t1\t70\n")
+    assert got(R.ordinals(spark, path, either=True)) == [(1, 1, 100), (1, 1, 80), (3, 2, 70), (3, 2, 90)]
+    assert got(R.ordinals(spark, put(tmp_path / "one.tsv", "1\t2\t90\n"), either=True)) == [(1, 2, 90)]
