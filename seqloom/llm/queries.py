@@ -63,7 +63,8 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.stored(audio.encode(common.table(spark, sf_dir, "documents")))
+    """The encoded files, what is read back from them, and their resampled PCM as the column pcm: it is stored with the result."""
+    return audio.decode(audio.encode(common.table(spark, sf_dir, "documents")))
 
 
 @query
