@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,10 +110,19 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_B
             at = end
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the memory that it has freed goes back to the system: a worker lives on, and the next may hold as much."""
+#: Where a worker keeps tokenizers and the ids of words from task to task.
+WORDS_MODULE = "_seqloom_tokenizers"
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], words: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the memory that it has freed goes back to the system: a worker lives on, and the next may hold as much.
+
+    words: whether the ids of words that the worker holds are for this kind of task; else they go first.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not words:
+            sys.modules.pop(WORDS_MODULE, None)
         try:
             yield from run(batches)
         finally:

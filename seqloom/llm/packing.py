@@ -24,6 +24,7 @@ import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,7 @@ class Words:
 
 def words_of(path: str) -> Words:
     """This process's words."""
-    kept = sys.modules.setdefault("_seqloom_tokenizers", types.ModuleType("_seqloom_tokenizers")).__dict__
+    kept = sys.modules.setdefault(common.WORDS_MODULE, types.ModuleType(common.WORDS_MODULE)).__dict__
     if path not in kept:
         kept[path] = Words(path)
     return kept[path]
@@ -157,7 +158,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     part and nth: the partition and the piece's number, from 0, among its pieces of this length.
     """
 
-    @common.tidy
+    @partial(common.tidy, words=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in common.pieces_of(batches, 1):
@@ -241,7 +242,7 @@ def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = lines[:, 0] << 48 | lines[:, 1]
     shared = spark.sparkContext.broadcast((starts, lines))  # its size follows the capacity, not the input
 
-    @common.tidy
+    @partial(common.tidy, words=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, lines = shared.value
         for batch in batches:
