@@ -225,3 +225,93 @@ def cluster_part_names_greedy(spark, sf_dir):
     from seqloom.plans import cluster
 
     return cluster.greedy(part_names(spark, sf_dir), _PART_PARAMS)
+
+
+@query(f"WITH {_P} SELECT 'p' || p_partkey AS name, brand || ' x' AS comment, one AS seq FROM p")
+def fastq_blocks(spark, sf_dir):
+    """Parts as FASTQ records, whose qualities begin with marks of records, in a file that is read in blocks of 16 KB."""
+    p = _parts(spark, sf_dir)
+    quality = F.concat(F.when(F.col("p_partkey") % 3 == 0, "@").when(F.col("p_partkey") % 3 == 1, ">").otherwise("+"), F.repeat(F.lit("I"), F.length("one") - 1))
+    lines = p.select(F.concat(F.lit("@p"), F.col("p_partkey").cast("string"), F.lit(" "), "brand", F.lit(" x\n"), "one", F.lit("\n+\n"), quality))
+    path = _place(spark, "fastq")
+    lines.coalesce(1).write.text(path)  # one file, so that blocks have borders
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("16k", "0"), strict=True):
+            spark.conf.set(n, v)
+        return readers.fastq(spark, path)
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+_SWEEP = f"""WITH RECURSIVE {_EDGES}, cut AS (SELECT unnest([60, 75, 90]) AS c),
+ce AS (SELECT c, src, dst, sim FROM (SELECT c, m.src, m.dst, m.len, x.len AS own, d, ((m.len - d) * 100 // m.len)::INT AS sim FROM m JOIN n x ON x.id = m.src, cut)
+  WHERE len * c <= own * 100 AND d <= len - ceil((1 - 1e-9) * sqrt(25 + (len * (c / 100)) * (len * (c / 100)))) AND sim >= c UNION ALL SELECT c, id, id, 100 FROM n, cut),
+cov(c, src, dst, size) AS (SELECT DISTINCT c, src, dst, 0::BIGINT FROM ce UNION ALL
+  (WITH l AS (SELECT c, src, dst FROM cov WHERE size = 0), s AS (SELECT c, src, count(*) AS n FROM l GROUP BY c, src), pick AS (SELECT c, src, n FROM s QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, src) = 1),
+   gone AS (SELECT l.c, l.dst FROM l JOIN pick USING (c, src))
+   SELECT l.c, l.src, l.dst, 0::BIGINT FROM l LEFT JOIN gone ON gone.c = l.c AND gone.dst = l.dst WHERE gone.c IS NULL UNION ALL SELECT c, src, -1, n FROM pick))
+SELECT c AS cutoff, src AS centroid, dst AS member, sim FROM ce JOIN (SELECT c, src FROM cov WHERE size > 0) USING (c, src) QUALIFY row_number() OVER (PARTITION BY c, dst ORDER BY sim DESC, src) = 1"""
+
+
+@query(_SWEEP)
+def cutoff_sweep(spark, sf_dir):
+    """Part names clustered at three cutoffs, from one search."""
+    from seqloom.plans import cluster
+
+    return cluster.swept(part_names(spark, sf_dir), [60, 75, 90], _PART_PARAMS)
+
+
+@query(f"""WITH {_FAMILIES}, g AS (SELECT centroid, string_agg(name, chr(9) ORDER BY member) AS names FROM f GROUP BY centroid)
+SELECT m.member AS seq_id, '>' || m.name || chr(9) || g.names || chr(10) || m.comment AS value FROM g JOIN f m ON m.member = g.centroid""")
+def centroid_headers(spark, sf_dir):
+    f = _families(spark, sf_dir)
+    return writers.centroid_fasta_lines(f.select(F.col("member").alias("seq_id"), "name", F.col("comment").alias("seq")), f)
+
+
+_CODES = ["ALA", "arg", "ASN", "ASP", "CYS", "GLN", "GLU", "Gly", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", " VAL", "MSE", ""]
+
+
+@query(f"SELECT p_partkey, {_CODES}[p_partkey % 22 + 1] AS code, substr('ARNDCQEGHILKMFPSTWYVXX', (p_partkey % 22 + 1)::BIGINT, 1) AS letter FROM part")
+def residue_letters(spark, sf_dir):
+    code = F.element_at(F.array(*[F.lit(x) for x in _CODES]), (F.col("p_partkey") % 22 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), C.residue(code).alias("letter"))
+
+
+_KEPT = """k AS (SELECT c_custkey AS member, 'N' || c_nationkey AS term, CASE WHEN c_custkey % 2 = 0 THEN n_regionkey ELSE 100 + c_nationkey END AS centroid FROM customer JOIN nation ON n_nationkey = c_nationkey),
+t AS (SELECT DISTINCT centroid, term FROM k), z AS (SELECT centroid, count(*) AS n FROM t GROUP BY 1), a AS (SELECT centroid, anc, count(*) AS c FROM t JOIN cl USING (term) GROUP BY ALL)"""
+
+
+def _kept_clusters(spark, sf_dir):
+    """Customers with even keys as members of their region, others of their nation; (members, annotations, parents, closure, information)."""
+    notes, parents, closed, ic = _ontology(spark, sf_dir)
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    centroid = F.when(F.col("c_custkey") % 2 == 0, F.col("n_regionkey")).otherwise(100 + F.col("c_nationkey"))
+    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(centroid.alias("centroid"), F.col("c_custkey").alias("member")), notes, parents, closed, ic  # 25 nations
+
+
+@query(f"""WITH {_ONT}, {_KEPT}, top AS (SELECT a.centroid, max(ic.ic) AS ic FROM a JOIN z ON z.centroid = a.centroid AND n = c JOIN ic ON ic.term = anc WHERE ic.ic > 0 GROUP BY 1)
+SELECT k.centroid, member, round(own.ic, 9) AS member_ic, round(coalesce(top.ic, 0), 9) AS cluster_ic, round(own.ic - coalesce(top.ic, 0), 9) AS loss FROM k JOIN ic own ON own.term = k.term LEFT JOIN top ON top.centroid = k.centroid""")
+def information_loss(spark, sf_dir):
+    members, notes, _, closed, ic = _kept_clusters(spark, sf_dir)
+    found = ontology.information_loss(members, notes, closed, ic)
+    return found.select("centroid", "member", *[F.round(c, 9).alias(c) for c in ("member_ic", "cluster_ic", "loss")])
+
+
+@query(f"""WITH {_ONT}, {_KEPT}, top AS (SELECT a.centroid, anc FROM a JOIN z ON z.centroid = a.centroid AND n = c JOIN ic ON ic.term = anc WHERE ic.ic > 0 QUALIFY row_number() OVER (PARTITION BY a.centroid ORDER BY ic.ic DESC, anc) = 1)
+SELECT t.centroid, CASE WHEN any_value(n) = 1 THEN 1 WHEN bool_and(coalesce(t.term = top.anc OR par.parent = top.anc, false)) THEN 3 ELSE 4 END AS category FROM t JOIN z USING (centroid) LEFT JOIN top ON top.centroid = t.centroid LEFT JOIN par ON par.term = t.term GROUP BY 1""")
+def cluster_categories(spark, sf_dir):
+    members, notes, parents, closed, ic = _kept_clusters(spark, sf_dir)
+    return ontology.categories(members, notes, closed, parents, ic)
+
+
+@query(f"""WITH {_ONT}, {_KEPT}, x AS (SELECT term, count(*) AS up FROM cl GROUP BY 1), y AS (SELECT anc AS term, count(*) AS off FROM cl GROUP BY 1),
+sp AS (SELECT term, CASE WHEN up + off = 2 THEN 0 ELSE 1 - (off - 1) / (up + off - 2) END AS s FROM x JOIN y USING (term)),
+top AS (SELECT a.centroid, max(s) AS s FROM a JOIN z ON z.centroid = a.centroid AND n = c JOIN sp ON sp.term = anc WHERE s > 0 GROUP BY 1),
+own AS (SELECT cl.term, max(s) AS s FROM cl JOIN sp ON sp.term = cl.anc GROUP BY 1)
+SELECT count(*)::BIGINT AS n, round(avg(own.s - coalesce(top.s, 0)), 9) AS mean_loss FROM k JOIN own ON own.term = k.term LEFT JOIN top ON top.centroid = k.centroid""")
+def specificity_loss(spark, sf_dir):
+    members, notes, _, closed, _ = _kept_clusters(spark, sf_dir)
+    return ontology.specificity_loss(members, notes, closed).withColumn("mean_loss", F.round("mean_loss", 9))

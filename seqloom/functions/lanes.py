@@ -20,9 +20,9 @@ GLOBAL, PREFIX, INFIX = "global", "prefix", "infix"
 #: Rows of a block, steps between two looks at the bound (fewer than rows, so that a path crosses one border of blocks at most).
 ROWS, EPOCH = 64, 32
 #: The bound that is tried first; pairs beyond it are done again with a bound WIDER times as large, up to their own.
-NARROW, WIDER = 64, 4
+NARROW, WIDER = 64, 16
 #: Blocks of the pairs that are done together, and bytes of their letters' masks.
-TOGETHER, MASK_BYTES = 16_384, 32 << 20
+TOGETHER, MASK_BYTES = 131_072, 128 << 20
 FAR = np.int64(1) << 40
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
@@ -84,11 +84,7 @@ class Table:
         pair = np.repeat(np.arange(len(patterns)), self.m)
         row = np.arange(len(letters)) - (np.cumsum(self.m) - self.m)[pair]
         masks = np.zeros((int(known.max()) + 1) * self.size, np.uint64)
-        where = known[letters] * self.size + self.start[pair] + row // ROWS
-        order = np.argsort(where, kind="stable")
-        where, bits = where[order], (_ONE << (row % ROWS).astype(np.uint64))[order]
-        each = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-        masks[where[each]] = np.bitwise_or.reduceat(bits, each)
+        np.bitwise_or.at(masks, known[letters] * self.size + self.start[pair] + row // ROWS, _ONE << (row % ROWS).astype(np.uint64))
         self.masks = masks
         # columns before and behind a text have no letter, and the first leave the table as it is
         margin = self.blocks + EPOCH + 1
@@ -105,14 +101,16 @@ class Table:
         most, steps = self.most.copy(), int((self.n + self.blocks).max()) - 1
         if record:
             self.kept = np.zeros((2, -(-steps // EPOCH) * EPOCH, self.size), np.uint64)
-        live = np.ones(self.size, bool)
+        used = _ALL >> (ROWS - self.rows).astype(np.uint64)
+        live, cells = np.ones(self.size, bool), np.arange(self.size)
         given = np.zeros((2, self.size), np.uint64)  # what a block gave out last: one more, one less than the column before
         for t in range(0, steps, EPOCH):
-            column = t - self.block + 1
-            near = (self.score - np.bitwise_count(self.up & (_ALL >> (ROWS - self.rows).astype(np.uint64))) <= most[self.lane]) & live
-            near[1:] |= near[:-1] & (self.block[1:] > 0)
-            now = near & (column + EPOCH > self.first_column) & (column <= self.last_column)
-            cells = np.flatnonzero(now)
+            # blocks with a cell within the bound, and those below
+            near = cells[self.score[cells] - np.bitwise_count(self.up[cells] & used[cells]) <= most[self.lane[cells]]]
+            below = near[self.block[near] + 1 < self.blocks[self.lane[near]]] + 1
+            near = np.unique(np.concatenate([near, below]))
+            column = t - self.block[near] + 1
+            took, cells = cells, near[(column + EPOCH > self.first_column[near]) & (column <= self.last_column[near])]
             if not len(cells):
                 break
             new = cells[~live[cells] & (self.block[cells] > 0)]
@@ -120,11 +118,12 @@ class Table:
             self.score[new] = self.score[new - 1] - given[0, new - 1].astype(np.int64) + given[1, new - 1].astype(np.int64) + self.rows[new]
             ends = np.flatnonzero(self.end_cell[self.lane[cells]] == cells)
             came = self._epoch(t, cells, given, live, ends, record)
-            live = now
+            live[took] = False
+            live[cells] = True
             if not len(ends):
                 continue
             lane = self.lane[cells[ends]]
-            at = column[cells[ends]] + np.arange(EPOCH)[:, None]
+            at = t - self.block[cells[ends]] + 1 + np.arange(EPOCH)[:, None]
             ok = at == self.n[lane] if self.mode == GLOBAL else (at >= 1) & (at <= self.n[lane])
             came = np.where(ok, came, FAR)
             pick = EPOCH - 1 - came[::-1].argmin(axis=0) if self.last else came.argmin(axis=0)

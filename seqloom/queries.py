@@ -209,9 +209,7 @@ SELECT src, dst, len(list_intersect(a.sketch, b.sketch))::INT AS common FROM x J
 def sketch_overlap(spark, sf_dir):
     d = documents(spark, sf_dir)
     pairs = words.probes(d, 20).withColumnRenamed("seq_id", "src").join(words.index(d, 20, 45).withColumnRenamed("seq_id", "dst"), "bucket").filter("src < dst").select("src", "dst").distinct()
-    sk = storage.kept(words.sketches(d, 8), "sketches")
-    a, b = sk.select(F.col("seq_id").alias("src"), F.col("sketch").alias("_a")), sk.select(F.col("seq_id").alias("dst"), F.col("sketch").alias("_b"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", F.size(F.array_intersect("_a", "_b")).alias("common"))
+    return search.sketch_overlap(pairs, words.sketches(d, 8))
 
 
 _PAIRS = "p AS (SELECT n_name AS pattern, name AS text FROM nation, (SELECT DISTINCT p_name AS name FROM part))"

@@ -186,8 +186,9 @@ def fastq(spark: SparkSession, *paths: str) -> DataFrame:
     border are put together afterwards, a row for each block. A record without a head, or a quality of another length, is an error.
     """
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    found = lines.mapInArrow(_split, "file string, block long, part int, head string, seq string")
-    edges = storage.kept(found.filter("part > 0"), "fastq-borders")
+    # written once: blocks that are read again could be cut elsewhere
+    found = storage.kept(lines.mapInArrow(_split, "file string, block long, part int, head string, seq string"), "fastq")
+    edges = found.filter("part > 0")
     around = edges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "part", "seq"))).alias("parts")).select("parts")
     rows = found.filter("part = 0").select("head", "seq").unionByName(around.mapInArrow(_stitched, "head string, seq string"))
     name = F.regexp_extract("head", r"^\s*(\S*)", 1)
