@@ -10,9 +10,11 @@ of any kind has, or that is some entity's true value, would confuse them, so it
 until none is left. Every TRIES draws an entity's room grows, by a digit, a letter, a syllable, or
 a wider range of addresses, at least tenfold, so that draws succeed in the end.
 
-Names are found behind a title, of up to four parts. The parts of a document's titled names are
+Names are found behind up to three titles, of up to four words, in scripts with or without case; a hyphen or an apostrophe
+parts a name and stays, and so does a single letter. The parts of a document's titled names are
 replaced in all of that document, with or without a title; names that have a title nowhere in
-their document are not found.
+their document are not found. A part that is an ordinary word as well (by a cased vocabulary, in which it is frequent
+in lower case) stays at the beginning of a sentence, where its capital says nothing.
 
 What is joined and checked is the table of distinct entities, not of mentions. Texts are
 searched once; documents with mentions are written with them, the others are only read again.
@@ -24,15 +26,26 @@ columns are carried along, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-MALE, FEMALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа")
-TITLES = (*FEMALE, *MALE, "Dr", "Prof")
-_TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(TITLES, key=lambda t: (-len(t), t))) + r")\.?[  ]"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "السيد", "श्री", "מר")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "السيدة", "श्रीमती", "גברת")
+TITLES = (*FEMALE, *MALE, "Dr", "Prof", "Doctor", "Doktor", "Professor")
+
+
+def _one_of(titles: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(sorted(titles, key=lambda t: (-len(t), t))) + ")\\.?[ \u00a0]"
+
+
+_TITLE = r"(?<![\p{L}\p{N}])(?:" + _one_of(TITLES) + "){1,3}"
+#: The titles that a mention of a name begins with.
+_HEAD = "^(?:" + _one_of(TITLES) + ")+"
+_NAME = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|\p{IsHan}{2,4}|[\p{IsKatakana}ー]{2,}|\p{IsHangul}{2,4}|\p{IsArabic}{2,}|\p{IsHebrew}{2,}|[\p{IsDevanagari}]{2,})"
+#: What parts a name.
+_BORDER = "[ '’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = (
     r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
@@ -57,7 +70,15 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo za ze".split(),
     "cyrillic": "ба бе бо ва ве во га да де до ка ке ко ла ле ло ма ме мо на не но па ра ре ро са се со та те то".split(),
     "greek": "βα βε βο γα δα δε κα κε κο λα λε λο μα με μο να νε νο πα ρα ρε ρο σα σε σο τα τε το".split(),
+    "han": "安 白 成 达 方 国 海 和 华 家 建 江 杰 金 景 君 立 林 明 宁 平 启 清 荣 山 世 书 泰 文 武 晓 新 兴 修 雅 永 宇 元 泽 志".split(),
+    "katakana": "ア イ ウ エ オ カ キ ク ケ コ サ シ ス セ ソ タ チ ツ テ ト ナ ニ ネ ノ ハ ヒ マ ミ モ ヤ ユ ヨ ラ リ ル レ ロ ワ".split(),
+    "hangul": "가 강 경 규 기 나 다 대 도 동 라 명 미 민 보 상 서 선 성 세 소 수 승 시 아 연 영 우 원 유 은 인 재 정 주 지 진 태 하 현".split(),
+    "arabic": "با بو تا جا حا دا را زا سا شا صا طا عا فا قا كا لا ما نا ها وا يا بي تي جي دي ري سي في كي لي مي ني".split(),
+    "hebrew": "בא בו גא גי דא דו הא ור זא חא טל יא כא לא לי מא מי נא ני סא עא פא צא קא רא רי שא תא".split(),
+    "devanagari": "का की गा चा जा टा ता दा ना नी पा बा भा मा मी या रा री ला ली वा वी शा सा सी हा".split(),
 }
+#: The scripts but latin, and how a letter of theirs is told.
+SCRIPTS = {"cyrillic": "Cyrillic", "greek": "Greek", "han": "Han", "katakana": "Katakana", "hangul": "Hangul", "arabic": "Arabic", "hebrew": "Hebrew", "devanagari": "Devanagari"}
 ENDINGS = {
     ("latin", "f"): "ria", ("latin", "m"): "rton", ("latin", "n"): "lin", ("cyrillic", "f"): "рина", ("cyrillic", "m"): "слав", ("cyrillic", "n"): "нко",
     ("greek", "f"): "ρία", ("greek", "m"): "ρος", ("greek", "n"): "νης",
@@ -83,17 +104,22 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _named(value: Column) -> Column:
+    """The parts of a mention of a name that are replaced."""
+    return F.filter(F.split(F.regexp_replace(value, _HEAD, ""), _BORDER), lambda x: F.length(x) > 1)
+
+
 def _parts(value: Column) -> Column:
     """What of a mention is an entity, as (kind, canon, gender) structs; a name has one for each part."""
     kind = kind_of(value)
-    title = F.regexp_extract(value, r"^(\p{L}+)", 1)
-    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
-    names = F.split(F.regexp_replace(value, r"^\p{L}+\.?[  ]", ""), " ")
+    title = F.regexp_extract(value, _HEAD, 0)
+    gender = F.when(title.rlike("(?:^|[ \u00a0])" + _one_of(FEMALE)), "f").when(title.rlike("(?:^|[ \u00a0])" + _one_of(MALE)), "m")
+    several = F.regexp_replace(value, _HEAD, "").contains(" ")
     # the gender is that of the title, and for given names alone; a surname has none
-    part = lambda x, i: F.struct(F.lit("name").alias("kind"), F.lower(x).alias("canon"), F.when((F.size(names) > 1) & (i == 0), gender).alias("gender"))
+    part = lambda x, i: F.struct(F.lit("name").alias("kind"), F.lower(x).alias("canon"), F.when(several & (i == 0), gender).alias("gender"))
     one = lambda canon: F.array(F.struct(kind.alias("kind"), canon.alias("canon"), F.lit(None).cast("string").alias("gender")))
     return (
-        F.when(kind == "person", F.transform(names, part))
+        F.when(kind == "person", F.transform(_named(value), part))
         .when(kind == "email", one(F.lower(value)))
         .when(kind == "iban", one(F.regexp_replace(value, " ", "")))
         .when(kind == "ip", one(value))
@@ -160,13 +186,13 @@ def surrogate(key: str) -> tuple[Column, Column]:
     valid = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
     right = _mod97(F.concat(F.expr("substr(canon, 5)"), F.substring(canon, 1, 4))) == 1
     iban = F.concat(country, F.when(right, valid).otherwise(F.expr("substr(shaped, 3, 2)")), body)
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    script = F.coalesce(*[F.when(canon.rlike(rf"\p{{Is{x}}}"), s) for s, x in SCRIPTS.items()], F.lit("latin"))
     name = None
     for s, syllables in SYLLABLES.items():
         known = F.array(*[F.lit(x) for x in syllables])
         drawn = F.transform(F.sequence(F.lit(0), F.lit(1) + F.col("attempt") % 3 + level), lambda i: F.get(known, (_draw(key, "kind", "canon", "attempt", i.cast("string")) % len(syllables)).cast("int")))  # noqa: B023
         ending = F.element_at(F.create_map(*[F.lit(x) for (t, g), e in ENDINGS.items() if t == s for x in (g, e)]), F.col("gender"))
-        made = F.concat(F.array_join(drawn, ""), ending)
+        made = F.concat(F.array_join(drawn, ""), F.coalesce(ending, F.lit("")))
         name = F.when(script == s, made) if name is None else name.when(script == s, made)
     made = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "name", name).otherwise(number)
     return made, shaped
@@ -198,9 +224,15 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
 def _filled() -> Column:
     """A mention (value) in its own format with the surrogates of its parts (made, in order)."""
     kind, one = kind_of(F.col("value")), F.get("made", F.lit(0))
-    title = F.regexp_extract("value", r"^\p{L}+\.?[  ]", 0)
-    own = F.split(F.regexp_replace("value", r"^\p{L}+\.?[  ]", ""), " ")
-    cased = F.transform("made", lambda x, i: F.when(F.get(own, i) == F.upper(F.get(own, i)), F.upper(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))))
+    title = F.regexp_extract("value", _HEAD, 0)
+    tokens = F.regexp_extract_all(F.regexp_replace("value", _HEAD, ""), F.lit("[^ '’-]+|" + _BORDER), F.lit(0))
+    own = lambda x: (F.length(x) > 1) & ~x.rlike(f"^{_BORDER}$")
+    case = lambda x, made: F.when((x == F.upper(x)) & (x != F.lower(x)), F.upper(made)).otherwise(F.concat(F.upper(F.substring(made, 1, 1)), made.substr(F.lit(2), F.length(made))))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(F.concat(acc["text"], F.when(own(x), case(x, F.get("made", acc["n"]))).otherwise(x)).alias("text"), (acc["n"] + own(x).cast("int")).alias("n"))
+
+    named = F.concat(title, F.aggregate(tokens, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), step)["text"])
     marks = F.split("value", "")
     nth = lambda i, pattern: F.length(F.regexp_replace(F.array_join(F.slice(marks, 1, i + 1), ""), pattern, ""))
     rest = one.substr(nth(F.size(marks) - 1, "[^0-9]") + 1, F.length(one))
@@ -208,11 +240,28 @@ def _filled() -> Column:
     digits = F.concat(digits, rest)
     iban = F.array_join(F.transform(marks, lambda c, i: F.when(c == " ", c).otherwise(one.substr(nth(i, " "), F.lit(1)))), "")
     email = F.when((F.col("value") == F.upper("value")) & (F.col("value") != F.lower("value")), F.upper(one)).otherwise(one)
-    return F.when(kind == "person", F.concat(title, F.array_join(cased, " "))).when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip", one).otherwise(digits)
+    return F.when(kind == "person", named).when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip", one).otherwise(digits)
+
+
+#: A vocabulary with words in lower case and capitalised, the most frequent first: lines of a word in base64 and its rank.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: How many times the rank of a word in lower case can be that of the capitalised one, for an ordinary word.
+COMMON = 4
+
+
+def ordinary(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
+    """(word) of words that are not much less frequent in lower case than capitalised; at most the vocabulary's size."""
+    import public_tokenizers
+
+    field = lambda n: F.split_part("value", F.lit(" "), F.lit(n))
+    rows = spark.read.text(f"file://{public_tokenizers.path(path)}").select(F.unbase64(field(1)).cast("string").alias("w"), field(2).cast("int").alias("r"))
+    rows = rows.filter(F.col("w").rlike(r"^ \p{L}\p{Ll}+$")).select(F.lower(F.trim("w")).alias("word"), (F.trim("w") == F.lower(F.trim("w"))).alias("low"), "r")
+    best = rows.groupBy("word").agg(F.min(F.when(F.col("low"), F.col("r"))).alias("a"), F.min(F.when(~F.col("low"), F.col("r"))).alias("b"))
+    return best.filter(F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("a") < F.col("b") * COMMON))).select("word")
 
 
 def replacements(held: DataFrame, key: str) -> DataFrame:
-    """(__sl_id, __sl_filled): for each row of held (__sl_id, __sl_m) a map from mention to replacement."""
+    """(__sl_id, __sl_filled, __sl_plain): for each row of held (__sl_id, __sl_m) a map from mention to replacement, and the parts of names that are ordinary words."""
     each = held.select("__sl_id", F.explode(F.array_distinct("__sl_m")).alias("value"))
     values = each.select("value").distinct().select("value", F.posexplode(_parts(F.col("value"))).alias("nth", "part"))
     values = common.staged(values.select("value", "nth", "part.*"), "entities")
@@ -224,18 +273,21 @@ def replacements(held: DataFrame, key: str) -> DataFrame:
     domains = domains.select(F.col("canon").alias("domain"), F.col("surrogate").alias("base"))
     given = assigned(entities.join(domains, "domain", "left").select("kind", "canon", "gender", "base"), key)
     given = values.select("value", "nth", "kind", "canon").join(given, ["kind", "canon"])
-    given = given.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
-    given = common.staged(given.select("value", _filled().alias("filled")), "replacements")
-    return each.join(given, "value").groupBy("__sl_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "filled"))).alias("__sl_filled"))
+    plain = F.broadcast(ordinary(held.sparkSession).select(F.col("word").alias("canon"), F.lit(True).alias("plain")))  # a vocabulary, not the input
+    given = given.join(plain, "canon", "left")
+    given = given.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"]).alias("made"), F.collect_set(F.when(F.col("plain") & (F.col("kind") == "name"), F.col("canon"))).alias("plain"))
+    given = common.staged(given.select("value", _filled().alias("filled"), "plain"), "replacements")
+    return each.join(given, "value").groupBy("__sl_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "filled"))).alias("__sl_filled"), F.flatten(F.collect_list("plain")).alias("__sl_plain"))
 
 
-#: A text is cut into words, as names are written, and what is between them.
-_TOKENS = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++){0,8}|[^\p{L}\p{N}]++"
+#: A text is cut into words and what is between them, and a sentence begins behind some marks.
+_TOKENS = r"[\p{L}\p{M}\p{N}]++|[^\p{L}\p{M}\p{N}]++"
+_BEGINS = r"(?:[.!?…\n][\"”»)]?\s*[\"“„«(]?|[\"“„«])$"
 
 
 def _bare_names(filled: Column) -> Column:
     """A map from each part, in lower case, of the titled names of a document to its surrogate, in lower case."""
-    names = lambda x: F.split(F.lower(F.regexp_replace(x, r"^\p{L}+\.?[  ]", "")), " ")
+    names = lambda x: F.transform(_named(x), F.lower)
     people = F.filter(F.map_entries(filled), lambda e: kind_of(e["key"]) == "person")
     pairs = lambda e: F.zip_with(names(e["key"]), names(e["value"]), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     parts = F.array_sort(F.array_distinct(F.flatten(F.transform(people, pairs))))
@@ -244,18 +296,20 @@ def _bare_names(filled: Column) -> Column:
     return F.map_from_entries(parts)
 
 
-def _bare(gap: Column, names: Column) -> Column:
-    """The tokens of a gap between mentions as (old, new) structs, new where names have it."""
+def _bare(gap: Column, nth: Column, names: Column, plain: Column) -> Column:
+    """The tokens of the nth gap between mentions as (old, new) structs, new where names have it and it can be one here."""
 
-    def one(token: Column) -> Column:
-        stem = F.when(F.element_at(names, F.lower(token)).isNull(), F.regexp_replace(token, "['’][sS]$", "")).otherwise(token)
-        made = F.element_at(names, F.lower(stem))
+    def one(token: Column, before: Column) -> Column:
+        made = F.element_at(names, F.lower(token))
         first = F.concat(F.upper(F.substring(made, 1, 1)), made.substr(F.lit(2), F.length(made)))
-        cased = F.when((stem == F.upper(stem)) & (F.length(stem) > 1), F.upper(made)).otherwise(first)
-        new = F.when(token.rlike(r"^\p{Lu}"), F.concat(cased, token.substr(F.length(stem) + 1, F.length(token))))
+        cased = F.when((token == F.upper(token)) & (token != F.lower(token)), F.upper(made)).otherwise(first)
+        begins = ((before == "") & (nth == 0)) | before.rlike(_BEGINS)
+        new = F.when(token.rlike(r"^[\p{Lu}\p{Lo}]") & (F.length(token) > 1) & ~(begins & F.array_contains(plain, F.lower(token))), cased)
         return F.struct(token.alias("old"), new.alias("new"))
 
-    return F.transform(F.regexp_extract_all(gap, F.lit(_TOKENS), F.lit(0)), one)
+    tokens = F.regexp_extract_all(gap, F.lit(_TOKENS), F.lit(0))
+    # the last place has what stands before nothing: it gives nulls
+    return F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), one)
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
@@ -263,10 +317,10 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
     held = docs.filter(has).withColumns({"__sl_id": F.monotonically_increasing_id(), "__sl_m": mentions(F.col("text")), "__sl_gaps": F.split("text", PATTERN)})
     held = common.staged(held, "mentions")
-    clean = common.without(docs, held.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()).withColumn("n_replaced", F.lit(0).cast("long"))
+    clean = docs.filter(~has).withColumn("n_replaced", F.lit(0).cast("long"))
     held = held.join(replacements(held, key), "__sl_id")
     held = held.withColumn("__sl_names", _bare_names(F.col("__sl_filled")))
-    cut = F.transform("__sl_gaps", lambda g: _bare(g, F.col("__sl_names")))
+    cut = F.transform("__sl_gaps", lambda g, i: _bare(g, i, F.col("__sl_names"), F.col("__sl_plain")))
     held = held.withColumn("__sl_cut", F.when(F.size("__sl_names") > 0, cut))
     gaps = F.transform("__sl_cut", lambda c: F.array_join(F.transform(c, lambda t: F.coalesce(t["new"], t["old"])), ""))
     held = held.withColumn("__sl_gaps", F.coalesce(gaps, F.col("__sl_gaps")))
