@@ -81,6 +81,9 @@ class Words:
         """
         known, plain, ended, other = self.known, {}, [], []
         for w in words:
+            if w.isalpha() and w.isascii():
+                plain[w] = None
+                continue
             core = w.rstrip(MARKS)
             if not self.lettered(core):
                 other.append(w)
@@ -146,7 +149,9 @@ def token_ids(texts: pa.Array, path: str = TOKENIZER) -> Iterator[np.ndarray]:
     counts = sizes[at]
     ends = np.concatenate(([0], np.cumsum(counts)))
     first = (np.cumsum(sizes) - sizes)[at]
-    ids = flat[np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])]
+    where = np.repeat(first - ends[:-1], counts)
+    where += np.arange(ends[-1])
+    ids = flat.take(where)
     stops = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     for a, z in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
         yield ids[a:z]
