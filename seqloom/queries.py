@@ -437,12 +437,14 @@ def _memo(spark, sf_dir):
 
 @query(f"WITH {_MEMO}, p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS id1, greatest(l_partkey, l_suppkey) AS id2 FROM lineitem) SELECT id1, id2 FROM p WHERE NOT EXISTS (SELECT 1 FROM memo WHERE memo.id1 = p.id1 AND memo.id2 = p.id2)")
 def memo_antijoin(spark, sf_dir):
+    """Pairs of lineitem that the memo doesn't know; its larger quantities stand for what is known already."""
     return metrics.new_pairs(table(spark, sf_dir, "lineitem"), _memo(spark, sf_dir), "l_partkey", "l_suppkey")
 
 
 @query(f"""WITH {_MEMO}, b AS (SELECT id1 AS centroid, id2 AS member, tm2 AS score FROM memo UNION ALL SELECT id2, id1, tm1 FROM memo WHERE id1 <> id2), c AS (SELECT DISTINCT l_partkey AS centroid, l_suppkey AS member FROM lineitem)
 SELECT centroid, member, score FROM c JOIN b USING (centroid, member)""")
 def scored_members(spark, sf_dir):
+    """All pairs of lineitem with what the memo, its larger quantities, knows of them."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("centroid"), F.col("l_suppkey").alias("member")).distinct()
     return metrics.scored_members(pairs, _memo(spark, sf_dir))
 
