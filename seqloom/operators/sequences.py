@@ -78,10 +78,11 @@ def half_sample(df: DataFrame, key: Column, seed: int = 0) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2)) == 0)
 
 
-def neighbours(seqs: DataFrame, n: int, wanted: int = 10_000) -> DataFrame:
-    """(seq_id, other_id): every (n / wanted)-th sequence with those 1, 2, 4, ... places from it."""
+def neighbours(seqs: DataFrame, n: int, wanted: int = 10_000, powers: int | None = None) -> DataFrame:
+    """(seq_id, other_id): every (n / wanted)-th sequence with those 1, 2, 4, ... places from it; powers: how many of these distances at most."""
     step, most = max(1, n // wanted), max(1, n)
-    offsets = [s * (1 << i) for i in range(most.bit_length()) for s in (-1, 1) if 1 << i < most]
+    reach = most.bit_length() if powers is None else min(powers, most.bit_length())
+    offsets = [s * (1 << i) for i in range(reach) for s in (-1, 1) if 1 << i < most]
     base = seqs.filter(F.col("seq_id") % step == 0).select("seq_id", F.explode(F.array(*[F.lit(x).cast("long") for x in offsets or [0]])).alias("_o"))
     return base.select("seq_id", (F.col("seq_id") + F.col("_o")).alias("other_id")).filter((F.col("other_id") >= 0) & (F.col("other_id") < n) & (F.col("other_id") != F.col("seq_id")))
 
