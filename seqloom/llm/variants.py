@@ -97,7 +97,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keyed = _keyed(words)
     one = keyed.select(F.explode(F.concat("same", "shorter")).alias("k"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     other = keyed.select(F.explode(F.concat("same", "longer")).alias("k"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = one.join(other, "k").filter((F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    # a key for each letter: by the size of the words that they are made of Spark would take the keys for few, and broadcast them
+    met = one.join(other.hint("merge"), "k").filter((F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
     # of equal letters in a row one or another can be the added one, and both halves agree: several keys, one pair
     return met.filter(_one_edit(F.col("a"), F.col("b"))).select("a", "a_n", "b", "b_n").distinct()
 
@@ -106,7 +107,7 @@ def formed(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     """words(word, n) with n_near, form and form_n."""
     both = near_pairs(words).select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("o"), F.col("b_n").alias("o_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("o"), F.col("a_n").alias("o_n")))).alias("p")).select("p.*")
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("o_n")).alias("m"), "o")).alias("best"))
-    rows = words.join(near, "word", "left")
+    rows = words.join(near.hint("merge"), "word", "left")
     high = -F.col("best.m") >= F.col("n") * factor
     return rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(high, F.col("best.o")).alias("form"), F.when(high, -F.col("best.m")).alias("form_n"))
 
@@ -118,8 +119,8 @@ def rooted(found: DataFrame, factor: int = FACTOR) -> DataFrame:
     steps = math.floor(math.log(max(1, (top["n"] or 1) / max(1, top["m"] or 1)), factor) + 1e-9) + 1  # at most so many forms in a row
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         higher = up.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        up = common.staged(up.join(higher, "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "variants-up")
-    return found.join(up, "word", "left").withColumn("root", F.coalesce("root", "word"))
+        up = common.staged(up.join(higher.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "variants-up")
+    return found.join(up.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def grouped(words: DataFrame, factor: int = FACTOR) -> DataFrame:

@@ -90,3 +90,15 @@ def test_empty(docs):
 
 def test_query_equals_sql(spark):
     same(spark, QUERIES["op11_variants"], ORACLE_SQL["op11_variants"], D)
+
+
+def test_keys_of_many_words_are_not_broadcast(spark, tmp_path):
+    # a small file of words makes many keys, each some hundred bytes in a driver that broadcasts them
+    spark.range(20_000).selectExpr("concat('wort', lower(hex(id * 7919 % 1048573)), 'ende') AS word", "id % 9 + 5 AS n").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = variants.formed(words)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 2
