@@ -1,11 +1,16 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least `least` percent.
 
-Candidates share one of BANDS bands of ROWS min-hashes each; a pair at a similarity of 0.8 shares
-none with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8. The members of a band meet in a task with
-their whole shingle sets, and all pairs of them are compared there by a product of matrices; what
-leaves the task is a spanning forest of the links, never the pairs. A band with more than
-`cell` members is dealt out by pairs of blocks of them, and bands that have the same members are
-compared once. No group is dropped, capped or sampled.
+Candidates are found by two joins. The first is simhash's: 64-bit SimHashes of the shingle sets, and
+its binary-trie self-join at a distance of at most `bits`, whose components are groups. Texts at a
+similarity of 0.8 differ in about ten bits, and a budget that wide leaves blocks of four bits to
+join by; so the second join finds what is farther apart: groups share one of BANDS bands of ROWS
+min-hashes each, and a pair at 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
+
+The members of a group meet in a task with their whole shingle sets, and all pairs of them are
+compared there by a product of matrices; what leaves the task is a spanning forest of the links,
+never the pairs. A group with more than `cell` members is dealt out by pairs of blocks of them.
+Bands that have the same members are compared once, and those whose members the first join's links
+have all joined are not compared again. No group is dropped, capped or sampled.
 
 A text of fewer than `words` words is one shingle; texts without words have the empty set and are
 copies of each other. A null text counts as empty. Repeated rows and null doc_ids are treated as in
@@ -25,6 +30,8 @@ from . import common, simhash
 
 #: Words of a shingle, and the similarity in percent from which on texts are near copies.
 WORDS, LEAST = 5, 80
+#: Bits in which SimHashes may differ in the trie join.
+BITS = 5
 BANDS, ROWS = 32, 4
 #: Members of a band that one task compares, and shingles that are columns of a product at once.
 CELL, COLUMNS = 512, 4096
@@ -63,23 +70,24 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, fp, bands) of every row; fp is a digest of the shingle set."""
+    """(doc_id, text_hash, fp, sim, bands) of every row; fp is a digest of the shingle set, sim its SimHash."""
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in common.sliced(batches):
-            fps, keys = [], []
+            fps, sims, keys = [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_py(), words)
                 fps.append(xxhash.xxh64_intdigest(found.tobytes()))
+                sims.append(simhash.folded(found.astype(">u8").view(np.uint8).reshape(-1, 8)))
                 keys.append(bands(found).view(np.int64))
-            fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "bands"])
+            fp, sim = (pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (fps, sims))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, sim, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "sim", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long, sim long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -168,23 +176,48 @@ def _compared(rows: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least: int = LEAST, cell: int = CELL) -> DataFrame:
-    """Edges (u > v) between different shingle sets that join all near copies found."""
+def trie_groups(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(band, fp, n): the shingle sets of each component of the SimHashes' trie join, of which there are n > 1."""
+    nodes = prints.select("sim", "fp").distinct()
+    edges = simhash.links(nodes.select(F.col("sim").alias("fp")).distinct(), bits)
+    roots = simhash.components(edges).withColumnRenamed("u", "sim")
+    placed = common.staged(nodes.join(roots, "sim", "left").select(F.coalesce("root", "sim").alias("band"), "fp"), "copies-placed")
+    return placed.join(placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band")
+
+
+def band_groups(prints: DataFrame) -> DataFrame:
+    """(band, fp, n): the n > 1 shingle sets that share a band."""
     rows = prints.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("band"))
     mark = F.bit_xor(F.xxhash64("fp", F.lit(1)))
     groups = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), mark.alias("y")).filter("n > 1")
     # of bands with the same members, as their number and 128 bits of them tell, one is compared
     groups = groups.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
-    members = common.staged(rows.join(groups, "band"), "copies-bands")
-    ones = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(members.select("fp").distinct(), "fp", "left_semi")
+    return rows.join(groups, "band")
+
+
+def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members of those bands that edges (u, v) don't join yet."""
+    roots = simhash.components(edges).withColumnRenamed("u", "fp")
+    root = F.coalesce("root", "fp")
+    bands = members.join(roots, "fp", "left").groupBy("band").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    return members.join(bands.filter("low != high").select("band"), "band", "left_semi")
+
+
+def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least: int = LEAST, cell: int = CELL, bits: int = BITS) -> DataFrame:
+    """Edges (u > v) between different shingle sets that join all near copies found."""
+    near, members = common.staged(trie_groups(prints, bits), "copies-trie"), common.staged(band_groups(prints), "copies-bands")
+    wanted = near.select("fp").union(members.select("fp")).distinct()
+    ones = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(wanted, "fp", "left_semi")
     sets = _sets(docs, ones.select("one.doc_id", "one.text_hash", "fp"), words)
-    return common.staged(_compared(_cells(members, cell).join(sets, "fp"), least).distinct(), "copies-links")
+    compared = lambda rows: common.staged(_compared(_cells(rows, cell).join(sets, "fp"), least).distinct(), "copies-links")
+    edges = compared(near)
+    return edges.unionByName(compared(_open(members, edges)))
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: int = LEAST, cell: int = CELL) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = WORDS, least: int = LEAST, cell: int = CELL, bits: int = BITS) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id), a row for each document, as simhash.near_duplicates has."""
     prints = common.staged(_prints(docs, words), "copies-prints")
-    return simhash.grouped(prints.drop("bands"), links(docs, prints, words, least, cell))
+    return simhash.grouped(prints.drop("sim", "bands"), links(docs, prints, words, least, cell, bits))
 
 
 def survivors(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:

@@ -39,6 +39,8 @@ from . import common
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Words whose ids a worker keeps, and the letters of the longest; when there are more, it begins anew.
 KEPT_WORDS, KEPT_LETTERS = 600_000, 64
+#: Bytes of texts whose ids are put in a row together, which take many times as much.
+ROW_BYTES = 2 << 20
 #: What may follow the letters of a word and is a match of the tokenizer of its own.
 MARKS = '.,!?;:"()[]-'
 
@@ -166,7 +168,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     @partial(common.tidy, words=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
-        for batch in common.pieces_of(batches, 1):
+        for batch in common.pieces_of(batches, 1, ROW_BYTES):
             rows, kept = [], []
             for doc, ids in zip(batch.column(0), token_ids(batch.column(1), path), strict=True):
                 ids = np.append(ids, np.array([end_id], "<u4"))

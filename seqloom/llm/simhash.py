@@ -52,7 +52,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
         starts = np.concatenate(([0], ends[:-1]))[: n - words + 1]
         hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)])
-    octets = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    return folded(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+
+
+def folded(octets: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes, rows of eight octets with the highest first."""
     # a histogram of each of the eight octets gives the count of each bit
     spread = np.bincount((octets + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)

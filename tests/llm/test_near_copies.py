@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline as cp
 from seqloom.llm import near_copies
@@ -92,3 +94,56 @@ def test_of_repeated_rows_the_least_by_hash_stays(spark):
     one = lambda rows: [tuple(r) for r in near_copies.survivors(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()]
     kept = one(rows)
     assert sorted(kept) == sorted(one(rows[::-1])) and [r[:2] for r in sorted(kept)] == [(1, "a b c"), (1, "other text")]
+
+
+def brute_sim(shingles):
+    hashes = [xxhash.xxh64_intdigest(" ".join(x), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_trie_join_of_simhashes_and_its_exact_check(spark, docs):
+    rng = random.Random(9)
+    rows = [(0, None)]
+    for n, changes, places in ((12, 1, range(12)), (40, 1, [20]), (200, 1, range(200)), (200, 9, range(200))):
+        base = [f"w{n}x{changes}x{i}" for i in range(n)]  # copies of one text, at 0.756 where the same word of 40 is another
+        for _ in range(40):
+            words = list(base)
+            for _ in range(changes):
+                words[rng.choice(places)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {brute_set(t) for _, t in rows}
+    sims = {x: brute_sim(x) for x in sets}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if (sims[a] ^ sims[b]).bit_count() <= near_copies.BITS]
+    alike = [5 * len(a & b) >= 4 * len(a | b) for a, b in pairs]
+    assert any(alike) and not all(alike)
+
+    def parts(links):
+        up = {x: x for x in sets}
+        for a, b in links:
+            old, new = up[a], up[b]
+            up = {x: new if r == old else r for x, r in up.items()}
+        found = {}
+        for x, r in up.items():
+            found.setdefault(r, set()).add(x)
+        return sorted(sorted(names[x] for x in p) for p in found.values() if len(p) > 1)
+
+    table = docs(rows)
+    prints = near_copies._prints(table, 5)
+    names = {brute_set(rows[r["doc_id"]][1]): r["fp"] for r in prints.collect()}
+    back = {v: k for k, v in names.items()}
+    groups = near_copies.trie_groups(prints)
+    got = {}
+    for r in groups.collect():
+        got.setdefault((r["band"], r["n"]), []).append(r["fp"])
+    want = parts(pairs)
+    assert sorted(sorted(x) for x in got.values()) == want and all(n == len(x) for (_, n), x in got.items())
+    # the links of a group are those of its pairs that are similar enough
+    ones = prints.groupBy("fp").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").join(prints.select("doc_id", "text_hash"), "doc_id")
+    held = near_copies._sets(table, ones.select("doc_id", "text_hash", "fp"), 5)
+    edges = near_copies._compared(near_copies._cells(groups, 16).join(held, "fp"), near_copies.LEAST).collect()
+    inside = [(a, b) for p in want for a, b in itertools.combinations([back[x] for x in p], 2) if 5 * len(a & b) >= 4 * len(a | b)]
+    assert parts([(back[r["u"]], back[r["v"]]) for r in edges]) == parts(inside)
+    # and bands that they have joined are left out without a loss
+    bands = near_copies.band_groups(prints)
+    assert 0 < near_copies._open(bands, spark.createDataFrame([(r["u"], r["v"]) for r in edges], "u long, v long")).count() < bands.count()
+    assert {r["doc_id"] for r in near_copies.survivors(table).collect()} == brute_survivors(rows)
