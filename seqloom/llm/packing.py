@@ -37,12 +37,27 @@ from pyspark.sql import Window as W
 from . import common
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Words whose ids a worker keeps, and the letters of the longest; when there are more, it begins anew.
+#: Words whose ids a worker keeps, and the letters of the longest; when there are more, only those in use stay.
 KEPT_WORDS, KEPT_LETTERS = 600_000, 64
 #: Bytes of texts whose ids are put in a row together, which take many times as much.
 ROW_BYTES = 2 << 20
 #: What may follow the letters of a word and is a match of the tokenizer of its own.
 MARKS = '.,!?;:"()[]-'
+#: Kinds of bytes: what Arrow splits at, letters (and all beyond ASCII), marks, digits, and what keeps its word whole.
+BLANK, LETTER, MARK, DIGIT, ODD = range(5)
+
+
+def _kind(c: int) -> int:
+    x = chr(c)
+    if c >= 128 or x.isalpha():
+        return LETTER
+    if x.isdigit():
+        return DIGIT
+    return BLANK if x in " \t\n\v\f\r" else MARK if x.isprintable() and x not in "'<" else ODD
+
+
+KINDS = bytes(map(_kind, range(256)))
+LOWERED = bytes(range(256)).lower()
 
 
 class Words:
@@ -55,10 +70,15 @@ class Words:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.known, self.letters = Tokenizer.from_file(public_tokenizers.path(path)), {}, {}
+        self.tok, self.known, self.letters, self.usual = Tokenizer.from_file(public_tokenizers.path(path)), {}, {}, set()
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        #: Letters of two bytes, by code point, and these with ASCII's.
+        self.pairs = np.zeros(0x800, bool)
+        for c in range(0x80, 0x800):
+            self.pairs[c] = self.lettered(chr(c))
+        self.usual = {chr(c) for c in range(0x800) if (self.pairs[c] or c < 0x80) and chr(c).isalpha()}
 
     def lettered(self, word: str) -> bool:
         """Whether all of a word stays letters for the tokenizer.
@@ -68,7 +88,7 @@ class Words:
         """
         if not word.isalpha():
             return False
-        if word.isascii():
+        if word.isascii() or self.usual.issuperset(word):
             return True
         for c in set(word).difference(self.letters):
             self.letters[c] = int(self.ends[self.tok.encode(f"a{c}a", add_special_tokens=False).ids].sum()) == 1
@@ -116,6 +136,44 @@ class Words:
         for w, c, m in ended:
             known[w] = known[c] + known[m]
 
+    def cut(self, data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The tokenizer's matches in UTF-8 texts, one behind the other, and which is the first of each text.
+
+        starts: where each text begins, and the end of the last. A match is a run of letters or of marks, or
+        a digit; ASCII is lower-cased. Words with other than ASCII and letters of two bytes, with
+        controls, or with an apostrophe or `<` (endings, special tokens) stay whole and as they are.
+        """
+        kind = np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
+        kept, fresh = kind != BLANK, np.zeros(len(data) + 1, bool)
+        fresh[starts] = True
+        fresh = fresh[:-1]
+        fresh[1:] |= ~kept[:-1]
+        begins = kind == DIGIT
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins |= fresh
+        begins &= kept
+        high = np.flatnonzero(data > 0x7F)
+        lead = data[high].astype(np.int16)
+        pair = (lead >= 0xC2) & (lead < 0xE0)
+        pair[pair] = self.pairs[(lead[pair] & 31) << 6 | data[high[pair] + 1] & 63]
+        pair[1:] |= pair[:-1]  # a letter's second byte follows its first
+        odd, runs = np.concatenate((high[~pair], np.flatnonzero(kind == ODD))), np.flatnonzero(begins)
+        first = fresh[runs]
+        words = runs[first]
+        whole = np.zeros(len(words), bool)
+        whole[np.searchsorted(words, odd, "right") - 1] = True
+        whole = whole[np.cumsum(first) - 1]
+        joined = whole & ~first
+        begins[runs[joined]] = False
+        runs, whole = runs[~joined], whole[~joined]
+        raw = data[kept]
+        offsets = np.append(np.flatnonzero(begins[kept]), len(raw)).astype(np.int32)
+        low = bytearray(raw.tobytes().translate(LOWERED))
+        if len(odd):
+            np.copyto(np.frombuffer(low, np.uint8), raw, where=np.repeat(whole, np.diff(offsets)))
+        found = pa.StringArray.from_buffers(len(runs), pa.py_buffer(offsets), pa.py_buffer(low))
+        return found, np.searchsorted(runs, starts)
+
 
 def words_of(path: str) -> Words:
     """This process's words."""
@@ -129,23 +187,31 @@ def token_ids(texts: pa.Array, path: str = TOKENIZER) -> Iterator[np.ndarray]:
     """The ids of each text, equal to those of the tokenizer over the whole text.
 
     The tokenizer's matches never go over white space and it drops white space, so that the
-    ids of a text are those of its words, and a word that came before need not be done again.
-    It also lower-cases, behind composing characters with their marks, so words of ASCII alone are
-    lower-cased first, but for those that may hold special tokens.
-    Words are told apart and their ids put in a row for all texts together, by Arrow and numpy.
+    ids of a text are those of its words, and those of an ordinary word are those of its runs of letters
+    and of marks and its digits (Words.cut). What came before need not be done again.
+    It also lower-cases, behind composing characters with their marks, so ASCII is lower-cased first
+    where no mark that composes and no special token can be.
+    Runs are told apart and their ids put in a row for all texts together, by Arrow and numpy.
     """
+    if not len(texts):
+        return
     own = words_of(path)
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    found = lists.flatten().dictionary_encode()
-    words, at = [w.lower() if w.isascii() and "<|" not in w else w for w in found.dictionary.to_pylist()], found.indices.to_numpy()
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    _, places, data = texts.buffers()
+    starts = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]]
+    runs, begins = own.cut(data, starts - starts[0])
+    found = runs.dictionary_encode()
+    words, at = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+    each = list(map(own.known.get, words))
     if len(own.known) > KEPT_WORDS:
-        own.known.clear()
-    if new := set(words).difference(own.known):
-        own.learn(list(new))
-    each = [own.known[w] for w in words]
-    for w in new:
-        if len(w) > KEPT_LETTERS:
-            del own.known[w]
+        own.known = {w: ids for w, ids in zip(words, each, strict=True) if ids is not None}
+    if new := [w for w, ids in zip(words, each, strict=True) if ids is None]:
+        own.learn(new)
+        each = [own.known[w] if ids is None else ids for w, ids in zip(words, each, strict=True)]
+        for w in new:
+            if len(w) > KEPT_LETTERS:
+                del own.known[w]
     sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
     flat = np.frombuffer(b"".join(each), "<u4")
     counts = sizes[at]
@@ -154,7 +220,7 @@ def token_ids(texts: pa.Array, path: str = TOKENIZER) -> Iterator[np.ndarray]:
     where = np.repeat(first - ends[:-1], counts)
     where += np.arange(ends[-1])
     ids = flat.take(where)
-    stops = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    stops = ends[begins]
     for a, z in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
         yield ids[a:z]
 

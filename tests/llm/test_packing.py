@@ -44,6 +44,25 @@ def test_long_words_are_not_kept():
     assert max(map(len, packing.words_of(packing.TOKENIZER).known)) <= packing.KEPT_LETTERS
 
 
+def test_words_are_learnt_once_whatever_their_case_and_marks():
+    own = packing.words_of(packing.TOKENIZER)
+    own.known.clear()
+    stems = ["linden", "maple", "érable", "липа"]
+    texts = [f"{a}{w}{b}" for w in stems for a in ("", "(", "#", "7") for b in ("", ",", "%%%", ".&&&", "-oak", "@12.org")]
+    texts += [t.title() for t in texts if t.isascii()]
+    for text, ids in zip(texts, packing.token_ids(pa.array(texts)), strict=True):
+        assert ids.tolist() == whole(text), text
+    assert len(own.known) == len(stems) + len({"oak", "org", "1", "2", "7", "(", "#", ",", "%%%", ".&&&", "-", "@", "."})
+
+
+def test_letters_of_two_bytes_and_what_stands_beside_them():
+    chars = [chr(c) for c in range(0x80, 0x800)]
+    texts = [f"A{c}.{d}b {c}{d}, -{c}-{d}' {c}'S <{d}" for c, d in zip(chars, random.Random(4).sample(chars, len(chars)), strict=True)]
+    got = list(packing.token_ids(pa.array(["x", *texts, None]).slice(1, len(texts))))
+    for text, ids, e in zip(texts, got, TOK.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == e.ids, repr(text)
+
+
 def test_fullest_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
